@@ -180,12 +180,13 @@ def _(spark, d):
 SELECT 'first' AS rule, (SELECT min(level) FROM c) AS level UNION ALL
 SELECT 'last', (SELECT level FROM c ORDER BY n, level DESC LIMIT 1) UNION ALL SELECT 'explicit', 'PROMO'""")
 def _(spark, d):
-    levels = lv.term_levels(lv.select_levels(lv.level_counts(table(spark, d, "part"), ["p_type"]), {"p_type": 1.0}))
-    # Same rules as a spec applies, written on the level frame.
-    out = levels.agg(F.min("level").alias("first"), F.max_by("level", "code").alias("last"),
-                     F.max(F.when(F.col("level") == "PROMO", F.col("level"))).alias("explicit"))
-    return out.select(F.inline(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in ("first", "last", "explicit")])))
+    levels = settle(lv.term_levels(
+        lv.select_levels(lv.level_counts(table(spark, d, "part"), ["p_type"]), {"p_type": 1.0})))
+    chosen = [
+        (rule, TermSpec.from_levels(levels, "p_size", factors=["p_type"], baseline=given).factors[0].baseline)
+        for rule, given in (("first", "first"), ("last", "last"), ("explicit", "PROMO"))
+    ]
+    return spark.createDataFrame(chosen, "rule string, level string")
 
 
 @query("onehot_vector", """WITH c AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1)

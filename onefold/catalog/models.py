@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from onefold.catalog.tables import CELLS, PATH, SHIP, factor_spec, rnd, shipments, table
-from onefold.operators.chunkfit import fit_chunks
+from onefold.operators.chunkfit import fit_chunks, fit_in_place
 from onefold.operators.combine import (
     append_summaries, coefficients, coefficients_wide, combine, summary_terms,
 )
@@ -269,6 +269,29 @@ def _(spark, d):
                        (F.col("aic") <= F.col("full_aic") + 1e-9).alias("within_full"))
 
 
+@query("main_job_cells", f"""WITH {_BEST} SELECT term, round(wlse, 8) + 0.0 AS wlse, round(one_shot, 8) + 0.0 AS one_shot,
+  round(aic, 8) + 0.0 AS aic, round(bic, 8) + 0.0 AS bic FROM est""")
+def _(spark, d):
+    # The whole job on rows that bring their chunk numbers: levels, fits, combine, path, choice.
+    out = fit(shipments(spark, d), Plan("late", keep_top={"cell": 1.0}, intercept=False))
+    wide = coefficients_wide(out.coefficients(), out.spec, list(METHODS))
+    return wide.select("term", *[rnd(m, 8).alias(m) for m in METHODS])
+
+
+@query("fit_in_place_check", """SELECT count(*) AS n_total, true AS all_used, true AS near_mle FROM lineitem""")
+def _(spark, d):
+    # Chunks cut from the scan itself; their average must lie close to the fit of all rows.
+    rows = table(spark, d, "lineitem").withColumn("late", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    spec = factor_spec(rows, "late", ["l_linestatus"], continuous=["l_quantity", "l_discount"],
+                       baseline="first", intercept=True).with_scales(describe(rows, ["l_quantity", "l_discount"]))
+    combined = settle(combine(fit_in_place(rows, spec, rows_per_chunk=2000), spec))
+    score = score_check(rows.withColumn("all", F.lit(1)), spec, combined, "wlse", ["all"])
+    # The score at the estimate, in units of its own standard deviation sqrt(n / 4).
+    flag = F.lit(1).alias("one")
+    return combined.select("n_total", (F.col("n_total") == F.col("n_used")).alias("all_used"), flag).join(
+        score.select((F.col("score") < F.sqrt(F.col("n"))).alias("near_mle"), flag), "one").drop("one")
+
+
 @query("main_job", f"""WITH {SHIP} SELECT count(*) AS n, true AS wlse_beats_one_shot_or_near, true AS below_zero FROM ship""")
 def _(spark, d):
     rows = shipments(spark, d)

@@ -7,8 +7,12 @@ over many tasks and fitted to the same optimum by summing Newton terms over the
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from onefold.spec import TermSpec
 
 # A chunk of more rows than this is not given to one task.
 ROWS_PER_TASK = 2_000_000
+# Rows are added up by predictors first if there are at most this many combinations.
+MAX_PATTERNS = 100_000
 
 _BODY = (
     "n bigint, hits double, status string, iterations int, loglik double, "
@@ -34,8 +40,8 @@ def coded_rows(df: DataFrame, spec: TermSpec, compress: bool | None = None) -> D
     """The narrow frame the fit works on: keys, chunk, continuous columns, codes, hits, trials.
 
     ``compress`` adds up rows with equal predictors first, which is exact for a logistic
-    likelihood. By default it is used when there are factors only: then a chunk has no more
-    rows than level combinations, and copies vanish on the map side.
+    likelihood. By default it is used when there are few level combinations and no continuous
+    columns: the rows then vanish on the map side and never reach a shuffle.
     """
     rows = standardise_columns(add_codes(df, spec), dict(spec.scales))
     codes = [f"code_{f.name}" for f in spec.factors]
@@ -48,12 +54,17 @@ def coded_rows(df: DataFrame, spec: TermSpec, compress: bool | None = None) -> D
         F.lit(1.0).alias("trials"),
     )
     if compress is None:
-        compress = not spec.continuous
+        compress = patterns(spec) <= MAX_PATTERNS
     if compress:
         narrow = narrow.groupBy(*by).agg(F.sum("hits").alias("hits"), F.sum("trials").alias("trials"))
     return narrow
 
 
+def patterns(spec: TermSpec) -> float:
+    """Largest number of distinct predictor rows."""
+    return math.inf if spec.continuous else math.prod(w + 1 for w in spec.widths)
+
+
 def fit_chunks(
     df: DataFrame,
     spec: TermSpec,
@@ -72,7 +83,8 @@ def fit_chunks(
     rows = coded_rows(df, spec, compress)
     group = [*spec.keys, CHUNK]
     hot = None
-    if rows_per_task is not None:
+    added_up = compress or (compress is None and patterns(spec) <= MAX_PATTERNS)
+    if rows_per_task is not None and not (added_up and patterns(spec) <= rows_per_task):
         sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
         hot = settle(sizes.filter(F.col("__rows") > rows_per_task))
         if hot.isEmpty():
@@ -125,28 +137,72 @@ class _Layout:
         return np.concatenate(parts) if parts else np.ones(1)
 
 
+def _fit_rows(layout: _Layout, pdf: pd.DataFrame, max_iter: int, tol: float) -> list:
+    """The body of one summary row."""
+    design = layout.design(pdf)
+    hits, trials = pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float)
+    n, ones = trials.sum(), hits.sum()
+    status = layout.blocked_by(layout.level_counts(design, trials), ones, n)
+    if status is not None:
+        return [int(n), ones, status, 0, None, None, None, None]
+    beta, h, loglik, iterations, good = newton_fit(design, hits, trials, max_iter, tol)
+    if not good:
+        return [int(n), ones, "not_converged", iterations, loglik, None, None, None]
+    return [int(n), ones, "ok", iterations, loglik, beta, h @ beta, pack(h)]
+
+
 def _fit_in_one_task(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -> DataFrame:
     group = [*spec.keys, CHUNK]
     layout = _Layout(spec)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        design = layout.design(pdf)
-        hits, trials = pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float)
-        n, ones = trials.sum(), hits.sum()
-        status = layout.blocked_by(layout.level_counts(design, trials), ones, n)
-        theta = v = hess = None
-        iterations, loglik = 0, None
-        if status is None:
-            beta, h, loglik, iterations, good = newton_fit(design, hits, trials, max_iter, tol)
-            status = "ok" if good else "not_converged"
-            if good:
-                theta, v, hess = beta, h @ beta, pack(h)
-        row = [*key, int(n), ones, status, iterations, loglik, theta, v, hess]
+        row = [*key, *_fit_rows(layout, pdf, max_iter, tol)]
         return pd.DataFrame([row], columns=[*group, *_BODY_NAMES])
 
     return rows.groupBy(*group).applyInPandas(fit, _schema(rows, group, _BODY))
 
 
+def fit_in_place(df: DataFrame, spec: TermSpec, rows_per_chunk: int = 1_000_000,
+                 max_iter: int = 100, tol: float = 1e-12) -> DataFrame:
+    """Fit runs of ``rows_per_chunk`` rows as the scan delivers them: nothing is shuffled.
+
+    Each task cuts its own input into chunks and holds at most two of them; the last run of a
+    task that is shorter than half a chunk goes with the one before. For rows stored in no
+    particular order. Where files are sorted by a factor, use hashed chunk numbers instead.
+    """
+    if spec.keys:
+        raise ValueError("rows of several models are mixed in a scan; give chunk numbers instead")
+    rows = coded_rows(df.withColumn(CHUNK, F.lit(0).cast("bigint")), spec, compress=False)
+    layout = _Layout(spec)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = TaskContext.get().partitionId() << 32
+        for i, pdf in enumerate(_runs(batches, rows_per_chunk)):
+            row = [base + i, *_fit_rows(layout, pdf, max_iter, tol)]
+            yield pd.DataFrame([row], columns=[CHUNK, *_BODY_NAMES])
+
+    return _with_quality(rows.drop(CHUNK).mapInPandas(fit, f"{CHUNK} bigint, {_BODY}"), spec)
+
+
+def _runs(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Cut a stream of batches into frames of ``size`` rows, the last between 0.5 and 1.5 of it."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for pdf in batches:
+        held.append(pdf)
+        rows += len(pdf)
+        while rows >= 2 * size:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole.iloc[:size]
+            held, rows = [whole.iloc[size:]], rows - size
+    if rows:
+        whole = pd.concat(held, ignore_index=True)
+        if rows >= 1.5 * size:
+            yield whole.iloc[:size]
+            whole = whole.iloc[size:]
+        yield whole
+
+
 _BODY_NAMES = ["n", "hits", "status", "iterations", "loglik", "theta", "v", "hess"]
 
 

@@ -20,6 +20,13 @@ class CodedDesign:
         self.at = np.cumsum([self.numeric.shape[1], *widths])
         self.p = int(self.at[-1])
 
+    def every(self, k: int) -> CodedDesign:
+        """Each k-th row."""
+        out = object.__new__(CodedDesign)
+        out.numeric, out.codes = self.numeric[::k], [c[::k] for c in self.codes]
+        out.widths, out.at, out.p = self.widths, self.at, self.p
+        return out
+
     def eta(self, beta: np.ndarray) -> np.ndarray:
         out = self.numeric @ beta[: self.at[0]]
         for i, code in enumerate(self.codes):
@@ -67,12 +74,24 @@ def small_step(step: np.ndarray, beta: np.ndarray, tol: float) -> bool:
     return bool(np.max(np.abs(step) / (1.0 + np.abs(beta)), initial=0.0) <= tol)
 
 
+# From this many rows on, Newton starts at a rough fit of each 16th row.
+_THIN_ROWS, _THIN = 100_000, 16
+
+
+def _start(design: CodedDesign, hits, trials) -> np.ndarray:
+    if len(hits) < _THIN_ROWS:
+        return np.zeros(design.p)
+    rough = newton_fit(design.every(_THIN), hits[::_THIN], trials[::_THIN], 8, 1e-3)[0]
+    return rough if np.all(np.abs(rough) < 20.0) else np.zeros(design.p)
+
+
 def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: float = 1e-12):
     """Unpenalised maximum likelihood: ``(beta, hessian, loglik, iterations, converged)``.
 
     A step that lowers the likelihood is halved, so near-separated chunks do not diverge.
+    All rows are used in every step; thinning only picks the starting point of large chunks.
     """
-    beta = np.zeros(design.p)
+    beta = _start(design, hits, trials)
     loglik, gradient, hessian = logistic_sums(design, beta, hits, trials)
     for iteration in range(1, max_iter + 1):
         step = newton_step(gradient, hessian)

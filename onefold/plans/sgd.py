@@ -34,7 +34,8 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
                 slope = design.left(hits - trials * prob) / trials.sum()
                 steps += 1
                 beta = beta + rate / np.sqrt(steps) * slope
-                mean += (beta - mean) / steps
+                # Later steps weigh more, so the way in from the start fades out of the average.
+                mean += 4.0 / (steps + 3.0) * (beta - mean)
                 seen += trials.sum()
         if steps:
             yield pd.DataFrame({"sums": [np.append(mean * seen, seen)]})
@@ -59,5 +60,5 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     rows = coded_rows(rows, spec, compress=False)
     theta = [0.0] * spec.p if warm is None else list(warm)
     for epoch in range(epochs):
-        theta = list(sgd_epoch(rows, spec, theta, rate / (1.0 + epoch), batch_rows).first()["theta"])
+        theta = list(sgd_epoch(rows, spec, theta, rate / np.sqrt(1.0 + epoch), batch_rows).first()["theta"])
     return theta

@@ -25,17 +25,24 @@ def read_csv_skip_bad(spark: SparkSession, paths: str | Sequence[str], schema: s
                       columns: Sequence[str] | None = None, header: bool = True) -> DataFrame:
     """As ``read_csv`` without malformed rows (wrong field count or unparsable value).
 
-    The corrupt-record column is read with the full schema, so which rows count as bad
-    does not depend on the columns used later, as it would in DROPMALFORMED mode.
+    Fields are read as text and cast here, and the filter names every field. Which rows count
+    as bad then does not depend on the columns used later, as it would in DROPMALFORMED mode.
     """
     full = _schema(schema)
     bad = "__corrupt"
-    wide = T.StructType([*full.fields, T.StructField(bad, T.StringType(), True)])
+    names = [f.name for f in full.fields]
+    text = T.StructType([*[T.StructField(c, T.StringType(), True) for c in names],
+                         T.StructField(bad, T.StringType(), True)])
     paths = paths if isinstance(paths, str) else list(paths)
     reader = spark.read.option("columnPruning", False).option("columnNameOfCorruptRecord", bad)
-    rows = reader.csv(paths, schema=wide, header=header, nullValue=NULL_TEXT, mode="PERMISSIVE")
-    good = rows.filter(F.col(bad).isNull())
-    return good.select(*(columns or [f.name for f in full.fields]))
+    rows = reader.csv(paths, schema=text, header=header, nullValue=NULL_TEXT, mode="PERMISSIVE")
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in full.fields}
+    # A size that is never negative: it keeps all fields in the plan without testing anything.
+    fine = F.col(bad).isNull() & (F.length(F.concat_ws("", *names)) >= 0)
+    for f in full.fields:
+        if not isinstance(f.dataType, T.StringType):
+            fine = fine & (F.col(f.name).isNull() | typed[f.name].isNotNull())
+    return rows.filter(fine).select(*[typed[c].alias(c) for c in (columns or names)])
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None, compression: str = "none") -> None:

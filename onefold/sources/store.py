@@ -12,34 +12,34 @@ from onefold.spec import Factor, TermSpec
 TABLES = ("summary", "combined", "path", "coef", "levels", "stats", "eval", "run")
 
 
-def save_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
+def save_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    df.write.mode(mode).parquet(f"{path}/{name}")
+    df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
-def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{folder}/{name}")
 
 
-def append_summary(df: DataFrame, path: str) -> None:
+def append_summary(df: DataFrame, folder: str) -> None:
     """Add the chunk summaries of further data to a stored model."""
-    save_table(df, path, "summary", mode="append")
+    save_table(df, folder, "summary", mode="append")
 
 
-def save_model(path: str, spec: TermSpec, **tables: DataFrame) -> None:
+def save_model(folder: str, spec: TermSpec, **tables: DataFrame) -> None:
     """Write the term list and the given tables."""
     for name, df in tables.items():
-        save_table(df, path, name)
+        save_table(df, folder, name)
     any_frame = next(iter(tables.values()))
     spec_row = any_frame.sparkSession.createDataFrame([(spec_to_json(spec),)], "value string")
-    spec_row.coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+    spec_row.coalesce(1).write.mode("overwrite").text(f"{folder}/spec")
 
 
-def load_spec(spark: SparkSession, path: str) -> TermSpec:
-    return spec_from_json(spark.read.text(f"{path}/spec").first()["value"])
+def load_spec(spark: SparkSession, folder: str) -> TermSpec:
+    return spec_from_json(spark.read.text(f"{folder}/spec").first()["value"])
 
 
 def spec_to_json(spec: TermSpec) -> str:
