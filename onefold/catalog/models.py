@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from onefold.catalog.tables import CELLS, PATH, SHIP, factor_spec, rnd, shipments, table
 from onefold.operators.chunkfit import fit_chunks, fit_in_place
 from onefold.operators.combine import (
-    append_summaries, coefficients, coefficients_wide, combine, summary_terms,
+    append_summaries, coefficients, coefficients_wide, combine, summary_matrix, summary_terms,
 )
 from onefold.operators.compare import compare, cut
 from onefold.operators.evaluate import constants, loglik, predict, score_check
@@ -52,6 +52,17 @@ def _(spark, d):
     return summary_terms(summary, spec).withColumns({c: rnd(c) for c in ("theta", "v", "h")})
 
 
+@query("chunk_summary_matrix", f"""WITH {CELLS}, r AS (SELECT partition_id, theta, h,
+  CAST(row_number() OVER (PARTITION BY partition_id ORDER BY cell) - 1 AS INTEGER) AS par_id FROM fits)
+SELECT partition_id, par_id, round(theta, 8) + 0.0 AS coef, round(h * theta, 6) + 0.0 AS moment, """ + ", ".join(
+    f"CASE WHEN par_id = {i} THEN round(h, 6) ELSE 0.0 END AS c{i}" for i in range(10)) + " FROM r")
+def _(spark, d):
+    _, spec, summary = _cells(spark, d)
+    out = summary_matrix(summary, spec)
+    return out.select("partition_id", "par_id", rnd("coef", 8).alias("coef"), rnd("moment").alias("moment"), *[
+        rnd(F.col(f"`{t}`")).alias(f"c{i}") for i, t in enumerate(spec.terms)])
+
+
 _WLSE = f"WITH {CELLS} SELECT term, round(b, 8) + 0.0 AS wlse, CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used FROM wl"
 
 

@@ -233,19 +233,20 @@ def _fit_in_pieces(rows: DataFrame, spec: TermSpec, rows_per_task: int, max_iter
     data = settle(keyed.repartition(*group, "__piece"))
 
     # First round: sizes and level counts, which decide whether the chunk can be fitted.
-    level_cells = [
-        F.sum(F.when(F.col(c) == i, F.col("trials")).otherwise(0.0)).alias(f"{c}_{i}")
-        for c, w in zip(layout.codes, layout.widths) for i in range(w)
-    ]
     facts = data.groupBy(*group).agg(
-        F.sum("trials").alias("n"), F.sum("hits").alias("hits"), F.max("__pieces").alias("pieces"),
-        *level_cells)
-    level_names = [f"{c}_{i}" for c, w in zip(layout.codes, layout.widths) for i in range(w)]
+        F.sum("trials").alias("n"), F.sum("hits").alias("hits"), F.max("__pieces").alias("pieces"))
+    if layout.codes:
+        seen = data.select(*group, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("f"), F.col(c).alias("code"), F.lit(w).alias("width"))
+            for i, (c, w) in enumerate(zip(layout.codes, layout.widths))
+        ]))).filter(F.col("code") < F.col("width")).distinct()
+        facts = facts.join(
+            seen.groupBy(*group).agg(F.count(F.lit(1)).alias("levels")), group, "left")
+    else:
+        facts = facts.withColumn("levels", F.lit(0))
     # The state row of a chunk: current beta, the step that led to it, the last good likelihood.
     zeros = F.array_repeat(F.lit(0.0), p)
-    missing = F.lit(False)
-    for c in level_names:
-        missing = missing | (F.col(c) == 0)
+    missing = F.coalesce(F.col("levels"), F.lit(0)) < sum(layout.widths)
     state = settle(facts.select(
         *group, F.col("n").cast("bigint").alias("n"), "hits", "pieces",
         F.when(missing, "missing_level")

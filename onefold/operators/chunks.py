@@ -81,10 +81,13 @@ def split_random(df: DataFrame, n: int, seed: int) -> list[DataFrame]:
 
 
 def shuffle_rows(df: DataFrame, seed: int, parts: int | None = None) -> DataFrame:
-    """Rows in random order: spread at random over partitions, then ordered at random inside."""
-    mixed = df.withColumn("__u", F.rand(seed))
-    mixed = mixed.repartition(parts, "__u") if parts else mixed.repartition(F.col("__u"))
-    return mixed.sortWithinPartitions("__u").drop("__u")
+    """Rows in random order: dealt out over the partitions, then ordered at random inside.
+
+    Dealing is even whatever the rows hold, and Spark repeats it identically for a lost task.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts).withColumn("__u", F.rand(seed))
+    return dealt.sortWithinPartitions("__u").drop("__u")
 
 
 def spread_by_chunk(df: DataFrame, k: int) -> DataFrame:

@@ -98,3 +98,25 @@ def summary_terms(summaries: DataFrame, spec: TermSpec) -> DataFrame:
     ])
     return summaries.filter(F.col("status") == "ok").select(
         *spec.keys, "partition_id", "n", F.inline(cells))
+
+
+def summary_matrix(summaries: DataFrame, spec: TermSpec) -> DataFrame:
+    """Chunk summaries as p rows of p columns: ``keys, partition_id, par_id, coef, moment, <terms>``."""
+    keys, p, terms = list(spec.keys), spec.p, spec.terms
+    types = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
+    schema = ", ".join([
+        *[f"`{k}` {types[k]}" for k in keys], "partition_id bigint, par_id int, coef double, moment double",
+        *[f"`{t}` double" for t in terms]])
+
+    def lay_out(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                out = pd.DataFrame(unpack(np.asarray(row["hess"], float), p), columns=terms)
+                head = {k: row[k] for k in [*keys, "partition_id"]}
+                head.update(par_id=range(p), coef=row["theta"], moment=row["v"])
+                for at, (name, value) in enumerate(head.items()):
+                    out.insert(at, name, value)
+                yield out
+
+    ok = summaries.filter(F.col("status") == "ok")
+    return ok.select(*keys, "partition_id", "theta", "v", "hess").mapInPandas(lay_out, schema)

@@ -28,6 +28,16 @@ def predictor(spec: TermSpec, beta: Column) -> Column:
     return eta
 
 
+def _with_predictors(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """Coded rows with one column ``__eta_<method>`` each.
+
+    As a column of its own, a predictor is computed once per row though the density uses it
+    more than once.
+    """
+    rows, arrays = with_coefficients(df, spec, betas, methods)
+    return rows.withColumns({f"__eta_{m}": predictor(spec, b) for m, b in arrays.items()})
+
+
 def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
     """Coded rows plus the coefficient arrays to use on them.
 
@@ -48,16 +58,16 @@ def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods:
 
 def loglik(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> DataFrame:
     """``keys, n, loglik_<method>...``: every method summed in the same scan."""
-    rows, arrays = with_coefficients(df, spec, betas, methods)
+    rows = _with_predictors(df, spec, betas, methods)
     y = F.col(spec.response).cast("double")
-    sums = [F.sum(log_density(y, predictor(spec, b))).alias(f"loglik_{m}") for m, b in arrays.items()]
+    sums = [F.sum(log_density(y, F.col(f"__eta_{m}"))).alias(f"loglik_{m}") for m in methods]
     return rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 def predict(df: DataFrame, spec: TermSpec, betas: DataFrame, method: str, keep: Sequence[str]) -> DataFrame:
     """The ``keep`` columns plus the predicted probability of 1."""
-    rows, arrays = with_coefficients(df, spec, betas, [method])
-    return rows.select(*keep, logistic(predictor(spec, arrays[method])).alias("prob"))
+    rows = _with_predictors(df, spec, betas, [method])
+    return rows.select(*keep, logistic(F.col(f"__eta_{method}")).alias("prob"))
 
 
 def loglik_from_prob(df: DataFrame, y: str, p0: Column, p1: Column) -> DataFrame:
@@ -71,8 +81,10 @@ def score_check(df: DataFrame, spec: TermSpec, betas: DataFrame, method: str, by
 
     Zero at a maximum of the likelihood; the independent test of a fit.
     """
-    rows, arrays = with_coefficients(df, spec, betas, [method])
-    residual = F.col(spec.response).cast("double") - logistic(predictor(spec, arrays[method]))
+    rows = _with_predictors(df, spec, betas, [method])
+    rows = rows.withColumn(
+        "__residual", F.col(spec.response).cast("double") - logistic(F.col(f"__eta_{method}")))
+    residual = F.col("__residual")
     cells: list[Column] = [residual] if spec.intercept else []
     cells += [residual * F.col(c) for c in spec.continuous]
     for f in spec.factors:

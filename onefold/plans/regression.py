@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from onefold.operators import chunks as chunking
 from onefold.operators import levels as lv
-from onefold.operators.chunkfit import fit_chunks
+from onefold.operators.chunkfit import fit_chunks, fit_in_place
 from onefold.operators.combine import append_summaries, coefficients, combine
 from onefold.operators.evaluate import loglik
 from onefold.operators.prepare import binarise, project
@@ -29,7 +29,11 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Plan:
-    """What to fit. ``keep_top`` maps each factor to the cumulative share of levels to keep."""
+    """What to fit. ``keep_top`` maps each factor to the cumulative share of levels to keep.
+
+    ``in_place`` cuts chunks from the scan and shuffles no row; otherwise rows are hashed into
+    chunks by ``row_key``.
+    """
 
     response: str
     continuous: Sequence[str] = ()
@@ -43,6 +47,7 @@ class Plan:
     kind: str = "lar"
     threshold: float = 0.0
     standardise: bool = True
+    in_place: bool = False
 
 
 @dataclass
@@ -142,7 +147,10 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         spec, levels, stats = learn_spec(rows, plan)
     timed("prepare", t)
     t = time.perf_counter()
-    summary = settle(fit_chunks(assign_chunks(rows, plan), spec))
+    if plan.in_place:
+        summary = settle(fit_in_place(rows, spec, plan.rows_per_chunk))
+    else:
+        summary = settle(fit_chunks(assign_chunks(rows, plan), spec))
     timed("fit", t)
     t = time.perf_counter()
     everything = append_summaries(stored, summary) if stored is not None else summary

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onefold.operators.chunkfit import _Layout, coded_rows, sum_arrays
-from onefold.operators.chunks import CHUNK
+from onefold.operators.chunks import CHUNK, shuffle_rows
 from onefold.spec import TermSpec
 
 
@@ -48,17 +49,24 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
 
 
 def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, batch_rows: int = 256,
-            warm: Sequence[float] | None = None) -> list[float]:
+            warm: Sequence[float] | None = None, shuffle_seed: int | None = 1,
+            storage: StorageLevel = StorageLevel.DISK_ONLY) -> list[float]:
     """Coefficients in term order after ``epochs`` passes; ``warm`` continues an earlier run.
 
-    The p coefficients travel through the driver between epochs, nothing else does. Give rows
-    that are stored or persisted in random order.
+    The narrow coded rows are shuffled and persisted once for all passes
+    (``shuffle_seed=None`` takes them as they come). Between passes the p coefficients travel
+    through the driver, nothing else does.
     """
     if spec.keys:
         raise ValueError("one model only")
     rows = df if CHUNK in df.columns else df.withColumn(CHUNK, F.lit(0))
-    rows = coded_rows(rows, spec, compress=False)
+    rows = coded_rows(rows, spec, compress=False).drop(CHUNK)
+    if shuffle_seed is not None:
+        rows = shuffle_rows(rows, shuffle_seed)
+    rows = rows.persist(storage)
     theta = [0.0] * spec.p if warm is None else list(warm)
     for epoch in range(epochs):
-        theta = list(sgd_epoch(rows, spec, theta, rate / np.sqrt(1.0 + epoch), batch_rows).first()["theta"])
+        step = rate / float(np.sqrt(1.0 + epoch))
+        theta = list(sgd_epoch(rows, spec, theta, step, batch_rows).first()["theta"])
+    rows.unpersist()
     return theta

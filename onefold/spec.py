@@ -12,7 +12,7 @@ OTHERS = "000_OTHERS"
 INTERCEPT = "intercept"
 
 # The Hessian has p * p entries, so p is bounded long before this; checked when levels are read.
-MAX_TERMS = 5_000
+MAX_TERMS = 2_000
 
 
 @dataclass(frozen=True)
