@@ -22,7 +22,7 @@ from onefold.operators.newton import (
     CodedDesign, logistic_sums, newton_fit, newton_step, pack, small_step, unpack,
 )
 from onefold.operators.prepare import add_codes, standardise_columns
-from onefold.session import settle, small_side
+from onefold.session import BROADCAST_ROWS, settle, small_side
 from onefold.spec import TermSpec
 
 # A chunk of more rows than this is not given to one task.
@@ -96,7 +96,7 @@ def fit_chunks(
     large = rows.join(small_side(hot), group)
     return _with_quality(
         _fit_in_one_task(small, spec, max_iter, tol).unionByName(
-            _fit_in_pieces(large, spec, rows_per_task, max_iter, tol)), spec)
+            _fit_in_pieces(large, spec, max_iter, tol)), spec)
 
 
 def _with_quality(out: DataFrame, spec: TermSpec) -> DataFrame:
@@ -124,6 +124,13 @@ class _Layout:
         codes = [pdf[c].to_numpy(np.int64) for c in self.codes]
         return CodedDesign(numeric, codes, self.widths, self.intercept)
 
+    def block_design(self, row: dict) -> CodedDesign:
+        """Design of a block stored as arrays."""
+        n = len(row["hits"])
+        numeric = np.array([row[c] for c in self.continuous], float).reshape(-1, n).T
+        return CodedDesign(numeric, [np.asarray(row[c], np.int64) for c in self.codes], self.widths,
+                           self.intercept)
+
     def blocked_by(self, counts: np.ndarray, hits: float, n: float) -> str | None:
         """Why the chunk cannot be fitted; ``counts`` holds the rows of every factor level."""
         if np.any(counts == 0):
@@ -217,81 +224,113 @@ def sum_arrays(df: DataFrame, by: list[str], values: Column, into: str) -> DataF
     return summed.groupBy(*by).agg(F.transform(ordered, lambda s: s["__x"]).alias(into))
 
 
-def _fit_in_pieces(rows: DataFrame, spec: TermSpec, rows_per_task: int, max_iter: int, tol: float) -> DataFrame:
-    """Newton over chunks cut in pieces; ``rows`` carries ``__rows``, the size of its chunk."""
+# Rows of one block of a large chunk; a block is stored as one row of arrays.
+BLOCK_ROWS = 16_384
+# Sums a task holds before it passes them on.
+_HELD_SUMS = 64
+
+
+def _fit_in_pieces(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -> DataFrame:
+    """Newton over chunks cut in blocks; ``rows`` carries ``__rows``, the size of its chunk.
+
+    Blocks are shuffled and written once. A Newton pass scans them with the current
+    coefficients joined on, so only sums of the model's size move between tasks.
+    """
     group = [*spec.keys, CHUNK]
     layout = _Layout(spec)
     p = layout.p
-    predictors = [*layout.continuous, *layout.codes]
+    blocks = _blocks(rows, layout, group)
 
-    # Copies are added up first, so a hash of the predictors spreads what is left evenly.
-    pieces_of = F.ceil(F.col("__rows") / F.lit(rows_per_task)).cast("int")
-    packed = rows.groupBy(*group, "__rows", *predictors).agg(
-        F.sum("hits").alias("hits"), F.sum("trials").alias("trials"))
-    salt = F.pmod(F.xxhash64(*predictors), pieces_of) if predictors else F.lit(0)
-    keyed = packed.withColumn("__pieces", pieces_of).withColumn("__piece", salt.cast("int")).drop("__rows")
-    data = settle(keyed.repartition(*group, "__piece"))
-
-    # First round: sizes and level counts, which decide whether the chunk can be fitted.
-    facts = data.groupBy(*group).agg(
-        F.sum("trials").alias("n"), F.sum("hits").alias("hits"), F.max("__pieces").alias("pieces"))
-    if layout.codes:
-        seen = data.select(*group, F.inline(F.array(*[
-            F.struct(F.lit(i).alias("f"), F.col(c).alias("code"), F.lit(w).alias("width"))
-            for i, (c, w) in enumerate(zip(layout.codes, layout.widths))
-        ]))).filter(F.col("code") < F.col("width")).distinct()
-        facts = facts.join(
-            seen.groupBy(*group).agg(F.count(F.lit(1)).alias("levels")), group, "left")
-    else:
-        facts = facts.withColumn("levels", F.lit(0))
-    # The state row of a chunk: current beta, the step that led to it, the last good likelihood.
+    facts = sum_arrays(_block_sums(blocks, layout, group, _counting(layout)), group, F.col("sums"), "sums")
+    n, hits = F.element_at("sums", 1), F.element_at("sums", 2)
     zeros = F.array_repeat(F.lit(0.0), p)
-    missing = F.coalesce(F.col("levels"), F.lit(0)) < sum(layout.widths)
+    nothing = F.lit(None).cast("array<double>")
+    # The state row of a chunk: current beta, the step that led to it, the last good likelihood.
     state = settle(facts.select(
-        *group, F.col("n").cast("bigint").alias("n"), "hits", "pieces",
-        F.when(missing, "missing_level")
-        .when((F.col("hits") == 0) | (F.col("hits") == F.col("n")), "one_class")
-        .otherwise("running").alias("status"),
+        *group, n.cast("bigint").alias("n"), hits.alias("hits"),
+        F.when(F.exists(F.slice("sums", 3, F.size("sums")), lambda c: c == 0), "missing_level")
+        .when((hits == 0) | (hits == n), "one_class").otherwise("running").alias("status"),
         F.lit(0).alias("iterations"), F.lit(None).cast("double").alias("loglik"),
         zeros.alias("beta"), zeros.alias("step"), F.lit(False).alias("last"),
-        F.lit(None).cast("array<double>").alias("theta"),
-        F.lit(None).cast("array<double>").alias("v"),
-        F.lit(None).cast("array<double>").alias("hess")))
+        nothing.alias("theta"), nothing.alias("v"), nothing.alias("hess")))
     schema = state.schema
-    piece_schema = _schema(data, group, "sums array<double>")
-
-    def piece_sums(key: tuple, pdf: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        columns = [*group, "sums"]
-        if pdf.empty or now.empty:
-            return pd.DataFrame(columns=columns)
-        beta = np.asarray(now["beta"].iloc[0], float)
-        ll, g, h = logistic_sums(
-            layout.design(pdf), beta, pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float))
-        sums = np.concatenate([[ll], g, pack(h)])
-        return pd.DataFrame([[*key[:-1], sums]], columns=columns)
 
     def advance(batches):
         for pdf in batches:
             yield pd.DataFrame([_advance(r, p, tol) for r in pdf.to_dict("records")],
                                columns=schema.names)
 
+    most = max(1, BROADCAST_ROWS * 8 // p)
     for _ in range(3 * max_iter):
-        running = state.filter(F.col("status") == "running")
+        running = state.filter(F.col("status") == "running").select(*group, "beta")
         if running.isEmpty():
             break
-        now = running.select(
-            *group, "beta", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("__piece"))
-        by_piece = [*group, "__piece"]
-        parts = data.groupBy(*by_piece).cogroup(now.groupBy(*by_piece)).applyInPandas(
-            piece_sums, piece_schema)
-        sums = sum_arrays(parts, group, F.col("sums"), "sums")
-        moved = state.join(sums, group, "left").mapInPandas(advance, schema)
-        state = settle(moved)
+        at_beta = blocks.join(small_side(running, most), group)
+        sums = sum_arrays(_block_sums(at_beta, layout, group, _newton_sums(layout)), group, F.col("sums"), "sums")
+        state = settle(state.join(sums, group, "left").mapInPandas(advance, schema))
 
     status = F.when(F.col("status") == "running", F.lit("not_converged")).otherwise(F.col("status"))
     return state.withColumn("status", status).select(*group, *_BODY_NAMES)
 
 
+def _blocks(rows: DataFrame, layout: _Layout, group: list[str]) -> DataFrame:
+    """One row per block: the chunk and one array per column."""
+    predictors = [*layout.continuous, *layout.codes]
+    # Copies are added up first, so a hash of the predictors spreads what is left evenly.
+    packed = rows.groupBy(*group, "__rows", *predictors).agg(
+        F.sum("hits").alias("hits"), F.sum("trials").alias("trials"))
+    blocks = F.ceil(F.col("__rows") / F.lit(BLOCK_ROWS))
+    block = F.pmod(F.xxhash64(*predictors), blocks) if predictors else F.lit(0)
+    columns = [*predictors, "hits", "trials"]
+    listed = packed.groupBy(*group, block.alias("__block")).agg(
+        F.collect_list(F.struct(*columns)).alias("__r"))
+    return settle(listed.select(*group, *[F.col("__r").getField(c).alias(c) for c in columns]))
+
+
+def _block_sums(blocks: DataFrame, layout: _Layout, group: list[str], terms) -> DataFrame:
+    """Sums of ``terms`` over the blocks of each task, one row per chunk and task."""
+    columns = [*group, "sums"]
+
+    def add_up(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                key = tuple(row[g] for g in group)
+                new = terms(row)
+                held[key] = held[key] + new if key in held else new
+                if len(held) > _HELD_SUMS:
+                    yield pd.DataFrame([[*k, v] for k, v in held.items()], columns=columns)
+                    held.clear()
+        if held:
+            yield pd.DataFrame([[*k, v] for k, v in held.items()], columns=columns)
+
+    return blocks.mapInPandas(add_up, _schema(blocks, group, "sums array<double>"))
+
+
+def _counting(layout: _Layout):
+    """Rows, hits and rows per factor level of a block (then a 1, so the list is never empty)."""
+
+    def terms(row: dict) -> np.ndarray:
+        trials = np.asarray(row["trials"], float)
+        return np.concatenate([
+            [trials.sum(), np.sum(row["hits"])],
+            layout.level_counts(layout.block_design(row), trials), [1.0]])
+
+    return terms
+
+
+def _newton_sums(layout: _Layout):
+    """Log-likelihood, gradient and packed Hessian of a block."""
+
+    def terms(row: dict) -> np.ndarray:
+        ll, g, h = logistic_sums(
+            layout.block_design(row), np.asarray(row["beta"], float),
+            np.asarray(row["hits"], float), np.asarray(row["trials"], float))
+        return np.concatenate([[ll], g, pack(h)])
+
+    return terms
+
+
 def _advance(row: dict, p: int, tol: float) -> dict:
     """One Newton move of a chunk from the sums at its current beta."""
     sums = row.pop("sums")
