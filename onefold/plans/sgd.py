@@ -49,12 +49,13 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
 
 
 def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, batch_rows: int = 256,
-            warm: Sequence[float] | None = None, shuffle_seed: int | None = 1,
+            warm: Sequence[float] | None = None, shuffle_seed: int | None = 1, parts: int | None = None,
             storage: StorageLevel = StorageLevel.DISK_ONLY) -> list[float]:
     """Coefficients in term order after ``epochs`` passes; ``warm`` continues an earlier run.
 
     The narrow coded rows are shuffled and persisted once for all passes
-    (``shuffle_seed=None`` takes them as they come). Between passes the p coefficients travel
+    (``shuffle_seed=None`` takes them as they come) into ``parts`` partitions, each of which
+    descends on its own. Between passes the p coefficients travel
     through the driver, nothing else does.
     """
     if spec.keys:
@@ -62,7 +63,7 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     rows = df if CHUNK in df.columns else df.withColumn(CHUNK, F.lit(0))
     rows = coded_rows(rows, spec, compress=False).drop(CHUNK)
     if shuffle_seed is not None:
-        rows = shuffle_rows(rows, shuffle_seed)
+        rows = shuffle_rows(rows, shuffle_seed, parts)
     rows = rows.persist(storage)
     theta = [0.0] * spec.p if warm is None else list(warm)
     for epoch in range(epochs):
