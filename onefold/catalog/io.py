@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from onefold.catalog.levels import EVENT_TOP, _picked_sql
-from onefold.catalog.models import _WLSE, cell_model
+from onefold.catalog.models import _WLSE, _wlse, cell_model
 from onefold.catalog.tables import CELLS, rnd, table
 from onefold.operators import levels as lv
 from onefold.operators.chunkfit import fit_chunks
@@ -154,9 +154,7 @@ def _(spark, d):
     store.append_summary(fit_chunks(rows.filter(F.col("partition_id") >= 2), spec), path)
     loaded = store.load_spec(spark, path)
     combined = settle(combine(store.load_table(spark, path, "summary"), loaded))
-    n = combined.select("n_used", F.lit("wlse").alias("method"))
-    return coefficients(combined, loaded, {"wlse": "wlse"}).join(n, "method").select(
-        "term", rnd("estimate", 8).alias("wlse"), "n_used")
+    return _wlse(combined, loaded)
 
 
 @query("coef_csv", f"WITH {CELLS} SELECT term, round(one_shot, 8) + 0.0 AS one_shot, round(b, 8) + 0.0 AS wlse FROM wl")

@@ -18,7 +18,7 @@ from onefold.operators.stats import describe
 from onefold.plans import ml
 from onefold.plans.regression import METHODS, Plan, fit
 from onefold.plans.sgd import fit_sgd
-from onefold.session import settle
+from onefold.session import settle, stage
 from onefold.sources import store
 from onefold.spec import TermSpec
 
@@ -69,9 +69,9 @@ _WLSE = f"WITH {CELLS} SELECT term, round(b, 8) + 0.0 AS wlse, CAST((SELECT sum(
 
 
 def _wlse(combined, spec):
-    long = coefficients(combined, spec, {"wlse": "wlse"})
-    n = combined.select("n_used", F.lit("wlse").alias("method"))
-    return long.join(n, "method").select("term", rnd("estimate", 8).alias("wlse"), "n_used")
+    terms = F.array(*[F.lit(t) for t in spec.terms])
+    cells = combined.select("n_used", F.posexplode("wlse").alias("i", "b"))
+    return cells.select(F.element_at(terms, F.col("i") + 1).alias("term"), rnd("b", 8).alias("wlse"), "n_used")
 
 
 @query("combine_wlse", _WLSE)
@@ -248,8 +248,9 @@ def _(spark, d):
 
 def dense_model(spark, d):
     """Intercept, four standardised continuous terms and two factors."""
-    rows = shipments(spark, d)
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = stage(shipments(spark, d).select(
+        "partition_id", "returned", "o_orderpriority", "l_linestatus", *columns), "shipments")
     spec = factor_spec(rows, "returned", ["o_orderpriority", "l_linestatus"], continuous=columns,
                        baseline="first", intercept=True)
     return rows, spec.with_scales(describe(rows, columns))
@@ -275,10 +276,10 @@ def _(spark, d):
     last = path.agg(F.max_by("beta", "step").alias("beta"), F.min("rss").alias("low"),
                     F.max_by("rss", "step").alias("final"), F.min("aic").alias("aic"),
                     F.max_by("aic", "step").alias("full_aic"))
-    one = F.lit(1).alias("one")
-    both = combined.select("n_used", "wlse", one).join(last.select("*", one), "one")
-    gap = F.array_max(F.zip_with("wlse", "beta", lambda a, b: F.abs(a - b)))
-    return both.select("n_used", (gap < 1e-8).alias("ends_at_wlse"),
+    whole = combined.select("n_used", "wlse").first()
+    wlse = F.array(*[F.lit(b) for b in whole["wlse"]])
+    gap = F.array_max(F.zip_with(wlse, "beta", lambda a, b: F.abs(a - b)))
+    return last.select(F.lit(whole["n_used"]).cast("bigint").alias("n_used"), (gap < 1e-8).alias("ends_at_wlse"),
                        (F.col("final") <= F.col("low") + 1e-8).alias("rss_falls"),
                        (F.col("aic") <= F.col("full_aic") + 1e-9).alias("within_full"))
 
@@ -301,9 +302,10 @@ def _(spark, d):
     combined = settle(combine(fit_in_place(rows, spec, rows_per_chunk=2000), spec))
     score = score_check(rows.withColumn("all", F.lit(1)), spec, combined, "wlse", ["all"])
     # The score at the estimate, in units of its own standard deviation sqrt(n / 4).
-    flag = F.lit(1).alias("one")
-    return combined.select("n_total", (F.col("n_total") == F.col("n_used")).alias("all_used"), flag).join(
-        score.select((F.col("score") < F.sqrt(F.col("n"))).alias("near_mle"), flag), "one").drop("one")
+    whole = combined.first()
+    return score.select(F.lit(whole["n_total"]).cast("bigint").alias("n_total"),
+                        F.lit(whole["n_total"] == whole["n_used"]).alias("all_used"),
+                        (F.col("score") < F.sqrt(F.col("n"))).alias("near_mle"))
 
 
 @query("main_job", f"""WITH {SHIP} SELECT count(*) AS n, true AS wlse_beats_one_shot_or_near, true AS below_zero FROM ship""")
@@ -364,7 +366,7 @@ def _(spark, d):
     return out.withColumn("estimate", rnd("estimate"))
 
 
-@query("ml_onehot_pipeline", f"""WITH {SHIP} SELECT count(*) AS n, true AS finite FROM ship""")
+@query("ml_onehot_fit", f"""WITH {SHIP} SELECT count(*) AS n, true AS finite FROM ship""")
 def _(spark, d):
     rows, spec = dense_model(spark, d)
     x = ml.features(rows, spec).select("label", "features").persist()

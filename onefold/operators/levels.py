@@ -36,9 +36,12 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
     return out.groupBy("factor", "level").agg(F.sum("n").alias("n"))
 
 
-def rank_levels(counts: DataFrame, window_levels: int = WINDOW_LEVELS) -> DataFrame:
-    """Append ``rank, cum_n, total, cum_frac`` by falling frequency (ties by level name)."""
-    counts = settle(counts)
+def rank_levels(counts: DataFrame, window_levels: int = WINDOW_LEVELS, settled: bool = False) -> DataFrame:
+    """Append ``rank, cum_n, total, cum_frac`` by falling frequency (ties by level name).
+
+    The counts are used more than once, so they are settled unless they come from a settled frame.
+    """
+    counts = counts if settled else settle(counts)
     # One row per factor comes back: as many as the model has categorical columns.
     sizes = counts.groupBy("factor").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("levels")).collect()
@@ -86,13 +89,14 @@ def dropped_levels(levels: DataFrame) -> DataFrame:
 def term_levels(levels: DataFrame, window_levels: int = WINDOW_LEVELS) -> DataFrame:
     """``factor, level, n, code, term`` after collapsing: what the model has terms for.
 
+    ``levels`` is a level dictionary as selected or as read from a store.
     Dropped levels are added up into ``OTHERS`` first; codes follow frequency, 0 first.
     The sum over dropped levels is combined on the map side, however many there are.
     """
     collapsed = levels.groupBy(
         "factor", F.when(F.col("kept"), F.col("level")).otherwise(F.lit(OTHERS)).alias("level")
     ).agg(F.sum("n").alias("n"))
-    ranked = rank_levels(collapsed, window_levels)
+    ranked = rank_levels(collapsed, window_levels, settled=True)
     return ranked.select(
         "factor", "level", "n", (F.col("rank") - 1).cast("int").alias("code"),
         term_name(F.col("factor"), F.col("level")).alias("term"))

@@ -161,10 +161,11 @@ def estimates(combined: DataFrame, path: DataFrame, spec: TermSpec) -> DataFrame
     wide = best.groupBy(*spec.keys).agg(
         F.first(F.when(F.col("criterion") == "aic", F.col("beta")), ignorenulls=True).alias("aic"),
         F.first(F.when(F.col("criterion") == "bic", F.col("beta")), ignorenulls=True).alias("bic"))
-    if not spec.keys:
-        one = F.lit(0).alias("__one")
-        return combined.select("*", one).join(wide.select("*", one), "__one").drop("__one")
-    return combined.join(wide, list(spec.keys))
+    # One row per model on either side: put them under each other and take what each brings.
+    rows = combined.unionByName(wide, allowMissingColumns=True)
+    values = [c for c in rows.columns if c not in spec.keys]
+    merged = rows.groupBy(*spec.keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+    return merged.filter(F.col("n_total").isNotNull())
 
 
 __all__ = ["INTERCEPT", "choose", "estimates", "path_terms", "rank_steps", "shrink", "shrink_path",

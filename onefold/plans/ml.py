@@ -1,4 +1,4 @@
-"""Spark ML baselines: the one-hot feature pipeline and maximum-likelihood or elastic-net fits."""
+"""Spark ML baselines: the one-hot feature stages and maximum-likelihood or elastic-net fits."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from onefold.operators.evaluate import loglik_from_prob
 from onefold.spec import OTHERS, TermSpec
 
 
-def onehot_pipeline(factors: Sequence[str], drop_last: bool = False, out: str = "features_ONEHOT") -> Pipeline:
+def onehot_stages(factors: Sequence[str], drop_last: bool = False, out: str = "features_ONEHOT") -> Pipeline:
     """Index by falling frequency, encode, assemble; all factors go through each stage together."""
     idx = [f"{c}_IDX" for c in factors]
     hot = [f"{c}_ONEHOT" for c in idx]
@@ -42,7 +42,7 @@ def onehot(df: DataFrame, spec: TermSpec, drop_last: bool = False, sparse: bool
     """Append the one-hot vector of all factors, as an array unless ``sparse``."""
     factors = [f.name for f in spec.factors]
     rows = collapse(df, spec)
-    model = onehot_pipeline(factors, drop_last).fit(rows)
+    model = onehot_stages(factors, drop_last).fit(rows)
     out = model.transform(rows)
     if not sparse:
         out = out.withColumn("features_ONEHOT", vector_to_array("features_ONEHOT", "float64"))

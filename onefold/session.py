@@ -86,6 +86,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex[:12]}/{name}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame as a Parquet scratch table and read it back.
+
+    For a wide join used by several passes: each pass then reads the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df`` holds at most ``limit`` rows; else leave the join to Catalyst.
 
