@@ -21,7 +21,7 @@ from onefold.operators.chunks import CHUNK
 from onefold.operators.newton import (
     CodedDesign, logistic_sums, newton_fit, newton_step, pack, small_step, unpack,
 )
-from onefold.operators.prepare import add_codes, standardise_columns
+from onefold.operators.prepare import add_codes, complete_rows, standardise_columns
 from onefold.session import BROADCAST_ROWS, settle, small_side
 from onefold.spec import TermSpec
 
@@ -39,11 +39,12 @@ _BODY = (
 def coded_rows(df: DataFrame, spec: TermSpec, compress: bool | None = None) -> DataFrame:
     """The narrow frame the fit works on: keys, chunk, continuous columns, codes, hits, trials.
 
+    Rows with a null in any of them are left out, here as in the log-likelihood.
     ``compress`` adds up rows with equal predictors first, which is exact for a logistic
     likelihood. By default it is used when there are few level combinations and no continuous
     columns: the rows then vanish on the map side and never reach a shuffle.
     """
-    rows = standardise_columns(add_codes(df, spec), dict(spec.scales))
+    rows = standardise_columns(add_codes(complete_rows(df, spec), spec), dict(spec.scales))
     codes = [f"code_{f.name}" for f in spec.factors]
     by = [*spec.keys, CHUNK, *spec.continuous, *codes]
     narrow = rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onefold.functions import log_density, log_density_from_prob, logistic
-from onefold.operators.prepare import add_codes, standardise_columns
+from onefold.operators.prepare import add_codes, complete_rows, standardise_columns
 from onefold.session import BROADCAST_ROWS, settle, small_side
 from onefold.spec import TermSpec
 
@@ -57,8 +57,8 @@ def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods:
 
 
 def loglik(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """``keys, n, loglik_<method>...``: every method summed in the same scan."""
-    rows = _with_predictors(df, spec, betas, methods)
+    """``keys, n, loglik_<method>...``: every method summed in the same scan, over complete rows."""
+    rows = _with_predictors(complete_rows(df, spec), spec, betas, methods)
     y = F.col(spec.response).cast("double")
     sums = [F.sum(log_density(y, F.col(f"__eta_{m}"))).alias(f"loglik_{m}") for m in methods]
     return rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -81,7 +81,7 @@ def score_check(df: DataFrame, spec: TermSpec, betas: DataFrame, method: str, by
 
     Zero at a maximum of the likelihood; the independent test of a fit.
     """
-    rows = _with_predictors(df, spec, betas, [method])
+    rows = _with_predictors(complete_rows(df, spec), spec, betas, [method])
     rows = rows.withColumn(
         "__residual", F.col(spec.response).cast("double") - logistic(F.col(f"__eta_{method}")))
     residual = F.col("__residual")

@@ -20,12 +20,13 @@ def level_counts(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     """``factor, level, n`` for all factors in one pass.
 
     Rows are unpivoted in place and counted with map-side combining, so what is
-    shuffled are distinct levels per task, never rows.
+    shuffled are distinct levels per task, never rows. Nulls are no level.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")) for c in factors
     ])
-    return df.select(F.inline(pairs)).groupBy("factor", "level").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.inline(pairs)).filter(F.col("level").isNotNull())
+    return cells.groupBy("factor", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:

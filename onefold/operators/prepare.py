@@ -15,14 +15,33 @@ from onefold.spec import INTERCEPT, OTHERS, Factor, TermSpec
 INLINE_LEVELS = 16
 
 
+def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null or NaN in the given columns.
+
+    ``dropna`` makes one opaque predicate of it; single conditions are pushed to the scan.
+    """
+    kinds = dict(df.dtypes)
+    keep = F.lit(True)
+    for c in dict.fromkeys(columns):
+        keep = keep & F.col(c).isNotNull()
+        if kinds[c] in ("double", "float"):
+            keep = keep & ~F.isnan(c)
+    return df.filter(keep)
+
+
 def project(df: DataFrame, columns: Sequence[str], dropna: bool = True) -> DataFrame:
-    """Keep the used columns; drop rows with a null in any of them.
+    """Keep the used columns; drop rows with a null or NaN in any of them.
 
     The filter is placed on the scan, so Parquet gets ``IsNotNull`` predicates and
     reads these columns only.
     """
     out = df.select(*columns)
-    return out.dropna(subset=list(columns)) if dropna else out
+    return drop_missing(out, columns) if dropna else out
+
+
+def complete_rows(df: DataFrame, spec: TermSpec) -> DataFrame:
+    """Rows without a null in the response, a predictor or a model key."""
+    return drop_missing(df, [spec.response, *spec.continuous, *[f.name for f in spec.factors], *spec.keys])
 
 
 def binarise(df: DataFrame, column: str, threshold: float = 0.0, into: str | None = None) -> DataFrame:

@@ -40,4 +40,4 @@ def compare(spark, con, fn, sql, sf_dir):
     df = fn(spark, sf_dir)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
     want = canonical(*sql_rows(con, sql))
-    return got, want
+    return got, want, df._jdf.queryExecution().executedPlan().toString()

@@ -168,6 +168,33 @@ def test_loglik_and_prediction(spark):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-10)
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_rows_with_nulls_are_left_out(spark, compress):
+    df = spark.createDataFrame(frame())
+    holes = df
+    for i, c in enumerate(["y", "x", "f"]):
+        holes = holes.withColumn(c, F.when(F.pmod(F.hash("x", "z"), F.lit(10)) != i, F.col(c)))
+    kept = holes.dropna()
+    assert 0 < kept.count() < df.count()
+    a, b = (combine(fit_chunks(rows, SPEC, compress=compress), SPEC) for rows in (holes, kept))
+    np.testing.assert_allclose(a.first()["wlse"], b.first()["wlse"], atol=1e-9)
+    assert a.first()["n_total"] == kept.count()
+    got, want = (loglik(rows, SPEC, a, ["wlse"]).first() for rows in (holes, kept))
+    assert got["n"] == want["n"] and got["loglik_wlse"] == pytest.approx(want["loglik_wlse"])
+
+
+def test_no_estimate_beats_the_mle(spark):
+    pdf = frame()
+    df = spark.createDataFrame(pdf)
+    c = combine(fit_chunks(df, SPEC), SPEC)
+    betas = estimates(c, shrink_path(c, SPEC), SPEC)
+    best, _ = mle(dense(pdf), pdf.y.to_numpy())
+    top = loglik(df, SPEC, constants({"mle": best}, spark), ["mle"]).first()["loglik_mle"]
+    row = loglik(df, SPEC, betas, METHODS).first()
+    assert all(row[f"loglik_{m}"] <= top + 1e-9 for m in METHODS)
+    assert row["loglik_wlse"] > top - 1.0
+
+
 def test_extreme_predictor_has_finite_loglik(spark):
     pdf = pd.DataFrame({"x": [1000.0, -1000.0], "y": [1, 0]})
     spec = TermSpec("y", ("x",))

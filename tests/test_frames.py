@@ -13,7 +13,7 @@ from onefold.operators import stats as st
 from onefold.operators.chunkfit import fit_chunks
 from onefold.operators.combine import combine
 from onefold.operators.ols import group_ols
-from onefold.operators.prepare import add_codes, collapse_levels, dummy_columns
+from onefold.operators.prepare import add_codes, collapse_levels, dummy_columns, project
 from onefold.operators.rowindex import dense_index
 from onefold.sources import csv
 from onefold.sources.rows import from_local, generate_groups
@@ -94,6 +94,14 @@ def test_codes_match_dummies(spark, baseline, width):
         assert hot == ([spec.terms[code]] if code < len(spec.terms) else [])
 
 
+def test_missing_values_go_like_dropna(spark):
+    rows = [(1.0, "a"), (None, "b"), (float("nan"), "c"), (2.0, None), (3.0, "NaN")]
+    df = spark.createDataFrame(rows, "x double, s string")
+    got = project(df, ["x", "s"])
+    assert sorted(r["x"] for r in got.collect()) == [1.0, 3.0]
+    assert got.exceptAll(df.dropna()).isEmpty() and df.dropna().exceptAll(got).isEmpty()
+
+
 def test_too_many_terms_is_an_error(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": np.arange(200).astype(str)}))
     terms = lv.term_levels(lv.select_levels(lv.level_counts(df, ["a"]), {"a": 1.0}))

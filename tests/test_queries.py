@@ -9,7 +9,7 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry_has_rows(spark):
@@ -18,10 +18,6 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, sf_dir, name):
-    got, want = compare(spark, duck, QUERIES[name], ORACLES[name], sf_dir)
+    got, want, plan = compare(spark, duck, QUERIES[name], ORACLES[name], sf_dir)
     assert got == want
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
