@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onefold.llm.near_dup import near_duplicates
 from onefold.llm.substring_dedup import remove_repeats
 
 
@@ -41,8 +42,14 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_rem
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a similarity of 0.8 of their sets of 4-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op8_minhash_near_dup": op8_minhash_near_dup,
 }
 
 ORACLES = {

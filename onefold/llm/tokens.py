@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes of text hashed at once; bounds the memory of the 8-byte arrays below.
 SLICE_BYTES = 3_000_000
@@ -124,11 +125,44 @@ def window_starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(counts.sum()) + np.repeat(skipped, counts), row
 
 
+def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run ``begin[i]:end[i]``; runs of other lengths get other hashes."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables("word", len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    length = (end - begin).astype(np.uint64)
+    return mix((sums[end] - sums[begin]) * down[begin] + mix(length))
+
+
+def shingle_sets(texts: pa.Array, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the ``n``-word shingles of each text, end to end, and their bounds.
+
+    A text with 1 to ``n - 1`` words has its whole sequence as its one shingle.
+    """
+    words = words_of(texts, lower)
+    hashes, count = words.hashes(), words.counts()
+    at, _ = window_starts(words.first, n)
+    windows = window_hashes(hashes, n)[at]
+    bounds = np.concatenate(([0], np.cumsum(np.maximum(count - n + 1, 0))))
+    short = np.flatnonzero((count > 0) & (count < n))
+    whole = dict(zip(short.tolist(), run_hashes(hashes, words.first[short], words.first[short + 1]), strict=True))
+    sets = []
+    for i in range(len(count)):
+        if i in whole:
+            sets.append(np.array([whole[i]], np.uint64))
+        else:
+            x = np.sort(windows[bounds[i]:bounds[i + 1]])
+            sets.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x)
+    return joined(sets, np.uint64), np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     begin, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
