@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onefold.llm.decontaminate import contained_items
+from onefold.llm.html_text import main_text
 from onefold.llm.near_dup import near_duplicates
+from onefold.llm.packing import pack_documents
 from onefold.llm.substring_dedup import remove_repeats
 
 
@@ -21,6 +24,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER_WORDS = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 OP2_SQL = rf"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 windows AS (
@@ -47,11 +52,48 @@ def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 512 to 4096 words packed from all documents, with the pieces in each."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 80 % of the five-word shingles of a benchmark item."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
+OP10_SQL = rf"""
+WITH words AS (
+  SELECT true AS is_doc, doc_id AS id, {_LOWER_WORDS} AS ws FROM documents
+  UNION ALL SELECT false, item_id, {_LOWER_WORDS} FROM benchmark
+),
+shingles AS (
+  SELECT DISTINCT is_doc, id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT is_doc, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)
+),
+items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE NOT is_doc),
+shared AS (
+  SELECT d.id AS doc_id, i.item_id, any_value(i.n_item) AS n_item, count(*) AS n_shared
+  FROM shingles d JOIN items i USING (g) WHERE d.is_doc GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n_item::INTEGER AS n_item, n_shared::INTEGER AS n_shared, n_shared::DOUBLE / n_item AS containment
+FROM shared WHERE 100 * n_shared >= 80 * n_item
+"""
+
 ORACLES = {
+    "op10_benchmark_decontamination": OP10_SQL,
     "op2_substring_dedup": OP2_SQL,
 }
