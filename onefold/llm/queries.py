@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.decontaminate import contained_items
 from onefold.llm.html_text import main_text
 from onefold.llm.near_dup import near_duplicates
@@ -47,6 +48,11 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_rem
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every hundredth vector with all others."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by a similarity of 0.8 of their sets of 4-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
+    "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
@@ -93,7 +100,22 @@ SELECT doc_id, item_id, n_item::INTEGER AS n_item, n_shared::INTEGER AS n_shared
 FROM shared WHERE 100 * n_shared >= 80 * n_item
 """
 
+OP7_SQL = """
+WITH ok AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+flat AS (SELECT vec_id, len(v) AS dims, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS x FROM ok),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM flat q JOIN flat c USING (dims, d) WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
 ORACLES = {
+    "op7_bit_sliced_top_k": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op2_substring_dedup": OP2_SQL,
 }
