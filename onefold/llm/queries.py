@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.decontaminate import contained_items
 from onefold.llm.html_text import main_text
+from onefold.llm.lang_id import fit_languages, predict_languages
 from onefold.llm.near_dup import near_duplicates
 from onefold.llm.packing import pack_documents
 from onefold.llm.substring_dedup import remove_repeats
@@ -68,6 +69,15 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held).select("doc_id", "text", "lang"))
+    found = predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of the five-word shingles of a benchmark item."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +89,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
