@@ -12,6 +12,7 @@ from onefold.llm.lang_id import fit_languages, predict_languages
 from onefold.llm.near_dup import near_duplicates
 from onefold.llm.packing import pack_documents
 from onefold.llm.substring_dedup import remove_repeats
+from onefold.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,14 @@ SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_rem
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from toxic and unlabelled rows outside the held-out fold."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs.where(~held), table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic"))
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products of every hundredth vector with all others."""
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -87,6 +96,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
+    "op6_pu_toxicity": op6_pu_toxicity,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_language_id": op9_language_id,
