@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onefold.llm.backoff import backoff_scores
 from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.decontaminate import contained_items
 from onefold.llm.html_text import main_text
@@ -73,6 +74,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff score of every document under the counts of all documents."""
+    scored = backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), "n_backed_off")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
@@ -95,6 +102,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_backoff_scores": op4_backoff_scores,
     "op5_html_extraction": op5_html_extraction,
     "op6_pu_toxicity": op6_pu_toxicity,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
@@ -121,6 +129,33 @@ SELECT doc_id, item_id, n_item::INTEGER AS n_item, n_shared::INTEGER AS n_shared
 FROM shared WHERE 100 * n_shared >= 80 * n_item
 """
 
+OP4_SQL = rf"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM docs),
+grams AS (
+  SELECT doc_id, i, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1:i] END AS g2, CASE WHEN i > 2 THEN ws[i - 2:i] END AS g3 FROM words
+),
+c1 AS (SELECT g1, count(*) AS n1 FROM grams GROUP BY g1),
+c2 AS (SELECT g2, count(*) AS n2 FROM grams WHERE g2 IS NOT NULL GROUP BY g2),
+c3 AS (SELECT g3, count(*) AS n3 FROM grams WHERE g3 IS NOT NULL GROUP BY g3),
+counted AS (
+  SELECT g.doc_id, g.g2, g.g3, c1.n1, before.n1 AS before1, c2.n2, before2.n2 AS before2, c3.n3, (SELECT count(*) FROM grams) AS total
+  FROM grams g JOIN c1 USING (g1)
+  LEFT JOIN c1 before ON before.g1 = g.g2[1] LEFT JOIN c2 ON c2.g2 = g.g2
+  LEFT JOIN c2 before2 ON before2.g2 = g.g3[1:2] LEFT JOIN c3 ON c3.g3 = g.g3
+),
+scored AS (
+  SELECT doc_id, CASE WHEN g3 IS NOT NULL THEN coalesce(n3, 0) < 2 WHEN g2 IS NOT NULL THEN n2 < 2 ELSE false END AS backed,
+    CASE WHEN n3 >= 2 THEN ln(n3::DOUBLE) - ln(before2::DOUBLE)
+      WHEN n2 >= 2 THEN ln(n2::DOUBLE) - ln(before1::DOUBLE) + CASE WHEN g3 IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+      ELSE ln(n1::DOUBLE) - ln(total::DOUBLE)
+        + CASE WHEN g3 IS NOT NULL THEN 2 * ln(0.4::DOUBLE) WHEN g2 IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END END AS s
+  FROM counted
+)
+SELECT d.doc_id, len(d.ws) AS n_words, round(coalesce(sum(s), 0), 5) AS log_score, count_if(backed)::BIGINT AS n_backed_off
+FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id, len(d.ws)
+"""
+
 OP7_SQL = """
 WITH ok AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
@@ -136,6 +171,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 ORACLES = {
+    "op4_backoff_scores": OP4_SQL,
     "op7_bit_sliced_top_k": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op2_substring_dedup": OP2_SQL,
