@@ -12,6 +12,7 @@ from onefold.llm.html_text import main_text
 from onefold.llm.lang_id import fit_languages, predict_languages
 from onefold.llm.near_dup import near_duplicates
 from onefold.llm.packing import pack_documents
+from onefold.llm.revisits import resolve_revisits
 from onefold.llm.substring_dedup import remove_repeats
 from onefold.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -20,6 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Crawl records of the pages: each is fetched in full, then asked for again under another spelling of its URL.
+
+    By page_id modulo 4 the second request names the right etag, only the right date, an outdated etag, or nothing.
+    """
+    tag, date = F.concat(F.lit('W/"'), F.md5("html"), F.lit('"')), F.concat(F.lit("day "), F.col("page_id") % 365)
+    first = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
+        date.alias("last_modified"), F.md5("html").alias("digest"),
+        F.create_map(F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("Date"), date, F.lit("Server"), F.lit("a")).alias("headers"),
+    )
+    way = F.col("page_id") % 4
+    again = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "^https?:", "http:"), F.lit("#again")).alias("url"),
+        (F.col("page_id") + 50).alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(way == 0, F.concat(F.lit('"'), F.md5("html"), F.lit('"'))).when(way == 2, F.lit('"old"')).alias("etag"),
+        F.when(way == 1, date).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), F.concat(F.lit("later "), date), F.lit("ETag"), F.lit("x")).alias("headers"),
+    )
+    return first.unionByName(again)
+
+
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses that not-modified answers confirm, with merged headers, over the captures of all pages."""
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url_key", "response_id", "outcome", "digest", F.array_join(lines, "; ").alias("headers"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left when every 13-word window that starts in an earlier document is cut."""
     done = remove_repeats(table(spark, sf_dir, "documents"))
@@ -100,6 +130,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op1_revisit_resolution": op1_revisit_resolution,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_backoff_scores": op4_backoff_scores,
@@ -170,7 +201,38 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
 """
 
+_CANONICAL = r"""
+  regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/$', '')
+  || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END
+"""
+
+OP1_SQL = rf"""
+WITH bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS bare FROM pages
+),
+split AS (
+  SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)')) AS params FROM bare
+),
+keyed AS (SELECT page_id, html, md5(html) AS digest, 'day ' || (page_id % 365) AS date, {_CANONICAL} AS url_key FROM split),
+found AS (
+  SELECT r.page_id, r.url_key, r.digest AS own, r.date, f.page_id AS response, f.digest, f.date AS old_date, strlen(f.html) AS size
+  FROM keyed r ASOF LEFT JOIN keyed f ON r.url_key = f.url_key AND r.page_id + 50 > f.page_id
+),
+judged AS (
+  SELECT *, CASE WHEN response IS NULL THEN 'missing' WHEN page_id % 4 = 3 THEN 'unchecked' WHEN page_id % 4 = 2 THEN 'mismatch'
+    WHEN page_id % 4 = 0 AND own = digest OR page_id % 4 = 1 AND date = old_date THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found
+)
+SELECT page_id * 2 + 1 AS record_id, url_key, response * 2 AS response_id, outcome,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN digest END AS digest,
+  CASE WHEN outcome IN ('resolved', 'unchecked')
+    THEN 'content-length: ' || size || '; date: later ' || date || '; etag: x; server: a' END AS headers
+FROM judged
+"""
+
 ORACLES = {
+    "op1_revisit_resolution": OP1_SQL,
     "op4_backoff_scores": OP4_SQL,
     "op7_bit_sliced_top_k": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
