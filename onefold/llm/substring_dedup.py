@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def _spans(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
-def _remove(rows: pa.Table, answers: pa.Table, n: int, bits: int) -> pa.Table:
+def _remove(rows: pa.Table, answers: pa.Table, n: int, bits: int, untouched: bool) -> pa.Table:
     rows = in_order(rows)
     mask = _Keys(rows, n, bits).repeated(
         {b.as_py(): numbers(x, np.uint8) for b, x in zip(answers["bucket"], answers["later"], strict=True)}
@@ -159,10 +160,11 @@ def _remove(rows: pa.Table, answers: pa.Table, n: int, bits: int) -> pa.Table:
             at, _ = window_starts(words.first, n)
             gone = _covered(words, at[mask[used:used + len(at)]], n) if len(words.start) else np.zeros(0, bool)
             used += len(at)
-            texts.append(_joined_words(words, ~gone))
+            kept = _joined_words(words, ~gone)
             spans.append(_spans(words, gone))
             counts.append(words.counts())
             removed.append(np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first]))
+            texts.append(pc.if_else(pa.array(removed[-1] == 0), part["text"], kept) if untouched else kept)
     return pa.table({
         "doc_id": rows["doc_id"], "rest": rows["rest"],
         "kept_text": pa.chunked_array(texts, pa.string()),
@@ -176,12 +178,13 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("hashes", p
 _REPLY = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("later", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, untouched: bool = False) -> DataFrame:
     """Cut every word covered by a window whose words also start in a smaller doc_id.
 
     ``docs`` needs doc_id and text; other columns, whatever their names, come back in the struct
     ``rest``. Result per input row: doc_id, rest, kept_text (kept words joined by one space),
-    removed_spans (maximal [start, end) word intervals), n_words, n_removed.
+    removed_spans (maximal [start, end) word intervals), n_words, n_removed. With ``untouched`` a text
+    that loses nothing comes back as it is, a null included.
 
     Windows are judged on the input. A null or blank text gives an empty kept_text. Rows without
     doc_id are kept whole and remove nothing elsewhere. Rows with the same doc_id do not remove
@@ -196,7 +199,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     replies = requests.groupBy("bucket").applyInArrow(_answer, "pack long, bucket int, later binary")
     rest = packs.schema["rest"].dataType.simpleString()
     return packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
-        lambda rows, answers: _remove(rows, answers, window, bits),
+        lambda rows, answers: _remove(rows, answers, window, bits, untouched),
         f"doc_id long, rest {rest}, kept_text string, removed_spans array<struct<start:int,end:int>>, n_words long, n_removed long",
     )
 
