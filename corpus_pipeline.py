@@ -16,6 +16,10 @@ from onefold.session import settle, ship_code, small_side, stage
 MIN_LANGUAGE_SCORE = 0.4
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identifiable language; those without a letter or with a score below the minimum go.
 
@@ -27,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = predict_languages(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    own = ("doc_id", "text")
+    return found.select(*[F.col(c) if c in own else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +46,10 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = settle(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.take(1):
-        return left.select(*docs.columns)
+        return left.select(*_columns(docs))
     repeated = small_side(repeated)
     once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return left.join(repeated, "doc_id", "left_anti").select(*_columns(docs)).unionByName(once.select(*_columns(docs)))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ship_code(spark)
     leaks = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = small_side(settle(leaks.select("doc_id").distinct()))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
