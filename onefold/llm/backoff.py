@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from onefold.llm.tokens import joined, mix, slices, window_hashes, window_starts
 ORDER = 3
 MIN_COUNT = 2
 ALPHA = 0.4
+# Larger packs add up more equal n-grams before they ask.
+PACK_BYTES = 10_000_000
 _BYTES_PER_WORD = 6
 
 
@@ -55,12 +58,25 @@ def from_sorted(data: pa.Scalar) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(raw[1:9], np.uint64), steps.reshape(-1).view(np.uint64))), dtype=np.uint64)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames, two thirds of what the shuffle's own compression makes of them."""
+    tool = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [None if x is None else tool.compress(x.encode()) for x in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["pack"], batch["doc_id"], pa.array(texts, pa.binary())], names=["pack", "doc_id", "text"])
+
+
+def _texts(rows: pa.Table) -> pa.Table:
+    tool = zstandard.ZstdDecompressor()
+    return pa.table({"text": pa.array([None if x is None else tool.decompress(x).decode() for x in rows["text"].to_pylist()], pa.string())})
+
+
 class _Grams:
     """The n-grams of a pack by position, and its distinct ones in rising order of hash."""
 
     def __init__(self, rows: pa.Table, bits: int):
         hashes, counts = [], []
-        for batch in rows.select(["text"]).to_batches():
+        for batch in _texts(rows).to_batches():
             for part in slices(batch):
                 words = words_of(part["text"])
                 hashes.append(words.hashes())
@@ -191,7 +207,9 @@ def backoff_scores(
     docs = docs.select("doc_id", "text")
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_total, "words long").agg(F.sum("words")).first()[0] or 0
     bits = bucket_bits(words)
-    packs = packed(docs, text_bytes(docs)).select("pack", "doc_id", "text")
+    packs = packed(docs, text_bytes(docs), PACK_BYTES).select("pack", "doc_id", "text")
+    packs = packs.mapInArrow(_squeezed, "pack long, doc_id long, text binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     request = "bucket int, pack long, n int, hashes binary, counts binary"
     reply = "pack long, bucket int, n int, totals binary"
 
@@ -203,7 +221,8 @@ def backoff_scores(
             run = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
                 lambda t, r: _ask(t, r, orders, bits, min_count), request
             )
-        return run.groupBy("bucket").applyInArrow(_answer, reply)
+        # Dealt out by pack once, for this round's readers and for the scoring.
+        return run.groupBy("bucket").applyInArrow(_answer, reply).repartition(parts, "pack")
 
     replies = asked(list(range(1, min(order, 2) + 1)), None)
     for n in range(3, order + 1):
