@@ -1,7 +1,7 @@
 """Headline queries, timed one by one; prints one JSON line.
 
-Each query runs once unmeasured on a smaller path of the same code (session and Python
-workers warm up), then is measured with its result written to the noop sink.
+One query runs unmeasured first, so that the session and the Python workers are up; then each
+query is measured once with its result written to the noop sink.
 """
 
 from __future__ import annotations

@@ -110,7 +110,10 @@ def _(spark, d):
 @query("whole_text_files", f"SELECT CAST({_LINES} AS BIGINT) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents")
 def _(spark, d):
     path = scratch_path(spark, "whole")
-    csv.write_text(table(spark, d, "documents").repartition(16, "doc_id"), "text", path)
+    docs = table(spark, d, "documents")
+    # A file is read as one string: files are set by volume, about 4 MB each.
+    volume = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    csv.write_text(docs.repartition(1 + volume // 4_000_000, "doc_id"), "text", path)
     text = F.col("text")
     per_file = csv.read_whole_files(spark, path).select(
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"),

@@ -13,14 +13,15 @@ from onefold.operators.combine import (
 )
 from onefold.operators.compare import compare, cut
 from onefold.operators.evaluate import constants, loglik, predict, score_check
+from onefold.operators.prepare import standardise_columns, unseen_rows
 from onefold.operators.shrink import choose, estimates, path_terms, rank_steps, shrink_path
 from onefold.operators.stats import describe
 from onefold.plans import ml
-from onefold.plans.regression import METHODS, Plan, fit
+from onefold.plans.regression import METHODS, Plan, extend, fit
 from onefold.plans.sgd import fit_sgd
-from onefold.session import settle, stage
+from onefold.session import scratch_path, settle, stage
 from onefold.sources import store
-from onefold.spec import TermSpec
+from onefold.spec import OTHERS, Factor, TermSpec
 
 QUERIES = {}
 ORACLES = {}
@@ -38,7 +39,7 @@ def query(name: str, sql: str | None = None):
 
 def cell_model(spark, d):
     """Rows and term list of the cell-means model: one factor of ten cells, no intercept."""
-    rows = shipments(spark, d).select("partition_id", "cell", "late", "o_orderpriority", "l_returnflag")
+    rows = stage(shipments(spark, d).select("partition_id", "cell", "late", "o_orderpriority", "l_returnflag"), "cells")
     return rows, factor_spec(rows, "late", ["cell"])
 
 
@@ -103,10 +104,27 @@ def _(spark, d):
     return _wlse(combine(summary, spec), spec)
 
 
+_ABSENT = CELLS.replace("FROM ship GROUP BY partition_id, cell", """FROM ship
+  WHERE NOT (partition_id = 0 AND cell LIKE '1-URGENT%' OR partition_id = 1 AND cell = '5-LOW|F') GROUP BY partition_id, cell""")
+
+
+@query("combine_absent_level", f"""WITH {_ABSENT} SELECT term, round(b, 8) + 0.0 AS wlse, round(one_shot, 8) + 0.0 AS one_shot,
+  CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_total, CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used FROM wl""")
+def _(spark, d):
+    # Two chunks lack cells that others have; no chunk and no row is lost.
+    rows, spec = cell_model(spark, d)
+    gone = ((F.col("partition_id") == 0) & F.col("cell").startswith("1-URGENT")) | (
+        (F.col("partition_id") == 1) & (F.col("cell") == "5-LOW|F"))
+    combined = settle(combine(fit_chunks(rows.filter(~gone), spec), spec))
+    wide = coefficients_wide(coefficients(combined, spec, {"wlse": "wlse", "one_shot": "one_shot"}), spec, ["wlse", "one_shot"])
+    return wide.crossJoin(F.broadcast(combined.select("n_total", "n_used"))).select(
+        "term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"), "n_total", "n_used")
+
+
 def segment_model(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     rows = shipments(spark, d).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select("c_mktsegment", "partition_id", "o_orderpriority", "late")
+    rows = stage(rows.select("c_mktsegment", "partition_id", "o_orderpriority", "late"), "segments")
     return rows, factor_spec(rows, "late", ["o_orderpriority"], keys=["c_mktsegment"])
 
 
@@ -128,6 +146,24 @@ def _(spark, d):
     return wide.select("c_mktsegment", "term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"))
 
 
+_SEGMENT_ABSENT = _SEGMENT.replace("JOIN customer ON o_custkey = c_custkey)",
+                                   "JOIN customer ON o_custkey = c_custkey WHERE NOT (c_mktsegment = 'BUILDING' AND o_orderpriority = '5-LOW'))")
+
+
+@query("combine_by_segment_absent", f"""WITH {_SEGMENT_ABSENT}, t AS (SELECT c_mktsegment, sum(n) AS n FROM counts GROUP BY 1),
+  terms AS (SELECT DISTINCT term FROM wl)
+SELECT c_mktsegment, term, round(coalesce(wlse, 0.0), 8) + 0.0 AS wlse, wlse IS NOT NULL AS estimable, CAST(n AS BIGINT) AS n_used
+FROM t CROSS JOIN terms LEFT JOIN wl USING (c_mktsegment, term)""")
+def _(spark, d):
+    # One model lacks a level of the shared term list: it is fitted without that term.
+    rows, spec = segment_model(spark, d)
+    rows = rows.filter(~((F.col("c_mktsegment") == "BUILDING") & (F.col("o_orderpriority") == "5-LOW")))
+    terms = F.array(*[F.lit(t) for t in spec.terms])
+    cells = combine(fit_chunks(rows, spec), spec).select(
+        "c_mktsegment", "n_used", F.inline(F.arrays_zip(terms.alias("term"), "wlse", "estimable")))
+    return cells.select("c_mktsegment", "term", rnd("wlse", 8).alias("wlse"), "estimable", "n_used")
+
+
 @query("loglik_by_segment", f"""WITH {_SEGMENT}, p AS (SELECT c_mktsegment, term, 1 / (1 + exp(-wlse)) AS pw,
   1 / (1 + exp(-one_shot)) AS po FROM wl)
 SELECT c_mktsegment, count(*) AS n, round(sum(late * ln(pw) + (1 - late) * ln(1 - pw)), 4) AS loglik_wlse,
@@ -293,6 +329,60 @@ def _(spark, d):
     return wide.select("term", *[rnd(m, 8).alias(m) for m in METHODS])
 
 
+@query("main_job_no_row_key", f"""WITH {CELLS} SELECT term, CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used,
+  true AS near_mle FROM wl""")
+def _(spark, d):
+    # Rows with nothing to tell them apart: chunks are drawn, and the estimate stays near the cell log odds.
+    rows = shipments(spark, d).select("cell", "late")
+    out = fit(rows, Plan("late", keep_top={"cell": 1.0}, intercept=False, rows_per_chunk=5000))
+    odds = rows.groupBy("cell").agg(F.sum("late").alias("y"), F.count("*").alias("n")).select(
+        F.concat(F.lit("cell_"), "cell").alias("term"), F.log(F.col("y") / (F.col("n") - F.col("y"))).alias("mle"),
+        F.sqrt(F.col("n") / (F.col("y") * (F.col("n") - F.col("y")))).alias("error"))
+    wide = coefficients_wide(coefficients(out.combined, out.spec, {"wlse": "wlse"}), out.spec, ["wlse"])
+    n_used = out.combined.first()["n_used"]
+    return wide.join(odds, "term").select("term", F.lit(n_used).cast("bigint").alias("n_used"),
+                                          (F.abs(F.col("wlse") - F.col("mle")) < F.col("error") / 2).alias("near_mle"))
+
+
+@query("model_extend_twice", _WLSE)
+def _(spark, d):
+    # Three slices, the model stored and extended in between: all chunks count in the end.
+    rows = stage(shipments(spark, d).select("partition_id", "cell", "late"), "slices")
+    plan = Plan("late", keep_top={"cell": 1.0}, intercept=False)
+    folder = scratch_path(spark, "model")
+    fit(rows.filter("partition_id < 2"), plan).save(folder)
+    for k in (2, 3):
+        out = extend(rows.filter(F.col("partition_id") == k), plan, folder)
+        out.save(folder)
+    return _wlse(store.load_table(spark, folder, "combined"), out.spec)
+
+
+@query("unseen_levels", f"""WITH {SHIP} SELECT cell AS level, count(*) AS n FROM ship WHERE cell LIKE '5-LOW%' GROUP BY 1
+UNION ALL SELECT 'fitted', count(*) FROM ship WHERE cell NOT LIKE '5-LOW%'
+UNION ALL SELECT 'fitted with others', count(*) FROM ship""")
+def _(spark, d):
+    # Levels that the term list was not made from: counted and left out, or taken as others.
+    rows, _ = cell_model(spark, d)
+    spec = factor_spec(rows.filter(~F.col("cell").startswith("5-LOW")), "late", ["cell"])
+    others = TermSpec("late", (), (Factor.build("cell", [*spec.factors[0].levels, OTHERS]),))
+    parts = [unseen_rows(rows, spec).select("level", "n")]
+    for name, terms in (("fitted", spec), ("fitted with others", others)):
+        parts.append(combine(fit_chunks(rows, terms), terms).select(F.lit(name).alias("level"), F.col("n_used").alias("n")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("standardise_constant", """SELECT count(*) AS n, 0.0 AS constant, 0.0 AS single,
+  round(sum((l_quantity - m) / s * ((l_quantity - m) / s)) + 1, 4) AS squares
+FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)""")
+def _(spark, d):
+    # A column without spread, and one with the statistics of a single row, become 0.
+    rows = table(spark, d, "lineitem").select("l_quantity", F.lit(5.0).alias("same"))
+    stats = {r["col"]: (r["mean"], r["sd"]) for r in describe(rows, ["l_quantity", "same"]).collect()}
+    out = standardise_columns(rows.withColumn("one", F.col("l_quantity")), {**stats, "one": (7.0, None)})
+    return out.agg(F.count("*").alias("n"), F.max(F.abs("same")).alias("constant"), F.max(F.abs("one")).alias("single"),
+                   F.round(F.sum(F.col("l_quantity") * F.col("l_quantity")) + 1, 4).alias("squares"))
+
+
 @query("fit_in_place_check", """SELECT count(*) AS n_total, true AS all_used, true AS near_mle FROM lineitem""")
 def _(spark, d):
     # Chunks cut from the scan itself; their average must lie close to the fit of all rows.
@@ -397,7 +487,7 @@ SELECT CAST(n AS BIGINT) AS n, round(y * ln(y / n) + (n - y) * ln(1 - y / n), 2)
 def _(spark, d):
     # The predictors carry next to no signal, so a sound fit lies close to the intercept-only one.
     rows, spec = dense_model(spark, d)
-    theta = fit_sgd(rows, spec, epochs=3, parts=spark.sparkContext.defaultParallelism)
+    theta = fit_sgd(rows, spec, epochs=3, parts=8)  # fixed: the average depends on it
     share = rows.agg(F.avg("returned")).first()[0]
     null = [math.log(share / (1 - share))] + [0.0] * (spec.p - 1)
     out = loglik(rows, spec, constants({"sgd": theta, "null": null}, spark), ["sgd", "null"])

@@ -9,13 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _num(value: Column | float | int) -> Column:
-    return value if isinstance(value, Column) else F.lit(float(value))
+def _num(value: Column | float | int | None) -> Column:
+    if isinstance(value, Column):
+        return value
+    return F.lit(None).cast("double") if value is None else F.lit(float(value))
 
 
 def standardise(x: Column, mean: Column | float, sd: Column | float) -> Column:
-    """(x - mean) / sd."""
-    return (x - _num(mean)) / _num(sd)
+    """(x - mean) / sd; 0 where sd is 0, NaN or null, as for a constant column or a single row."""
+    spread = _num(sd)
+    varies = (spread != 0) & ~F.isnan(spread)
+    return F.when(x.isNotNull() & ~F.coalesce(varies, F.lit(False)), F.lit(0.0)).otherwise((x - _num(mean)) / F.nullif(spread, F.lit(0.0)))
 
 
 def logistic(eta: Column) -> Column:

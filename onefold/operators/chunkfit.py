@@ -13,16 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onefold.functions import has_nan
 from onefold.operators.chunks import CHUNK
 from onefold.operators.newton import (
-    CodedDesign, logistic_sums, newton_fit, newton_step, pack, small_step, unpack,
+    MAX_HALVINGS, CodedDesign, logistic_sums, newton_fit, newton_step, pack, separated, small_step, unpack,
 )
-from onefold.operators.prepare import add_codes, complete_rows, standardise_columns
-from onefold.session import BROADCAST_ROWS, settle, small_side
+from onefold.operators.prepare import coded, complete_rows, standardise_columns
+from onefold.session import BROADCAST_ROWS, settle, small_side, stage
 from onefold.spec import TermSpec
 
 # A chunk of more rows than this is not given to one task.
@@ -39,12 +39,13 @@ _BODY = (
 def coded_rows(df: DataFrame, spec: TermSpec, compress: bool | None = None) -> DataFrame:
     """The narrow frame the fit works on: keys, chunk, continuous columns, codes, hits, trials.
 
-    Rows with a null in any of them are left out, here as in the log-likelihood.
+    Rows with a null in any of them or with an unseen level are left out, here as in the
+    log-likelihood; ``prepare.unseen_rows`` counts the latter.
     ``compress`` adds up rows with equal predictors first, which is exact for a logistic
     likelihood. By default it is used when there are few level combinations and no continuous
     columns: the rows then vanish on the map side and never reach a shuffle.
     """
-    rows = standardise_columns(add_codes(complete_rows(df, spec), spec), dict(spec.scales))
+    rows = standardise_columns(coded(complete_rows(df, spec), spec), dict(spec.scales))
     codes = [f"code_{f.name}" for f in spec.factors]
     by = [*spec.keys, CHUNK, *spec.continuous, *codes]
     narrow = rows.select(
@@ -73,15 +74,67 @@ def fit_chunks(
     rows_per_task: int | None = ROWS_PER_TASK,
     max_iter: int = 100,
     tol: float = 1e-12,
+    pool: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Fit every chunk; one summary row per (model keys, chunk).
 
     ``hess`` is the upper triangle of X'diag(n p (1-p))X, row by row; ``v`` is Hessian times
-    theta. ``status`` is ``ok``, ``missing_level``, ``one_class`` or ``not_converged``; only
-    ``ok`` rows carry arrays. ``rows_per_task=None`` skips the size check, for chunk numbers
-    that are bounded by construction.
+    theta. A level without rows in the chunk has 0 in theta, v and its part of the Hessian, so
+    it adds nothing when chunks are combined. Chunks of one class or without an optimum are
+    pooled with others of their model until all rows are used; a pool has the smallest number
+    of its chunks. What is left is a model that has no optimum on all of its rows: its
+    ``status`` is ``one_class`` or ``not_converged`` instead of ``ok`` and it has no arrays.
+    ``rows_per_task=None`` skips the size check, for chunk numbers that are bounded by
+    construction; pools are always checked. ``tasks`` deals chunks that are not added up first
+    over so many tasks: a fit costs more than its bytes tell adaptive execution.
     """
     rows = coded_rows(df, spec, compress)
+    if tasks is not None and not (compress or (compress is None and patterns(spec) <= MAX_PATTERNS)):
+        rows = rows.repartition(tasks, *spec.keys, CHUNK)
+    first = _fit_sized(rows, spec, compress, rows_per_task, max_iter, tol)
+    return _pool_unusable(rows, first, spec, compress, rows_per_task, max_iter, tol) if pool else first
+
+
+def _pool_unusable(rows: DataFrame, first: DataFrame, spec: TermSpec, compress: bool | None,
+                   rows_per_task: int | None, max_iter: int, tol: float) -> DataFrame:
+    """Refit unusable chunks together, with more and more usable ones where that is not enough.
+
+    Only rows of the chunks in a pool are read again. Rounds double the usable chunks taken, so
+    there are at most as many as the number of chunks has bits.
+    """
+    group = [*spec.keys, CHUNK]
+    state = settle(first)
+    # Which chunk each original chunk is in now.
+    place = state.select(*group, F.col(CHUNK).alias("__pool"))
+    taken, alone = 0, None
+    while True:
+        usable = F.col("status") == "ok"
+        model = Window.partitionBy(*spec.keys)
+        facts = state.select(
+            *group, usable.alias("__ok"), F.count_if(~usable).over(model).alias("__bad"), F.count("*").over(model).alias("__all"),
+            F.row_number().over(model.orderBy(usable, "n", CHUNK)).alias("__rank"))
+        # One unusable chunk needs company at once; a model that is one chunk has no more to give.
+        extra = F.greatest(F.lit(taken), F.when(F.col("__bad") == 1, 1).otherwise(0))
+        pools = facts.filter((F.col("__bad") > 0) & (F.col("__all") > 1) & (F.col("__rank") <= F.col("__bad") + extra))
+        pools = settle(pools.withColumn("__to", F.min(CHUNK).over(model)).select(*group, "__to"))
+        if pools.isEmpty():
+            return state
+        moves = pools.withColumnRenamed(CHUNK, "__pool")
+        place = settle(place.join(small_side(moves), [*spec.keys, "__pool"], "left").select(
+            *group, F.coalesce("__to", "__pool").alias("__pool"), F.col("__to").isNotNull().alias("__moved")))
+        again = rows.join(small_side(place.filter("__moved").select(*group, "__pool")), group)
+        again = again.drop(CHUNK).withColumnRenamed("__pool", CHUNK).select(*rows.columns)
+        limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+        fitted = _fit_sized(again, spec, compress, limit, max_iter, tol)
+        state = settle(state.join(small_side(pools.select(*group)), group, "left_anti").unionByName(fitted))
+        place = place.drop("__moved")
+        taken = max(1, 2 * taken)
+
+
+def _fit_sized(rows: DataFrame, spec: TermSpec, compress: bool | None, rows_per_task: int | None,
+               max_iter: int, tol: float) -> DataFrame:
+    """Fit coded rows, large chunks in pieces."""
     group = [*spec.keys, CHUNK]
     hot = None
     added_up = compress or (compress is None and patterns(spec) <= MAX_PATTERNS)
@@ -132,27 +185,14 @@ class _Layout:
         return CodedDesign(numeric, [np.asarray(row[c], np.int64) for c in self.codes], self.widths,
                            self.intercept)
 
-    def blocked_by(self, counts: np.ndarray, hits: float, n: float) -> str | None:
-        """Why the chunk cannot be fitted; ``counts`` holds the rows of every factor level."""
-        if np.any(counts == 0):
-            return "missing_level"
-        if hits == 0 or hits == n:
-            return "one_class"
-        return None
-
-    def level_counts(self, design: CodedDesign, trials: np.ndarray) -> np.ndarray:
-        parts = [np.bincount(c, trials, w + 1)[:w] for c, w in zip(design.codes, design.widths)]
-        return np.concatenate(parts) if parts else np.ones(1)
-
 
 def _fit_rows(layout: _Layout, pdf: pd.DataFrame, max_iter: int, tol: float) -> list:
     """The body of one summary row."""
     design = layout.design(pdf)
     hits, trials = pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float)
     n, ones = trials.sum(), hits.sum()
-    status = layout.blocked_by(layout.level_counts(design, trials), ones, n)
-    if status is not None:
-        return [int(n), ones, status, 0, None, None, None, None]
+    if ones == 0 or ones == n:
+        return [int(n), ones, "one_class", 0, None, None, None, None]
     beta, h, loglik, iterations, good = newton_fit(design, hits, trials, max_iter, tol)
     if not good:
         return [int(n), ones, "not_converged", iterations, loglik, None, None, None]
@@ -171,15 +211,22 @@ def _fit_in_one_task(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float)
 
 
 def fit_in_place(df: DataFrame, spec: TermSpec, rows_per_chunk: int = 1_000_000,
-                 max_iter: int = 100, tol: float = 1e-12) -> DataFrame:
+                 max_iter: int = 100, tol: float = 1e-12, fallback: bool = True) -> DataFrame:
     """Fit runs of ``rows_per_chunk`` rows as the scan delivers them: nothing is shuffled.
 
     Each task cuts its own input into chunks and holds at most two of them; the last run of a
-    task that is shorter than half a chunk goes with the one before. For rows stored in no
-    particular order. Where files are sorted by a factor, use hashed chunk numbers instead.
+    task that is shorter than half a chunk goes with the one before. Scan partitions with
+    fewer rows than a chunk are read several to a task, so the result does not hang on the
+    number of files. If a run has no optimum all rows are drawn into chunks and fitted by
+    ``fit_chunks`` instead (unless ``fallback`` is off): none is left out. For rows stored in no particular order. Where
+    files are sorted by a factor, use hashed chunk numbers.
     """
     if spec.keys:
         raise ValueError("rows of several models are mixed in a scan; give chunk numbers instead")
+    total = df.count()
+    parts = df.rdd.getNumPartitions()
+    most = max(1, total // max(1, rows_per_chunk))
+    df = df.coalesce(most) if parts > most else df
     rows = coded_rows(df.withColumn(CHUNK, F.lit(0).cast("bigint")), spec, compress=False)
     layout = _Layout(spec)
 
@@ -189,7 +236,14 @@ def fit_in_place(df: DataFrame, spec: TermSpec, rows_per_chunk: int = 1_000_000,
             row = [base + i, *_fit_rows(layout, pdf, max_iter, tol)]
             yield pd.DataFrame([row], columns=[CHUNK, *_BODY_NAMES])
 
-    return _with_quality(rows.drop(CHUNK).mapInPandas(fit, f"{CHUNK} bigint, {_BODY}"), spec)
+    found = _with_quality(rows.drop(CHUNK).mapInPandas(fit, f"{CHUNK} bigint, {_BODY}"), spec)
+    if not fallback:
+        return found
+    found = settle(found)
+    if found.filter("status <> 'ok'").isEmpty():
+        return found
+    drawn = stage(df.withColumn(CHUNK, F.floor(F.rand(1) * most).cast("bigint")), "drawn")
+    return fit_chunks(drawn, spec, compress=False, max_iter=max_iter, tol=tol)
 
 
 def _runs(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -249,20 +303,19 @@ def _fit_in_pieces(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -
     # The state row of a chunk: current beta, the step that led to it, the last good likelihood.
     state = settle(facts.select(
         *group, n.cast("bigint").alias("n"), hits.alias("hits"),
-        F.when(F.exists(F.slice("sums", 3, F.size("sums")), lambda c: c == 0), "missing_level")
-        .when((hits == 0) | (hits == n), "one_class").otherwise("running").alias("status"),
-        F.lit(0).alias("iterations"), F.lit(None).cast("double").alias("loglik"),
+        F.when((hits == 0) | (hits == n), "one_class").otherwise("running").alias("status"),
+        F.slice("sums", 3, p).alias("squares"), F.lit(0).alias("iterations"), F.lit(0).alias("halvings"), F.lit(None).cast("double").alias("loglik"),
         zeros.alias("beta"), zeros.alias("step"), F.lit(False).alias("last"),
         nothing.alias("theta"), nothing.alias("v"), nothing.alias("hess")))
     schema = state.schema
 
     def advance(batches):
         for pdf in batches:
-            yield pd.DataFrame([_advance(r, p, tol) for r in pdf.to_dict("records")],
+            yield pd.DataFrame([_advance(r, p, tol, max_iter) for r in pdf.to_dict("records")],
                                columns=schema.names)
 
     most = max(1, BROADCAST_ROWS * 8 // p)
-    for _ in range(3 * max_iter):
+    while True:
         running = state.filter(F.col("status") == "running").select(*group, "beta")
         if running.isEmpty():
             break
@@ -270,8 +323,7 @@ def _fit_in_pieces(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -
         sums = sum_arrays(_block_sums(at_beta, layout, group, _newton_sums(layout)), group, F.col("sums"), "sums")
         state = settle(state.join(sums, group, "left").mapInPandas(advance, schema))
 
-    status = F.when(F.col("status") == "running", F.lit("not_converged")).otherwise(F.col("status"))
-    return state.withColumn("status", status).select(*group, *_BODY_NAMES)
+    return state.select(*group, *_BODY_NAMES)
 
 
 def _blocks(rows: DataFrame, layout: _Layout, group: list[str]) -> DataFrame:
@@ -309,13 +361,11 @@ def _block_sums(blocks: DataFrame, layout: _Layout, group: list[str], terms) ->
 
 
 def _counting(layout: _Layout):
-    """Rows, hits and rows per factor level of a block (then a 1, so the list is never empty)."""
+    """Rows, hits and the squares of every term of a block."""
 
     def terms(row: dict) -> np.ndarray:
         trials = np.asarray(row["trials"], float)
-        return np.concatenate([
-            [trials.sum(), np.sum(row["hits"])],
-            layout.level_counts(layout.block_design(row), trials), [1.0]])
+        return np.concatenate([[trials.sum(), np.sum(row["hits"])], layout.block_design(row).squares(trials)])
 
     return terms
 
@@ -332,8 +382,8 @@ def _newton_sums(layout: _Layout):
     return terms
 
 
-def _advance(row: dict, p: int, tol: float) -> dict:
-    """One Newton move of a chunk from the sums at its current beta."""
+def _advance(row: dict, p: int, tol: float, max_iter: int) -> dict:
+    """One Newton move of a chunk from the sums at its current beta; stops as ``newton_fit`` does."""
     sums = row.pop("sums")
     if sums is None or row["status"] != "running":
         return row
@@ -344,11 +394,15 @@ def _advance(row: dict, p: int, tol: float) -> dict:
     first = before is None or np.isnan(before)
     if not first and not loglik >= before - 1e-10 * (1.0 + abs(before)):
         half = step / 2.0
-        if np.max(np.abs(half)) < 1e-14:
-            row["status"] = "not_converged"
-        return {**row, "beta": beta - half, "step": half}
-    row.update(loglik=loglik, iterations=int(row["iterations"]) + (0 if first else 1))
+        halvings = int(row["halvings"]) + 1
+        status = "not_converged" if halvings >= MAX_HALVINGS else "running"
+        return {**row, "beta": beta - half, "step": half, "halvings": halvings, "status": status}
+    row.update(loglik=loglik, iterations=int(row["iterations"]) + (0 if first else 1), halvings=0)
+    if row["last"] and separated(hessian, np.asarray(row["squares"], float)):
+        return {**row, "status": "not_converged"}
     if row["last"]:
         return {**row, "status": "ok", "theta": beta, "v": hessian @ beta, "hess": pack(hessian)}
+    if row["iterations"] >= max_iter:
+        return {**row, "status": "not_converged"}
     step = newton_step(gradient, hessian)
     return {**row, "beta": beta + step, "step": step, "last": small_step(step, beta, tol)}

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onefold.operators.chunkfit import sum_arrays
-from onefold.operators.newton import unpack
+from onefold.operators.newton import newton_step, unpack
 from onefold.spec import TermSpec
 
 _SOLVED = (
     "n_total bigint, n_used bigint, chunks_total bigint, chunks_used bigint, "
-    "wlse array<double>, one_shot array<double>, hess array<double>"
+    "wlse array<double>, one_shot array<double>, hess array<double>, estimable array<boolean>"
 )
 
 
@@ -33,15 +33,19 @@ def combine(summaries: DataFrame, spec: TermSpec) -> DataFrame:
 
     Only chunks with status ``ok`` count; totals over all chunks are reported beside them.
     ``hess`` is the summed Hessian, upper triangle. Models without any usable chunk get nulls.
+    The one-shot average of a term is over the chunks that have rows for it. A term without
+    information in any chunk is not ``estimable``: its estimate is 0.
     """
     keys = list(spec.keys)
     p = spec.p
+    diagonal = F.array(*[F.lit(i * p - i * (i - 1) // 2 + 1) for i in range(p)])
+    present = F.transform(diagonal, lambda i: F.when(F.element_at("hess", i) > 0, 1.0).otherwise(0.0))
     ok = F.col("status") == "ok"
     n = F.col("n").cast("double")
     counts = F.array(
         n, F.when(ok, n).otherwise(0.0), F.lit(1.0), F.when(ok, 1.0).otherwise(0.0))
-    vector = F.when(ok, F.concat(counts, "theta", "v", "hess")).otherwise(counts)
-    # Partial sums per task leave at most 4 + 2p + p(p+1)/2 cells per model and task to shuffle.
+    vector = F.when(ok, F.concat(counts, "theta", "v", present, "hess")).otherwise(counts)
+    # Partial sums per task leave at most 4 + 3p + p(p+1)/2 cells per model and task to shuffle.
     summed = sum_arrays(summaries, keys, vector, "sums").filter(F.size("sums") > 0)
     types = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], _SOLVED])
@@ -53,17 +57,17 @@ def combine(summaries: DataFrame, spec: TermSpec) -> DataFrame:
                 s = np.asarray(row["sums"], float)
                 head = [row[k] for k in keys] + [int(x) for x in s[:4]]
                 if s[3] == 0:
-                    out.append([*head, None, None, None])
+                    out.append([*head, None, None, None, None])
                     continue
-                theta, v, h = s[4: 4 + p], s[4 + p: 4 + 2 * p], s[4 + 2 * p:]
-                wlse = np.linalg.lstsq(unpack(h, p), v, rcond=None)[0]
-                out.append([*head, wlse, theta / s[3], h])
+                theta, v, seen, h = s[4: 4 + p], s[4 + p: 4 + 2 * p], s[4 + 2 * p: 4 + 3 * p], s[4 + 3 * p:]
+                wlse = newton_step(v, unpack(h, p))
+                out.append([*head, wlse, theta / np.maximum(seen, 1.0), h, seen > 0])
             yield pd.DataFrame(out, columns=[*keys, *_SOLVED_NAMES])
 
     return summed.mapInPandas(solve, schema)
 
 
-_SOLVED_NAMES = ["n_total", "n_used", "chunks_total", "chunks_used", "wlse", "one_shot", "hess"]
+_SOLVED_NAMES = ["n_total", "n_used", "chunks_total", "chunks_used", "wlse", "one_shot", "hess", "estimable"]
 
 
 def coefficients(frame: DataFrame, spec: TermSpec, methods: dict[str, str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onefold.functions import log_density, log_density_from_prob, logistic
-from onefold.operators.prepare import add_codes, complete_rows, standardise_columns
+from onefold.operators.prepare import add_codes, coded, complete_rows, standardise_columns
 from onefold.session import BROADCAST_ROWS, settle, small_side
 from onefold.spec import TermSpec
 
@@ -24,7 +24,8 @@ def predictor(spec: TermSpec, beta: Column) -> Column:
         eta = eta + F.col(c).cast("double") * F.get(beta, F.lit(at + i))
     for f in spec.factors:
         code = F.col(f"code_{f.name}")
-        eta = eta + F.when(code < len(f.slots), F.get(beta, code + spec.offset(f))).otherwise(0.0)
+        # Null, and so the predictor, for an unseen level.
+        eta = eta + F.when(code < len(f.slots), F.get(beta, code + spec.offset(f))).when(code.isNotNull(), 0.0)
     return eta
 
 
@@ -38,6 +39,11 @@ def _with_predictors(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: S
     return rows.withColumns({f"__eta_{m}": predictor(spec, b) for m, b in arrays.items()})
 
 
+def _literal(values: Sequence[float] | None) -> Column:
+    """An array literal; null for a model without an estimate."""
+    return F.lit(None).cast("array<double>") if values is None else F.array(*[F.lit(float(b)) for b in values])
+
+
 def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
     """Coded rows plus the coefficient arrays to use on them.
 
@@ -49,7 +55,7 @@ def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods:
         rows = betas.select(*methods).take(2)
         if len(rows) != 1:
             raise ValueError("expected one coefficient row")
-        literals = {m: F.array(*[F.lit(float(b)) for b in rows[0][m]]) for m in methods}
+        literals = {m: _literal(rows[0][m]) for m in methods}
         return coded, literals
     table = settle(betas.select(*spec.keys, *[F.col(m).alias(f"__{m}") for m in methods]))
     limit = max(1, BROADCAST_ROWS * 8 // (spec.p * len(methods)))
@@ -57,8 +63,11 @@ def with_coefficients(df: DataFrame, spec: TermSpec, betas: DataFrame, methods:
 
 
 def loglik(df: DataFrame, spec: TermSpec, betas: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """``keys, n, loglik_<method>...``: every method summed in the same scan, over complete rows."""
-    rows = _with_predictors(complete_rows(df, spec), spec, betas, methods)
+    """``keys, n, loglik_<method>...``: every method summed in the same scan.
+
+    Over complete rows of known levels, as in the fit; null where a model has no estimate.
+    """
+    rows = _with_predictors(coded(complete_rows(df, spec), spec).select(*df.columns), spec, betas, methods)
     y = F.col(spec.response).cast("double")
     sums = [F.sum(log_density(y, F.col(f"__eta_{m}"))).alias(f"loglik_{m}") for m in methods]
     return rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), *sums)

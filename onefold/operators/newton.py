@@ -20,13 +20,6 @@ class CodedDesign:
         self.at = np.cumsum([self.numeric.shape[1], *widths])
         self.p = int(self.at[-1])
 
-    def every(self, k: int) -> CodedDesign:
-        """Each k-th row."""
-        out = object.__new__(CodedDesign)
-        out.numeric, out.codes = self.numeric[::k], [c[::k] for c in self.codes]
-        out.widths, out.at, out.p = self.widths, self.at, self.p
-        return out
-
     def eta(self, beta: np.ndarray) -> np.ndarray:
         out = self.numeric @ beta[: self.at[0]]
         for i, code in enumerate(self.codes):
@@ -40,6 +33,12 @@ class CodedDesign:
             parts.append(np.bincount(code, r, width + 1)[:width])
         return np.concatenate(parts)
 
+    def squares(self, w: np.ndarray) -> np.ndarray:
+        """Diagonal of X' diag(w) X."""
+        parts = [(self.numeric * self.numeric).T @ w]
+        parts += [np.bincount(c, w, width + 1)[:width] for c, width in zip(self.codes, self.widths)]
+        return np.concatenate(parts)
+
     def gram(self, w: np.ndarray) -> np.ndarray:
         """X' diag(w) X."""
         out = np.zeros((self.p, self.p))
@@ -67,36 +66,42 @@ def logistic_sums(design: CodedDesign, beta: np.ndarray, hits: np.ndarray, trial
 
 
 def newton_step(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+    """Shortest solution; exactly 0 for terms without information."""
+    some = np.flatnonzero(np.diag(hessian) > 0)
+    out = np.zeros(len(gradient))
+    out[some] = np.linalg.lstsq(hessian[np.ix_(some, some)], gradient[some], rcond=None)[0]
+    return out
 
 
 def small_step(step: np.ndarray, beta: np.ndarray, tol: float) -> bool:
     return bool(np.max(np.abs(step) / (1.0 + np.abs(beta)), initial=0.0) <= tol)
 
 
-# From this many rows on, Newton starts at a rough fit of each 16th row.
-_THIN_ROWS, _THIN = 100_000, 16
+# A step is halved at most so often before a chunk counts as not converged.
+MAX_HALVINGS = 40
+
+
+# A term has no optimum if its rows keep less than this share of their weight in the Hessian.
+LEAST_WEIGHT = 1e-8
 
 
-def _start(design: CodedDesign, hits, trials) -> np.ndarray:
-    if len(hits) < _THIN_ROWS:
-        return np.zeros(design.p)
-    rough = newton_fit(design.every(_THIN), hits[::_THIN], trials[::_THIN], 8, 1e-3)[0]
-    return rough if np.all(np.abs(rough) < 20.0) else np.zeros(design.p)
+def separated(hessian: np.ndarray, squares: np.ndarray) -> bool:
+    """Whether a term with rows was driven off to infinity, as by a level of one class."""
+    return bool(np.any(np.diag(hessian) < LEAST_WEIGHT * squares))
 
 
 def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: float = 1e-12):
     """Unpenalised maximum likelihood: ``(beta, hessian, loglik, iterations, converged)``.
 
     A step that lowers the likelihood is halved, so near-separated chunks do not diverge.
-    All rows are used in every step; thinning only picks the starting point of large chunks.
+    Columns without a row (an absent level) stay at 0: the step is the shortest of all solutions.
     """
-    beta = _start(design, hits, trials)
+    beta = np.zeros(design.p)
     loglik, gradient, hessian = logistic_sums(design, beta, hits, trials)
     for iteration in range(1, max_iter + 1):
         step = newton_step(gradient, hessian)
         done = small_step(step, beta, tol)
-        for _ in range(40):
+        for _ in range(MAX_HALVINGS):
             trial = logistic_sums(design, beta + step, hits, trials)
             if np.isfinite(trial[0]) and trial[0] >= loglik - 1e-10 * (1.0 + abs(loglik)):
                 break
@@ -106,7 +111,7 @@ def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: floa
         beta = beta + step
         loglik, gradient, hessian = trial
         if done:
-            return beta, hessian, loglik, iteration, True
+            return beta, hessian, loglik, iteration, not separated(hessian, design.squares(trials))
     return beta, hessian, loglik, max_iter, False
 
 

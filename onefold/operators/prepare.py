@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onefold.functions import standardise, term_name
-from onefold.session import small_side
+from onefold.session import BROADCAST_ROWS, small_side
 from onefold.spec import INTERCEPT, OTHERS, Factor, TermSpec
 
 # Up to this many levels a code is found by a literal array search, above by a hash join.
@@ -70,12 +70,16 @@ def _collapsed(factor: Factor) -> Column:
 
 
 def dummy_columns(df: DataFrame, spec: TermSpec) -> DataFrame:
-    """Append one 0/1 column per factor term; complete by construction, absent levels are 0."""
+    """Append one 0/1 column per factor term; complete by construction, absent levels are 0.
+
+    A level that the factor does not have, without ``OTHERS`` to take it, gives nulls: it is not
+    the baseline.
+    """
     new: dict[str, Column] = {}
     for factor in spec.factors:
         text = _collapsed(factor)
         for level, term in zip(factor.slots, factor.terms, strict=True):
-            new[term] = F.when(text == level, 1).otherwise(0)
+            new[term] = F.when(text == level, 1).when(text.isin(list(factor.levels)), 0)
     return df.withColumns(new) if new else df
 
 
@@ -96,7 +100,9 @@ def clean(df: DataFrame, spec: TermSpec, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def add_codes(df: DataFrame, spec: TermSpec) -> DataFrame:
-    """Append ``code_<factor>``: the term position in the factor, or its width for "no term".
+    """Append ``code_<factor>``: the term position in the factor, or its width for the baseline level.
+
+    A level that the factor does not have goes to ``OTHERS`` if there is one; else its code is null.
 
     Codes stand for dummies everywhere downstream: one narrow int per factor is
     shuffled and sent to Python, whatever the number of levels.
@@ -110,19 +116,41 @@ def add_codes(df: DataFrame, spec: TermSpec) -> DataFrame:
 def _add_code(df: DataFrame, factor: Factor) -> DataFrame:
     slots = factor.slots
     none = len(slots)
-    unseen = slots.index(OTHERS) if OTHERS in slots else none
+    unseen = F.lit(slots.index(OTHERS) if OTHERS in slots else none if OTHERS == factor.baseline else None).cast("int")
     known = [*slots, factor.baseline] if factor.baseline is not None else list(slots)
     text = F.col(factor.name).cast("string")
     name = f"code_{factor.name}"
     if len(known) <= INLINE_LEVELS:
         at = F.array_position(F.array(*[F.lit(lv) for lv in known]), text).cast("int")
-        return df.withColumn(name, F.when(at > 0, at - 1).otherwise(unseen))
+        return df.withColumn(name, F.when(at > 0, at - 1).when(text.isNotNull(), unseen))
     # The lookup side has as many rows as the factor has kept levels, bounded by the spec.
     lookup = df.sparkSession.createDataFrame(
         [(lv, i) for i, lv in enumerate(known)], f"`__level` string, `{name}` int"
     )
-    joined = df.join(F.broadcast(lookup), text == F.col("__level"), "left").drop("__level")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(unseen)))
+    lookup = F.broadcast(lookup) if len(known) <= BROADCAST_ROWS else lookup
+    joined = df.join(lookup, text == F.col("__level"), "left").drop("__level")
+    return joined.withColumn(name, F.coalesce(F.col(name), F.when(text.isNotNull(), unseen)))
+
+
+def coded(df: DataFrame, spec: TermSpec) -> DataFrame:
+    """Rows with codes, without those of an unseen level; ``unseen_rows`` counts what this leaves out."""
+    out = add_codes(df, spec)
+    for factor in spec.factors:
+        out = out.filter(F.col(f"code_{factor.name}").isNotNull())
+    return out
+
+
+def unseen_rows(df: DataFrame, spec: TermSpec) -> DataFrame:
+    """``factor, level, n``: rows with a level that the term list neither has nor collapses."""
+    parts = None
+    for factor in spec.factors:
+        if OTHERS in factor.levels:
+            continue
+        text = F.col(factor.name).cast("string")
+        own = df.filter(text.isNotNull() & ~text.isin(list(factor.levels))).groupBy(text.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+        own = own.select(F.lit(factor.name).alias("factor"), "level", "n")
+        parts = own if parts is None else parts.unionByName(own)
+    return parts if parts is not None else df.sparkSession.createDataFrame([], "factor string, level string, n bigint")
 
 
 def collapse_levels(df: DataFrame, levels: DataFrame, factors: Sequence[str]) -> DataFrame:

@@ -13,13 +13,17 @@ from onefold.session import settle, small_side
 def _ranges(df: DataFrame, order: Sequence[Column], parts: int | None) -> DataFrame:
     """Range-partition by the order and fix the partition number as a column.
 
-    The number of a row must not change between the two uses below, so the frame is
-    settled. A last key breaks ties, so that equal rows may still be cut apart.
+    Rows are sorted inside a range and get their position there (``__pos``) in the same stage.
+    The number of a row must not change between the uses below, so the frame is settled. A last
+    key breaks ties, so that equal rows may still be cut apart.
     """
     cut = df.withColumn("__tie", F.monotonically_increasing_id())
     keys = [*order, F.col("__tie")]
     ranged = cut.repartitionByRange(parts, *keys) if parts else cut.repartitionByRange(*keys)
-    return settle(ranged.withColumn("__bucket", F.spark_partition_id()))
+    # The id of Spark holds the partition above bit 33 and the position in it below.
+    place = ranged.sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    return settle(place.withColumn("__bucket", F.shiftright("__id", 33)).withColumn(
+        "__pos", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"))
 
 
 def dense_index(df: DataFrame, order: Sequence[str], into: str = "row_id", parts: int | None = None) -> DataFrame:
@@ -34,12 +38,10 @@ def dense_index(df: DataFrame, order: Sequence[str], into: str = "row_id", parts
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = small_side(settle(sizes.select(
         "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))))
-    inside = Window.partitionBy("__bucket").orderBy(*cols, F.col("__tie"))
     return (
-        ranged.withColumn("__rank", F.row_number().over(inside))
-        .join(shift, "__bucket")
-        .withColumn(into, F.col("__shift") + F.col("__rank") - 1)
-        .drop("__bucket", "__tie", "__rank", "__shift")
+        ranged.join(shift, "__bucket")
+        .withColumn(into, F.col("__shift") + F.col("__pos"))
+        .drop("__bucket", "__tie", "__pos", "__shift")
     )
 
 
@@ -62,5 +64,5 @@ def running_total(df: DataFrame, group: str, order: Sequence[Column], value: str
         .join(shift, [group, "__bucket"])
         .withColumn(into, F.col(into) + F.col("__sum0"))
         .withColumn(rank, (F.col(rank) + F.col("__n0")).cast("int"))
-        .drop("__bucket", "__tie", "__sum0", "__n0")
+        .drop("__bucket", "__tie", "__pos", "__sum0", "__n0")
     )

@@ -22,10 +22,11 @@ def solution_path(hess: np.ndarray, target: np.ndarray, kind: str = "lar", max_s
 
     Correlations of active terms fall together; each stretch ends where another term
     catches up, where (lasso) an active one crosses zero, or at the full solution.
-    Directly or nearly collinear terms are left at zero for good.
+    Directly or nearly collinear terms are left at zero for good. It runs to the full solution;
+    the level falls at every vertex, so it ends. ``max_steps`` breaks it off before.
     """
     m = len(target)
-    max_steps = 8 * m if max_steps is None else max_steps
+    max_steps = np.inf if max_steps is None else max_steps
     coef, corr = np.zeros(m), hess @ target
     active: list[int] = []
     barred = {j for j in range(m) if hess[j, j] <= 0.0}

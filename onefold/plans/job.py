@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import argparse
 
-from onefold.plans.flights import fit_flights
-from onefold.plans.regression import Plan, fit
+from onefold.plans.flights import flight_plan, read_flights
+from onefold.plans.regression import Plan, extend, fit
 from onefold.session import get_session, ship_code
 from onefold.sources.csv import read_csv
-from onefold.sources.store import load_spec, load_table
+from onefold.spec import MAX_TERMS
 
 
 def _names(text: str) -> list[str]:
@@ -27,7 +27,12 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--response")
     p.add_argument("--continuous", type=_names, default=[])
     p.add_argument("--factors", type=_names, default=[], help="name=share to keep, comma separated")
-    p.add_argument("--baseline", default="first")
+    p.add_argument("--baseline", help="none, first, last, or factor=level pairs, comma separated (default: first)")
+    p.add_argument("--no-intercept", action="store_true")
+    p.add_argument("--min-share", type=float, help="also keep levels with this share of the rows")
+    p.add_argument("--threshold", type=float, default=0.0, help="the response counts as 1 above it")
+    p.add_argument("--max-terms", type=int, default=MAX_TERMS)
+    p.add_argument("--unseen", choices=["leave_out", "error"], default="leave_out", help="rows of levels that a model to extend does not have")
     p.add_argument("--keys", type=_names, default=[], help="one model per value of these columns")
     p.add_argument("--row-key", type=_names, default=[])
     p.add_argument("--rows-per-chunk", type=int, default=1_000_000)
@@ -39,18 +44,20 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def run(spark, o: argparse.Namespace):
+    shared = {"keys": o.keys, "row_key": o.row_key, "rows_per_chunk": o.rows_per_chunk, "kind": o.kind, "in_place": o.in_place,
+              "min_share": o.min_share, "threshold": o.threshold, "max_terms": o.max_terms, "unseen": o.unseen}
+    if o.no_intercept:
+        shared["intercept"] = False
+    if o.baseline:
+        pairs = dict(x.split("=", 1) for x in o.baseline.split(",") if "=" in x)
+        shared["baseline"] = pairs or o.baseline
     if o.format == "flights":
-        return fit_flights(spark, o.input, rows_per_chunk=o.rows_per_chunk, kind=o.kind, in_place=o.in_place)
-    if o.format == "csv":
-        rows = read_csv(spark, o.input, o.schema)
+        rows, plan = read_flights(spark, o.input), flight_plan(**shared)
     else:
-        rows = spark.read.parquet(*o.input)
-    keep = {name: float(share) for name, share in (f.split("=") for f in o.factors)}
-    plan = Plan(o.response, o.continuous, keep, baseline=o.baseline, keys=o.keys, row_key=o.row_key,
-                rows_per_chunk=o.rows_per_chunk, kind=o.kind, in_place=o.in_place)
-    if o.extend:
-        return fit(rows, plan, spec=load_spec(spark, o.extend), stored=load_table(spark, o.extend, "summary"))
-    return fit(rows, plan)
+        rows = read_csv(spark, o.input, o.schema) if o.format == "csv" else spark.read.parquet(*o.input)
+        keep = {name: float(share) for name, share in (f.split("=") for f in o.factors)}
+        plan = Plan(o.response, o.continuous, keep, **{"baseline": "first", **shared})
+    return extend(rows, plan, o.extend) if o.extend else fit(rows, plan)
 
 
 def main() -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from onefold.functions import vector_item
 from onefold.operators.evaluate import loglik_from_prob
+from onefold.operators.prepare import coded, standardise_columns
 from onefold.spec import OTHERS, TermSpec
 
 
@@ -73,18 +74,24 @@ def features(df: DataFrame, spec: TermSpec, drop_last: bool = True) -> DataFrame
 def term_features(df: DataFrame, spec: TermSpec) -> DataFrame:
     """``label, features`` with the features in term order (no intercept column), sparse.
 
-    The vector is built from the factor codes, so nothing is fitted and no level is looked up
-    twice.
+    The vector is built from the factor codes: one column per factor, whose number of codes is
+    given as metadata, so that the encoder needs no scan. Rows of unseen levels are left out.
     """
-    from onefold.operators.prepare import dummy_columns, standardise_columns
-
-    wide = standardise_columns(dummy_columns(df, spec), dict(spec.scales))
-    names = [t for t in spec.terms if t != "intercept"]
-    wide = wide.select(F.col(spec.response).cast("double").alias("label"), *[
-        F.col(f"`{t}`").cast("double").alias(f"t{i}") for i, t in enumerate(names)])
-    return VectorAssembler(
-        inputCols=[f"t{i}" for i in range(len(names))], outputCol="features"
-    ).transform(wide).select("label", "features")
+    rows = standardise_columns(coded(df, spec), dict(spec.scales))
+    codes = [
+        F.col(f"code_{f.name}").cast("double").alias(
+            f"c{i}", metadata={"ml_attr": {"type": "nominal", "vals": [str(v) for v in range(len(f.slots) + 1)]}})
+        for i, f in enumerate(spec.factors)
+    ]
+    parts = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(spec.continuous)]
+    rows = rows.select(F.col(spec.response).cast("double").alias("label"), *parts, *codes)
+    inputs = [f"x{i}" for i in range(len(parts))]
+    if codes:
+        names = [f"c{i}" for i in range(len(codes))]
+        encoder = OneHotEncoder(inputCols=names, outputCols=[f"v_{c}" for c in names], dropLast=True)
+        rows = encoder.fit(rows).transform(rows)
+        inputs += [f"v_{c}" for c in names]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select("label", "features")
 
 
 def fit_logistic(df: DataFrame, intercept: bool = True, max_iter: int = 200, tol: float = 1e-12,

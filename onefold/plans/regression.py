@@ -16,13 +16,17 @@ from onefold.operators import levels as lv
 from onefold.operators.chunkfit import fit_chunks, fit_in_place
 from onefold.operators.combine import append_summaries, coefficients, combine
 from onefold.operators.evaluate import loglik
-from onefold.operators.prepare import binarise, project
+from onefold.operators.prepare import binarise, project, unseen_rows
 from onefold.operators.shrink import estimates, shrink_path
 from onefold.operators.stats import describe
-from onefold.session import settle
+from onefold.session import settle, small_side, stage
 from onefold.sources import store
-from onefold.spec import TermSpec
+from onefold.spec import MAX_TERMS, TermSpec
 
+# Column of the uniform draw that stands in for a row key.
+DRAW = "__draw"
+# Most tasks that planned chunks are dealt over.
+MAX_TASKS = 20_000
 METHODS = ("wlse", "one_shot", "aic", "bic")
 log = logging.getLogger(__name__)
 
@@ -32,7 +36,10 @@ class Plan:
     """What to fit. ``keep_top`` maps each factor to the cumulative share of levels to keep.
 
     ``in_place`` cuts chunks from the scan and shuffles no row; otherwise rows are hashed into
-    chunks by ``row_key``.
+    chunks by ``row_key``. Without a row key every row draws its chunk once, and the draw is stored
+    with the rows: equal rows then lie in different chunks. ``unseen`` says what becomes of rows
+    with a level that a reused term list does not have: ``leave_out`` (counted in ``Fit.unseen``)
+    or ``error``. A term list with ``OTHERS`` takes them there.
     """
 
     response: str
@@ -48,10 +55,18 @@ class Plan:
     threshold: float = 0.0
     standardise: bool = True
     in_place: bool = False
+    unseen: str = "leave_out"
+    max_terms: int = MAX_TERMS
 
 
 @dataclass
 class Fit:
+    """A fitted model. ``summary`` holds all chunks, also those of a model that was extended.
+
+    ``rows`` are the rows read in this run, and ``evaluation`` scores these. ``unseen`` counts
+    their rows left out per factor and level.
+    """
+
     spec: TermSpec
     rows: DataFrame
     levels: DataFrame | None
@@ -61,11 +76,23 @@ class Fit:
     path: DataFrame
     betas: DataFrame
     seconds: dict[str, float]
+    unseen: DataFrame | None = None
+
+    def close(self) -> None:
+        """Release the prepared rows."""
+        self.rows.unpersist()
+
+    def __enter__(self) -> Fit:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def coefficients(self) -> DataFrame:
         return coefficients(self.betas, self.spec, {m: m for m in METHODS})
 
     def evaluation(self) -> DataFrame:
+        """Log-likelihoods over the rows of this run; after an extension these are the new rows."""
         return loglik(self.rows, self.spec, self.betas, METHODS)
 
     def run(self) -> DataFrame:
@@ -79,13 +106,18 @@ class Fit:
             tables["levels"] = self.levels
         if self.stats is not None:
             tables["stats"] = self.stats
+        if self.unseen is not None:
+            tables["unseen"] = self.unseen
         store.save_model(path, self.spec, **tables)
 
     def report(self) -> None:
-        """Print run metrics, log-likelihoods and the head of the coefficient table."""
+        """Print run metrics, log-likelihoods, rows left out and all coefficients."""
         self.run().show(truncate=False)
         self.evaluation().show(truncate=False)
-        self.coefficients().orderBy(*self.spec.keys, "method", "term").show(200, truncate=False)
+        if self.unseen is not None and not self.unseen.isEmpty():
+            self.unseen.orderBy("factor", "level").show(self.unseen.count(), truncate=False)
+        table = self.coefficients().orderBy(*self.spec.keys, "method", "term")
+        table.show(table.count(), truncate=False)
 
 
 def prepare(df: DataFrame, plan: Plan) -> DataFrame:
@@ -103,7 +135,7 @@ def learn_spec(rows: DataFrame, plan: Plan) -> tuple[TermSpec, DataFrame | None,
         picked = lv.select_levels(lv.level_counts(rows, factors), plan.keep_top, plan.min_share)
         levels = settle(lv.term_levels(picked))
         spec = TermSpec.from_levels(levels, plan.response, plan.continuous, factors,
-                                    plan.baseline, plan.intercept, plan.keys)
+                                    plan.baseline, plan.intercept, plan.keys, plan.max_terms)
     else:
         spec = TermSpec(plan.response, tuple(plan.continuous), (), plan.intercept, tuple(plan.keys))
     if plan.continuous and plan.standardise:
@@ -116,12 +148,29 @@ def assign_chunks(rows: DataFrame, plan: Plan) -> DataFrame:
     """Chunk numbers, unless the rows have them: per model as many as its row count asks for."""
     if chunking.CHUNK in rows.columns:
         return rows
-    row_key = list(plan.row_key) or rows.columns
     if plan.keys:
         sizes = chunking.chunk_plan(rows, plan.rows_per_chunk, plan.keys)
-        return chunking.chunk_by_plan(rows, sizes, row_key, plan.keys)
+        if plan.row_key:
+            return chunking.chunk_by_plan(rows, sizes, list(plan.row_key), plan.keys)
+        sizes = small_side(settle(sizes.select(*plan.keys, "chunks")))
+        chunk = F.floor(F.col(DRAW) * F.col("chunks")).cast("bigint")
+        return rows.join(sizes, list(plan.keys)).withColumn(chunking.CHUNK, chunk).drop("chunks")
     k = chunking.chunk_count(rows.count(), plan.rows_per_chunk)
-    return chunking.chunk_by_hash(rows, row_key, k)
+    if plan.row_key:
+        return chunking.chunk_by_hash(rows, list(plan.row_key), k)
+    return rows.withColumn(chunking.CHUNK, F.floor(F.col(DRAW) * k).cast("bigint"))
+
+
+def extend(df: DataFrame, plan: Plan, folder: str) -> Fit:
+    """Extend a stored model by new rows; what it has of levels and statistics is kept."""
+    spark = df.sparkSession
+    spec = store.load_spec(spark, folder)
+    out = fit(df, plan, spec=spec, stored=store.load_table(spark, folder, "summary"))
+    # Read in full now, so that the result may be saved over the folder.
+    for name in ("levels", "stats"):
+        if store.has_table(spark, folder, name):
+            setattr(out, name, settle(store.load_table(spark, folder, name)))
+    return out
 
 
 def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFrame | None = None,
@@ -140,9 +189,16 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
 
     t = time.perf_counter()
     rows = prepare(df, plan)
-    if persist is not None:
+    if not (plan.row_key or plan.in_place or chunking.CHUNK in rows.columns):
+        # Written, so that the draw stays what it is when an executor is lost.
+        rows = stage(rows.withColumn(DRAW, F.rand(20240229)), "rows")
+    elif persist is not None:
         rows = rows.persist(persist)
-    levels = stats = None
+    levels = stats = unseen = None
+    if spec is not None and spec.factors:
+        unseen = settle(unseen_rows(rows, spec))
+        if plan.unseen == "error" and not unseen.isEmpty():
+            raise ValueError(f"levels without a term: {[tuple(r) for r in unseen.take(5)]}")
     if spec is None:
         spec, levels, stats = learn_spec(rows, plan)
     timed("prepare", t)
@@ -150,14 +206,19 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
     if plan.in_place:
         summary = settle(fit_in_place(rows, spec, plan.rows_per_chunk))
     else:
-        summary = settle(fit_chunks(assign_chunks(rows, plan), spec))
+        # Drawn and hashed chunk numbers are bounded by the plan; numbers that rows bring are counted.
+        chunked = assign_chunks(rows, plan)
+        planned = chunking.CHUNK not in rows.columns
+        most = max(1, rows.count() // max(1, plan.rows_per_chunk)) if planned else None
+        summary = settle(fit_chunks(chunked, spec, tasks=min(most, MAX_TASKS) if most else None))
     timed("fit", t)
     t = time.perf_counter()
-    everything = append_summaries(stored, summary) if stored is not None else summary
-    combined = settle(combine(everything, spec))
+    if stored is not None:
+        summary = settle(append_summaries(stored, summary))
+    combined = settle(combine(summary, spec))
     timed("combine", t)
     t = time.perf_counter()
     path = settle(shrink_path(combined, spec, plan.kind))
     betas = settle(estimates(combined, path, spec))
     timed("shrink", t)
-    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds)
+    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen)

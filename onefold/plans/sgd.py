@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from onefold.operators.chunkfit import _Layout, coded_rows, sum_arrays
 from onefold.operators.chunks import CHUNK, shuffle_rows
+from onefold.sources.store import load_spec, load_table, save_model
 from onefold.spec import TermSpec
 
 
@@ -48,6 +49,19 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
         F.transform(F.slice("sums", 1, layout.p), lambda s: s / weight).alias("theta"))
 
 
+def save_sgd(df: DataFrame, folder: str, spec: TermSpec, theta: Sequence[float]) -> None:
+    """Store the coefficients of a run with their terms; ``df`` gives the session."""
+    rows = [(t, "sgd", float(b)) for t, b in zip(spec.terms, theta, strict=True)]
+    save_model(folder, spec, coef=df.sparkSession.createDataFrame(rows, "term string, method string, estimate double"))
+
+
+def load_sgd(df: DataFrame, folder: str) -> tuple[TermSpec, list[float]]:
+    """Terms and coefficients of a stored run, to go on from with ``fit_sgd(warm=...)``."""
+    spec = load_spec(df.sparkSession, folder)
+    known = {r["term"]: r["estimate"] for r in load_table(df.sparkSession, folder, "coef").filter("method = 'sgd'").collect()}
+    return spec, [known[t] for t in spec.terms]
+
+
 def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, batch_rows: int = 256,
             warm: Sequence[float] | None = None, shuffle_seed: int | None = 1, parts: int | None = None,
             storage: StorageLevel = StorageLevel.DISK_ONLY) -> list[float]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onefold.spec import Factor, TermSpec
 
-TABLES = ("summary", "combined", "path", "coef", "levels", "stats", "eval", "run")
+TABLES = ("summary", "combined", "path", "coef", "levels", "stats", "eval", "run", "unseen")
 
 
 def save_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:
@@ -24,6 +25,16 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def has_table(spark: SparkSession, folder: str, name: str) -> bool:
+    try:
+        load_table(spark, folder, name)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def append_summary(df: DataFrame, folder: str) -> None:
     """Add the chunk summaries of further data to a stored model."""
     save_table(df, folder, "summary", mode="append")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 OTHERS = "000_OTHERS"
 INTERCEPT = "intercept"
 
-# The Hessian has p * p entries, so p is bounded long before this; checked when levels are read.
+# Default limit of all terms: the Hessian has p * p entries. Checked when levels are read.
 MAX_TERMS = 2_000
 
 
@@ -119,15 +119,17 @@ class TermSpec:
     ) -> TermSpec:
         """Read the kept levels (``factor, level, code``) of a term-level frame.
 
-        Only kept levels come to the driver, at most ``max_terms`` of them.
+        Only kept levels come to the driver; with the continuous terms and the intercept there
+        may be ``max_terms`` of them.
         """
+        room = max_terms - len(tuple(continuous)) - int(intercept)
         rows = (
             levels.filter(F.col("factor").isin(list(factors)))
             .select("factor", "level", "code")
-            .limit(max_terms + 1)
+            .limit(max(0, room) + 1)
             .collect()
         )
-        if len(rows) > max_terms:
+        if len(rows) > room:
             raise ValueError(f"more than {max_terms} terms; lower keep_top")
         built = []
         for name in factors:

@@ -12,7 +12,7 @@ from onefold.operators.evaluate import constants, loglik, predict
 from onefold.operators.newton import unpack
 from onefold.operators.shrink import choose, estimates, path_terms, shrink_path
 from onefold.plans import ml
-from onefold.plans.regression import METHODS, Plan, fit
+from onefold.plans.regression import METHODS, Plan, extend, fit
 from onefold.plans.sgd import fit_sgd
 from onefold.sources import store
 from onefold.sources.rows import simulate_logistic, true_betas
@@ -103,19 +103,126 @@ def test_status_of_bad_chunks(spark, limit):
     df = spark.createDataFrame(pdf)
     summary = fit_chunks(df, SPEC, rows_per_task=limit)
     got = by_chunk(summary)
-    assert [got[k]["status"] for k in range(4)] == ["missing_level", "one_class", "ok", "ok"]
-    assert got[0]["theta"] is None
+    # Chunk 1 is of one class; with chunk 0, which has only the baseline of f, its levels of f still are.
+    assert set(got) == {0, 3} and all(r["status"] == "ok" for r in got.values()) and got[0]["n"] == 900
     row = combine(summary, SPEC).first()
-    assert (row["n_total"], row["n_used"], row["chunks_total"], row["chunks_used"]) == (1200, 600, 4, 2)
-    np.testing.assert_allclose(
-        row["one_shot"], (np.array(got[2]["theta"]) + np.array(got[3]["theta"])) / 2, atol=1e-10)
+    assert (row["n_total"], row["n_used"], row["chunks_total"], row["chunks_used"]) == (1200, 1200, 2, 2)
+    np.testing.assert_allclose(row["one_shot"], (np.array(got[0]["theta"]) + np.array(got[3]["theta"])) / 2, atol=1e-8)
+
+
+@pytest.mark.parametrize("limit", [None, 50])
+def test_a_chunk_without_a_level_is_fitted(spark, limit):
+    pdf = frame(1200, chunks=2)
+    pdf.loc[(pdf.partition_id == 0) & (pdf.f == "a"), "f"] = "c"
+    summary = fit_chunks(spark.createDataFrame(pdf), SPEC, rows_per_task=limit)
+    got = by_chunk(summary)
+    assert [got[k]["status"] for k in (0, 1)] == ["ok", "ok"] and got[0]["theta"][3] == got[0]["v"][3] == 0.0
+    row = combine(summary, SPEC).first()
+    assert row["n_used"] == 1200 and row["one_shot"][3] == got[1]["theta"][3]
+
+
+def test_a_rare_level_costs_no_chunk(spark):
+    """9 of 9,000 rows have the level: most chunks lack it, or have it in one class only."""
+    pdf = frame(9000, seed=8, chunks=18).drop(columns="f")
+    pdf["f"] = np.where(np.arange(9000) % 1000 == 7, "rare", np.where(np.arange(9000) % 2, "a", "b"))
+    pdf.loc[np.arange(9000) % 1000 == 7, "y"] = [0, 1, 0, 1, 0, 1, 1, 0, 1]
+    spec = TermSpec("y", ("x", "z"), (Factor.build("f", ["a", "b", "rare"], "a"),), intercept=True)
+    row = combine(fit_chunks(spark.createDataFrame(pdf), spec), spec).first()
+    assert row["n_used"] == row["n_total"] == 9000 and all(row["estimable"])
+    x = np.column_stack([np.ones(9000), pdf.x, pdf.z, pdf.f == "b", pdf.f == "rare"]).astype(float)
+    b, h = mle(x, pdf.y.to_numpy())
+    assert np.all(np.abs(row["wlse"] - b) < 0.5 / np.sqrt(np.diag(h)) + 0.02)
+
+
+def test_a_model_without_a_level_is_kept(spark):
+    pdf = frame(4000, chunks=2)
+    pdf["seg"] = np.where(np.arange(4000) % 4 < 2, "s", "t")
+    pdf.loc[(pdf.seg == "t") & (pdf.f == "b"), "f"] = "a"
+    spec = TermSpec("y", SPEC.continuous, SPEC.factors, True, ("seg",))
+    rows = {r["seg"]: r for r in combine(fit_chunks(spark.createDataFrame(pdf), spec), spec).collect()}
+    assert all(r["n_used"] == r["n_total"] == 2000 for r in rows.values())
+    assert all(rows["s"]["estimable"]) and rows["t"]["estimable"] == [True, True, True, True, False, True]
+    assert rows["t"]["wlse"][4] == 0.0
+
+
+def test_chunks_without_a_row_key_are_drawn(spark):
+    df = spark.createDataFrame(frame(6000).drop(columns="partition_id"))
+    out = fit(df, Plan("y", ["x", "z"], {"g": 1.0}, baseline="first", rows_per_chunk=1500))
+    row = out.combined.first()
+    assert row["n_used"] == row["n_total"] == 6000 and row["chunks_total"] == 4
+    keyed = fit(df, Plan("y", ["x", "z"], {"g": 1.0}, baseline="first", rows_per_chunk=1500, row_key=["x", "z"])).combined.first()
+    np.testing.assert_allclose(row["wlse"], keyed["wlse"], atol=0.03)
+    copies = df.select("g", "y")
+    assert fit(copies, Plan("y", (), {"g": 1.0}, intercept=False, rows_per_chunk=1000)).combined.first()["n_used"] == 6000
+    models = fit(df, Plan("y", ["x"], {}, keys=["g"], rows_per_chunk=1000)).combined.collect()
+    assert sum(r["n_used"] for r in models) == 6000
+
+
+def test_in_place_does_not_hang_on_files(spark):
+    df = spark.createDataFrame(frame(8000)).drop("partition_id")
+    for parts in (2, 400):
+        row = combine(fit_in_place(df.repartition(parts), SPEC, rows_per_chunk=2000), SPEC).first()
+        b, h = mle(dense(frame(8000)), frame(8000).y.to_numpy())
+        assert row["n_used"] == 8000
+        assert np.all(np.abs(row["wlse"] - b) < 0.3 / np.sqrt(np.diag(h)))
+
+
+def test_constant_columns_and_single_classes_finish(spark, tmp_path):
+    pdf = frame(400)
+    pdf["c"] = 3.5
+    for change in ({}, {"y": 1}):
+        out = fit(spark.createDataFrame(pdf.assign(**change)), Plan("y", ["x", "c"], {"g": 1.0}, baseline="first"))
+        out.save(str(tmp_path / f"m{len(change)}"))
+        out.report()
+        row, scored = out.combined.first(), out.evaluation().first()
+        if change:
+            assert row["wlse"] is None and scored["loglik_wlse"] is None and scored["n"] == 400
+        else:
+            assert row["estimable"] == [True, False, True, True] and scored["loglik_wlse"] < 0
+        out.close()
+
+
+def test_unseen_levels_are_counted_and_left_out(spark):
+    old = frame(2000)
+    old = old[old.f != "d"].assign(partition_id=0)
+    plan = Plan("y", ["x"], {"f": 1.0}, baseline="first")
+    first = fit(spark.createDataFrame(old), plan)
+    new = frame(1500, seed=9).assign(partition_id=1)
+    more = fit(spark.createDataFrame(new), plan, spec=first.spec, stored=first.summary)
+    assert [tuple(r) for r in more.unseen.collect()] == [("f", "d", int((new.f == "d").sum()))]
+    assert more.combined.first()["n_total"] == len(old) + int((new.f != "d").sum())
+    assert more.evaluation().first()["n"] == int((new.f != "d").sum())
+    with pytest.raises(ValueError, match="levels without a term"):
+        fit(spark.createDataFrame(new), Plan("y", ["x"], {"f": 1.0}, baseline="first", unseen="error"), spec=first.spec)
+    frame_rows = predict(spark.createDataFrame(new), first.spec, first.betas, "wlse", ["f"]).filter("prob IS NULL")
+    assert {r["f"] for r in frame_rows.collect()} == {"d"}
+
+
+def test_extension_keeps_everything(spark, tmp_path):
+    plan = Plan("y", ["x"], {"f": 1.0}, baseline="first")
+    parts = [frame(3000, seed=s).assign(partition_id=s) for s in (1, 2, 3)]
+    folder = str(tmp_path / "model")
+    fit(spark.createDataFrame(parts[0]), plan).save(folder)
+    for part in parts[1:]:
+        extend(spark.createDataFrame(part), plan, folder).save(folder)
+    assert combine(store.load_table(spark, folder, "summary"), store.load_spec(spark, folder)).first()["n_total"] == 9000
+    assert store.load_table(spark, folder, "combined").first()["n_used"] == 9000
+    assert store.has_table(spark, folder, "levels") and store.has_table(spark, folder, "stats")
+
+
+def test_all_terms_count_against_the_limit(spark):
+    df = spark.createDataFrame(frame(500))
+    plan = {"response": "y", "continuous": ["x", "z"], "keep_top": {"f": 1.0}}
+    assert fit(df, Plan(**plan, max_terms=7)).spec.p == 7
+    with pytest.raises(ValueError, match="more than 6 terms"):
+        fit(df, Plan(**plan, max_terms=6))
 
 
 def test_separated_chunk_is_left_out(spark):
     pdf = pd.DataFrame({"x": np.linspace(-1, 1, 60), "partition_id": 0})
     pdf["y"] = (pdf.x > 0).astype(int)
     spec = TermSpec("y", ("x",), (), True)
-    for limit in (None, 20):
+    for limit in (None, 20):  # the whole model: there is nothing to pool it with
         got = fit_chunks(spark.createDataFrame(pdf), spec, rows_per_task=limit, max_iter=12).first()
         assert got["status"] == "not_converged" and got["theta"] is None
 

@@ -91,7 +91,8 @@ def test_codes_match_dummies(spark, baseline, width):
     for r in rows:
         hot = [t for t in spec.terms if r[t] == 1]
         code = r["code_f"]
-        assert hot == ([spec.terms[code]] if code < len(spec.terms) else [])
+        assert (code is None) == (r["f"] == "unseen") == (r[spec.terms[0]] is None)
+        assert hot == ([spec.terms[code]] if code is not None and code < len(spec.terms) else [])
 
 
 def test_missing_values_go_like_dropna(spark):

@@ -34,23 +34,23 @@ def test_projection_and_null_filter_reach_the_scan(spark, sf_dir):
 
 
 def test_fit_reads_only_what_it_uses(line):
-    plan = plan_of(fit_chunks(line, SPEC))
+    plan = plan_of(fit_chunks(line, SPEC, pool=False))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_tax:double,l_linestatus:string>" in plan
     assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_factor_only_fit_adds_up_before_the_shuffle(line):
-    plan = plan_of(fit_chunks(line, CELLS))
+    plan = plan_of(fit_chunks(line, CELLS, pool=False))
     below = plan[plan.rindex("Exchange"):]
     assert "HashAggregate" in below and "partial_sum" in below
 
 
 def test_fit_in_place_shuffles_nothing(line):
-    assert "Exchange" not in plan_of(fit_in_place(line, SPEC))
+    assert "Exchange" not in plan_of(fit_in_place(line, SPEC, fallback=False))
 
 
 def test_combine_shuffles_partial_sums(line):
-    plan = plan_of(combine(fit_chunks(line, SPEC), SPEC))
+    plan = plan_of(combine(fit_chunks(line, SPEC, pool=False), SPEC))
     below = plan[:plan.index("FlatMapGroupsInPandas")]
     assert "partial_sum" in below and "Join" not in below
 
