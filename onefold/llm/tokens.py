@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text hashed at once; bounds the memory of the 8-byte arrays below.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
