@@ -117,8 +117,9 @@ def _(spark, d):
         (F.col("partition_id") == 1) & (F.col("cell") == "5-LOW|F"))
     combined = settle(combine(fit_chunks(rows.filter(~gone), spec), spec))
     wide = coefficients_wide(coefficients(combined, spec, {"wlse": "wlse", "one_shot": "one_shot"}), spec, ["wlse", "one_shot"])
-    return wide.crossJoin(F.broadcast(combined.select("n_total", "n_used"))).select(
-        "term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"), "n_total", "n_used")
+    totals = combined.select("n_total", "n_used").first()
+    return wide.select("term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"),
+                       *[F.lit(totals[c]).cast("bigint").alias(c) for c in ("n_total", "n_used")])
 
 
 def segment_model(spark, d):
@@ -371,7 +372,7 @@ def _(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("standardise_constant", """SELECT count(*) AS n, 0.0 AS constant, 0.0 AS single,
+@query("standardise_constant", """SELECT count(*) AS n, CAST(0 AS DOUBLE) AS constant, CAST(0 AS DOUBLE) AS single,
   round(sum((l_quantity - m) / s * ((l_quantity - m) / s)) + 1, 4) AS squares
 FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)""")
 def _(spark, d):
