@@ -13,7 +13,7 @@ from onefold.operators.newton import unpack
 from onefold.operators.shrink import choose, estimates, path_terms, shrink_path
 from onefold.plans import ml
 from onefold.plans.regression import METHODS, Plan, extend, fit
-from onefold.plans.sgd import fit_sgd
+from onefold.plans.sgd import fit_sgd, load_sgd, save_sgd
 from onefold.sources import store
 from onefold.sources.rows import simulate_logistic, true_betas
 from onefold.spec import OTHERS, Factor, TermSpec
@@ -430,3 +430,14 @@ def test_coefficient_table(spark):
     assert len(got) == 12
     row = c.first()
     assert {r["term"]: r["estimate"] for r in got if r["method"] == "w"} == dict(zip(SPEC.terms, row["wlse"]))
+
+
+def test_a_stored_sgd_run_goes_on(spark, tmp_path):
+    df = spark.createDataFrame(frame(3000))
+    whole = fit_sgd(df, SPEC, epochs=1, parts=2)
+    save_sgd(df, str(tmp_path / "sgd"), SPEC, whole)
+    spec, theta = load_sgd(df, str(tmp_path / "sgd"))
+    assert spec == SPEC and theta == whole
+    more = fit_sgd(df, spec, epochs=2, parts=2, warm=theta)
+    scored = loglik(df, spec, constants({"one": whole, "more": more}, spark), ["one", "more"]).first()
+    assert scored["loglik_more"] >= scored["loglik_one"] - 1.0
