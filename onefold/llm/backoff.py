@@ -3,8 +3,9 @@
 The count tables are partitioned by the hash of the n-gram. A pack of documents explodes its n-grams
 once, adds up equal ones and asks the buckets of their hashes; a bucket adds the counts of all packs
 and answers in the order of each request; the pack then scores its words and sums per document.
-Orders above 2 are asked in rounds of their own, and only for n-grams whose two shorter parts
-reached ``min_count``; the others cannot reach it.
+Orders above 2 are asked in rounds of their own, and only for n-grams whose two shorter parts occur
+at least twice and reached ``min_count``. Of the others, one with a part that occurs once occurs
+once itself, which is its exact count; the rest cannot reach ``min_count``.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ class _Grams:
             return hashes, np.ones(len(hashes), bool)
         shorter = np.zeros(len(self.words) + 1, np.int64)
         shorter[self.of(n - 1)[0]] = totals[n - 1]
-        likely = (shorter[at] >= min_count) & (shorter[at + 1] >= min_count)
+        least = max(min_count, 2)
+        likely = (shorter[at] >= least) & (shorter[at + 1] >= least)
         return hashes[likely], likely
 
 
@@ -112,7 +114,7 @@ def _answers(replies: pa.Table) -> dict[tuple[int, int], pa.Scalar]:
 
 
 def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> dict[int, np.ndarray]:
-    """Corpus counts by position for the orders; 0 where not asked."""
+    """Corpus counts by position for the orders; 1 where not asked: the count itself, or below ``min_count``."""
     totals: dict[int, np.ndarray] = {}
     for n in orders:
         hashes, asked = grams.candidates(n, totals, min_count)
@@ -120,7 +122,7 @@ def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> d
         count = np.zeros(len(keys), np.int64)
         for bucket, a, b in grams.cut(keys):
             count[a:b] = from_small(answers[n, bucket], b - a)
-        totals[n] = np.zeros(len(asked), np.int64)
+        totals[n] = np.ones(len(asked), np.int64)
         totals[n][asked] = count[of]
     return totals
 

@@ -110,6 +110,12 @@ def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), "n_backed_off")
 
 
+def op4_backoff_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores with every n-gram that the corpus holds, also those it holds once."""
+    scored = backoff_scores(table(spark, sf_dir, "documents"), min_count=1)
+    return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), "n_backed_off")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
@@ -134,6 +140,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_backoff_scores": op4_backoff_scores,
+    "op4_backoff_scores_all": op4_backoff_scores_all,
     "op5_html_extraction": op5_html_extraction,
     "op6_pu_toxicity": op6_pu_toxicity,
     "op7_bit_sliced_top_k": op7_bit_sliced_top_k,
@@ -187,6 +194,9 @@ SELECT d.doc_id, len(d.ws) AS n_words, round(coalesce(sum(s), 0), 5) AS log_scor
 FROM docs d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id, len(d.ws)
 """
 
+# Every n-gram with a count above 0 is scored.
+OP4_ALL_SQL = OP4_SQL.replace("< 2", "< 1").replace(">= 2", ">= 1")
+
 OP7_SQL = """
 WITH ok AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
@@ -234,6 +244,7 @@ FROM judged
 ORACLES = {
     "op1_revisit_resolution": OP1_SQL,
     "op4_backoff_scores": OP4_SQL,
+    "op4_backoff_scores_all": OP4_ALL_SQL,
     "op7_bit_sliced_top_k": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op2_substring_dedup": OP2_SQL,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from onefold.llm import bit_sliced, html_text, letters, packing, tokens
+from onefold.llm import backoff, bit_sliced, html_text, letters, packing, tokens
 from onefold.llm.backoff import backoff_scores, from_small, from_sorted, small_numbers, sorted_hashes
 from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.components import components
@@ -173,6 +173,33 @@ def test_backoff_edges(odd, none):
     assert rows_of(backoff_scores(odd, order=1).where("doc_id = 6").select(F.round(F.exp("log_score"), 12))) == [(round((2 / 30_209) ** 2, 12),)]
 
 
+def test_backoff_counts_what_occurs_once(spark):
+    """Against plain counts, and n-grams with a part that occurs once are not asked for."""
+    rng = np.random.default_rng(2)
+    docs = {i: [f"w{x}" for x in rng.zipf(1.5, 40) % 50] for i in range(30)}
+    counts: dict = {}
+    for ws in docs.values():
+        for n in range(1, 5):
+            for i in range(len(ws) - n + 1):
+                counts[tuple(ws[i:i + n])] = counts.get(tuple(ws[i:i + n]), 0) + 1
+    total = sum(map(len, docs.values()))
+
+    def log_score(ws, i, order, least):
+        for n in range(min(order, i + 1), 0, -1):
+            gram = tuple(ws[i - n + 1:i + 1])
+            if n == 1 or counts[gram] >= least:
+                share = counts[gram] / (counts[gram[:-1]] if n > 1 else total)
+                return np.log(share) + (min(order, i + 1) - n) * np.log(0.4)
+
+    frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string")
+    for order, least in ((3, 1), (4, 1), (4, 2), (3, 3)):
+        got = {r["doc_id"]: r["log_score"] for r in backoff_scores(frame, order=order, min_count=least).collect()}
+        assert got == pytest.approx({d: sum(log_score(ws, i, order, least) for i in range(len(ws))) for d, ws in docs.items()})
+    packs = backoff._squeezed([pa.RecordBatch.from_pydict({"pack": [0], "doc_id": [1], "text": ["a b c a b d"]})])
+    grams = backoff._Grams(pa.Table.from_batches(packs), 6)
+    assert grams.candidates(3, {2: np.array([2, 1, 1, 2, 1])}, 1)[1].tolist() == [False] * 4
+
+
 def test_extraction_edges(spark):
     article = "<html><body><nav>menu</nav><article><header>by me</header><h1>Head</h1><p>One &amp;amp; two<br>three<p class='ad'>buy" \
         "<p>four <b>five</b><script>x='</p>'</script><!-- <p>no</p> --><div id=comments><p>first!</p></div></article><footer>f</footer>"
