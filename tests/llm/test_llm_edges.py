@@ -214,6 +214,19 @@ def test_extraction_edges(spark):
     assert main_text(pages).count() == len(rows) and main_text(pages.limit(0)).count() == 0
 
 
+def test_page_counts_hold_over_the_shards_of_a_host(spark):
+    """A notice on 5 pages goes and one on 4 stays, however many shards the host has."""
+    often, seldom = "this notice stands on five of the pages here", "that remark can be read on only four pages"
+    rows = [(i, f"http://a.com/{i}", f"<p>{often if i < 5 else ''}<p>{seldom if i < 4 else ''}<p>{i} own words") for i in range(40)]
+    rows += [(100 + i, f"http://b.com/{i}", f"<p>{often}<p>{i} own words") for i in range(4)]
+    rows += [(200 + i, "http://a.com/none", None) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    assert whole[0] == f"{seldom}\n\n0 own words" and whole[4] == "4 own words" and whole[100] == f"{often}\n\n0 own words"
+    for size in (30, 200, 1000):
+        assert {r["page_id"]: r["text"] for r in main_text(pages, shard_bytes=size).collect()} == whole
+
+
 def test_suffix_groups_against_plain_search():
     rng = np.random.default_rng(1)
     token = rng.integers(0, 3, 600).astype(np.uint64)
