@@ -64,7 +64,8 @@ class Fit:
     """A fitted model. ``summary`` holds all chunks, also those of a model that was extended.
 
     ``rows`` are the rows read in this run, and ``evaluation`` scores these. ``unseen`` counts
-    their rows left out per factor and level.
+    their rows left out per factor and level. ``held`` are the prepared rows, of this run and of
+    those it extends, that no usable chunk has: an extension fits them again together with its own.
     """
 
     spec: TermSpec
@@ -77,6 +78,7 @@ class Fit:
     betas: DataFrame
     seconds: dict[str, float]
     unseen: DataFrame | None = None
+    held: DataFrame | None = None
 
     def close(self) -> None:
         """Release the prepared rows."""
@@ -108,6 +110,8 @@ class Fit:
             tables["stats"] = self.stats
         if self.unseen is not None:
             tables["unseen"] = self.unseen
+        if self.held is not None:
+            tables["held"] = self.held
         store.save_model(path, self.spec, **tables)
 
     def report(self) -> None:
@@ -161,11 +165,64 @@ def assign_chunks(rows: DataFrame, plan: Plan) -> DataFrame:
     return rows.withColumn(chunking.CHUNK, F.floor(F.col(DRAW) * k).cast("bigint"))
 
 
+def _fit_rows(rows: DataFrame, plan: Plan, spec: TermSpec) -> DataFrame:
+    """Summaries of prepared rows."""
+    if plan.in_place:
+        return settle(fit_in_place(rows, spec, plan.rows_per_chunk))
+    # Drawn and hashed chunk numbers are bounded by the plan; numbers that rows bring are counted.
+    chunked = assign_chunks(rows, plan)
+    planned = chunking.CHUNK not in rows.columns
+    most = max(1, rows.count() // max(1, plan.rows_per_chunk)) if planned else None
+    return settle(fit_chunks(chunked, spec, tasks=min(most, MAX_TASKS) if most else None))
+
+
+def _of_models(df: DataFrame, models: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:
+    """Rows of the models listed, or of the others; without keys there is one model."""
+    if not keys:
+        return df if models.isEmpty() != inside else df.limit(0)
+    return df.join(small_side(models), list(keys), "left_semi" if inside else "left_anti")
+
+
+def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFrame | None,
+                   held: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Summaries of the rows, the stored ones that still hold, and the rows no usable chunk has.
+
+    After pooling a model without an optimum is one chunk of all its rows. Where these have one
+    together with the held rows of the model, that fit takes the place of both.
+    """
+    keys = list(spec.keys)
+    models = [F.col(k) for k in keys] or [F.lit(1).alias("one")]
+    summary = _fit_rows(rows, plan, spec)
+    plain = rows.drop(DRAW)
+    if held is not None and not held.isEmpty():
+        waiting = settle(held.select(*models).distinct())
+        both = plain.unionByName(held.select(*plain.columns))
+        both = _of_models(both, waiting, keys)
+        if DRAW in rows.columns:
+            both = stage(both.withColumn(DRAW, F.rand(20240229)), "rows")
+        refit = _fit_rows(both, plan, spec)
+        failed = settle(refit.filter("status <> 'ok'").select(*models).distinct())
+        # Without keys, one model: settled if nothing failed.
+        settled = settle(waiting.exceptAll(failed))
+        refit = _of_models(refit, settled, keys)
+        summary = settle(_of_models(summary, settled, keys, inside=False).unionByName(refit))
+        if stored is not None:
+            usable = stored.filter("status = 'ok'")
+            stored = usable.unionByName(_of_models(stored.filter("status <> 'ok'"), settled, keys, inside=False))
+        held = _of_models(held, settled, keys, inside=False).select(*plain.columns)
+    else:
+        held = None
+    bad = settle(summary.filter("status <> 'ok'").select(*models).distinct())
+    left = _of_models(plain, bad, keys).select(*plain.columns)
+    return summary, stored, settle(left if held is None else held.unionByName(left))
+
+
 def extend(df: DataFrame, plan: Plan, folder: str) -> Fit:
     """Extend a stored model by new rows; what it has of levels and statistics is kept."""
     spark = df.sparkSession
     spec = store.load_spec(spark, folder)
-    out = fit(df, plan, spec=spec, stored=store.load_table(spark, folder, "summary"))
+    held = store.load_table(spark, folder, "held") if store.has_table(spark, folder, "held") else None
+    out = fit(df, plan, spec=spec, stored=store.load_table(spark, folder, "summary"), held=held)
     # Read in full now, so that the result may be saved over the folder.
     for name in ("levels", "stats"):
         if store.has_table(spark, folder, name):
@@ -174,11 +231,11 @@ def extend(df: DataFrame, plan: Plan, folder: str) -> Fit:
 
 
 def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFrame | None = None,
-        persist: StorageLevel | None = StorageLevel.DISK_ONLY) -> Fit:
+        persist: StorageLevel | None = StorageLevel.DISK_ONLY, held: DataFrame | None = None) -> Fit:
     """Fit one model, or one per model key.
 
     Pass ``spec`` to reuse the terms of an earlier run, and ``stored`` (its summary table) to
-    extend it: only the new rows are read. Prepared rows are narrow and used for counting,
+    extend it: only the new rows are read, and those ``held`` back for want of an optimum. Prepared rows are narrow and used for counting,
     fitting and evaluation, so they are persisted once.
     """
     seconds: dict[str, float] = {}
@@ -203,14 +260,7 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         spec, levels, stats = learn_spec(rows, plan)
     timed("prepare", t)
     t = time.perf_counter()
-    if plan.in_place:
-        summary = settle(fit_in_place(rows, spec, plan.rows_per_chunk))
-    else:
-        # Drawn and hashed chunk numbers are bounded by the plan; numbers that rows bring are counted.
-        chunked = assign_chunks(rows, plan)
-        planned = chunking.CHUNK not in rows.columns
-        most = max(1, rows.count() // max(1, plan.rows_per_chunk)) if planned else None
-        summary = settle(fit_chunks(chunked, spec, tasks=min(most, MAX_TASKS) if most else None))
+    summary, stored, held = _fit_with_held(rows, plan, spec, stored, held)
     timed("fit", t)
     t = time.perf_counter()
     if stored is not None:
@@ -221,4 +271,4 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
     path = settle(shrink_path(combined, spec, plan.kind))
     betas = settle(estimates(combined, path, spec))
     timed("shrink", t)
-    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen)
+    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from onefold.spec import Factor, TermSpec
 
-TABLES = ("summary", "combined", "path", "coef", "levels", "stats", "eval", "run", "unseen")
+TABLES = ("summary", "combined", "path", "coef", "levels", "stats", "eval", "run", "unseen", "held")
 
 
 def save_table(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None:

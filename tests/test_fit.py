@@ -210,6 +210,21 @@ def test_extension_keeps_everything(spark, tmp_path):
     assert store.has_table(spark, folder, "levels") and store.has_table(spark, folder, "stats")
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_extension_uses_rows_held_back(spark, tmp_path, keys):
+    """A file with a level of one class has no optimum alone; later files bring its rows back."""
+    plan = Plan("y", ["x"], {"f": 1.0}, baseline="first", keys=keys)
+    parts = [frame(1500, seed=s).assign(partition_id=s) for s in (1, 2, 3)]
+    parts[1].loc[parts[1].f == "b", "y"] = 1
+    folder, used = str(tmp_path / "model"), []
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part)
+        (extend(df, plan, folder) if i else fit(df, plan)).save(folder)
+        total = store.load_table(spark, folder, "combined").groupBy().sum("n_total", "n_used").first()
+        used.append((*total, store.load_table(spark, folder, "held").count()))
+    assert used == [(1500, 1500, 0), (3000, 1500, 1500), (4500, 4500, 0)]
+
+
 def test_all_terms_count_against_the_limit(spark):
     df = spark.createDataFrame(frame(500))
     plan = {"response": "y", "continuous": ["x", "z"], "keep_top": {"f": 1.0}}
