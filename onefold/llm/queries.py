@@ -10,6 +10,7 @@ from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.decontaminate import contained_items
 from onefold.llm.html_text import main_text
 from onefold.llm.lang_id import fit_languages, predict_languages
+from onefold.llm.manifest import merkle_manifest
 from onefold.llm.near_dup import near_duplicates
 from onefold.llm.packing import pack_documents
 from onefold.llm.revisits import resolve_revisits
@@ -135,6 +136,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; half of them are read with their line breaks taken away."""
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    made = merkle_manifest(table(spark, sf_dir, "documents"), tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, when=half)
+    return made.leaves
+
+
 QUERIES = {
     "op1_revisit_resolution": op1_revisit_resolution,
     "op2_substring_dedup": op2_substring_dedup,
@@ -147,6 +155,7 @@ QUERIES = {
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP10_SQL = rf"""
@@ -241,7 +250,73 @@ SELECT page_id * 2 + 1 AS record_id, url_key, response * 2 AS response_id, outco
 FROM judged
 """
 
+# CRC-32 of the bytes of a string, byte by byte and bit by bit.
+def crc32_sql(text: str) -> str:
+    hexes = f"hex(encode({text}))"
+    data = f"[('0x' || substr({hexes}, 2 * k - 1, 2))::BIGINT FOR k IN range(1, strlen({text}) + 1)]"
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda c, b: {bits}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# The tree of each source and the tree of the subroots, a level at a time; siblings per node, then folds.
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, leaf, forged, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) - 1 AS rank
+  FROM (SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+          CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS forged
+        FROM documents)
+),
+up AS (
+  SELECT 0 AS level, source, i, leaf AS d, n FROM leaves
+  UNION ALL SELECT level + 1, source, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1
+  GROUP BY level, source, i // 3, n
+),
+subroots AS (
+  SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+),
+top AS (
+  SELECT 0 AS level, i, subroot AS d, n FROM subroots
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3, n
+),
+below AS (SELECT source, count(DISTINCT level) - 1 AS depth FROM up GROUP BY source),
+beside AS (
+  SELECT a.source, a.level, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+),
+top_beside AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM top a JOIN top b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL
+),
+path AS (
+  SELECT rank, level, l, r FROM (SELECT rank, source, i, unnest(range(0, depth)) AS level FROM leaves JOIN below USING (source)) x
+  JOIN beside b USING (source, level) WHERE b.i = x.i // CAST(pow(3, level) AS BIGINT)
+  UNION ALL
+  SELECT rank, depth + level, l, r FROM (
+    SELECT rank, depth, s.i, unnest(range(0, (SELECT max(level) FROM top))) AS level
+    FROM leaves JOIN below USING (source) JOIN subroots s USING (source)) x
+  JOIN top_beside b USING (level) WHERE b.i = x.i // CAST(pow(3, level) AS BIGINT)
+),
+fold AS (
+  SELECT rank, 0 AS level, forged AS d FROM leaves
+  UNION ALL SELECT rank, fold.level + 1, sha256(l || d || r) FROM fold JOIN path USING (rank, level)
+),
+root AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified, source, rank AS leaf_rank
+FROM leaves JOIN subroots USING (source) CROSS JOIN root
+JOIN (SELECT rank, max_by(d, level) AS folded FROM fold GROUP BY rank) USING (rank)
+JOIN (SELECT rank, sha256(coalesce(string_agg(l || r, '' ORDER BY level), '')) AS proof_sha256 FROM leaves LEFT JOIN path USING (rank) GROUP BY rank) USING (rank)
+"""
+
 ORACLES = {
+    "op13_merkle_manifest": OP13_SQL,
     "op1_revisit_resolution": OP1_SQL,
     "op4_backoff_scores": OP4_SQL,
     "op4_backoff_scores_all": OP4_ALL_SQL,
