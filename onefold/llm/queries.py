@@ -9,6 +9,7 @@ from onefold.llm.backoff import backoff_scores
 from onefold.llm.bit_sliced import top_inner_products
 from onefold.llm.decontaminate import contained_items
 from onefold.llm.html_text import main_text
+from onefold.llm.importance import importance_resample
 from onefold.llm.lang_id import fit_languages, predict_languages
 from onefold.llm.manifest import merkle_manifest
 from onefold.llm.near_dup import near_duplicates
@@ -136,6 +137,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark texts, and the tenth that is drawn."""
+    found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict of every document; half of them are read with their line breaks taken away."""
     half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -155,6 +162,7 @@ QUERIES = {
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -315,7 +323,36 @@ JOIN (SELECT rank, max_by(d, level) AS folded FROM fold GROUP BY rank) USING (ra
 JOIN (SELECT rank, sha256(coalesce(string_agg(l || r, '' ORDER BY level), '')) AS proof_sha256 FROM leaves LEFT JOIN path USING (rank) GROUP BY rank) USING (rank)
 """
 
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w FROM docs),
+goal AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+hashed AS (SELECT w, {crc32_sql('w')} % 10000 AS bucket FROM (SELECT w FROM words UNION SELECT w FROM goal)),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM words JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM goal JOIN hashed USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM words)::DOUBLE + 10000)
+    / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM goal)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+),
+sums AS (SELECT r, sum(gain)::BIGINT AS g FROM words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(floor(g::DOUBLE / len(ws)), 0)::BIGINT AS weight,
+    coalesce(floor(g::DOUBLE / len(ws)), 0)::BIGINT + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN sums USING (r)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
 ORACLES = {
+    "op11_importance_resampling": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
     "op1_revisit_resolution": OP1_SQL,
     "op4_backoff_scores": OP4_SQL,

@@ -77,8 +77,8 @@ class Words:
         return self.data[self.start[i]:self.end[i]].tobytes()
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Word boundaries of a string array; ``lower`` maps A-Z to a-z first."""
+def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE) -> Words:
+    """Word boundaries of a string array; ``lower`` maps A-Z to a-z first, ``breaks`` marks bytes outside words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -90,7 +90,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(texts) + 1, np.int64))
-    space = _SPACE[data]
+    space = breaks[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[1:], before[0] = space[:-1], True
     after[:-1], after[-1] = space[1:], True
