@@ -14,6 +14,7 @@ from onefold.llm.lang_id import fit_languages, predict_languages
 from onefold.llm.manifest import merkle_manifest
 from onefold.llm.near_dup import near_duplicates
 from onefold.llm.packing import pack_documents
+from onefold.llm.personal import fit_field, labelled_table, personal_data
 from onefold.llm.revisits import resolve_revisits
 from onefold.llm.substring_dedup import remove_repeats
 from onefold.llm.toxicity import fit_toxicity, score_toxicity
@@ -143,6 +144,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: spans of the patterns and those that the trained field adds."""
+    found = personal_data(table(spark, sf_dir, "documents"), fit_field(labelled_table(spark)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict of every document; half of them are read with their line breaks taken away."""
     half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -163,6 +170,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_personal_data": op12_personal_data,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
