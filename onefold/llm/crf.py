@@ -81,7 +81,7 @@ def fit(ids: np.ndarray, n_features: int, gold: np.ndarray, first: np.ndarray, a
     """Feature weights, transitions and start scores that maximise the penalised likelihood.
 
     ``ids`` holds the features of each position, padded with ``n_features``. ``allowed`` and ``starts`` mark the
-    transitions and first labels there may be. Steps of fixed number (Adam), no randomness.
+    transitions and first labels there may be. A fixed number of falling steps (Adam), no randomness.
     """
     labels = len(starts)
     theta = np.zeros((n_features + 1 + labels + 1, labels))
@@ -106,5 +106,5 @@ def fit(ids: np.ndarray, n_features: int, gold: np.ndarray, first: np.ndarray, a
         slope[n_features] = 0.0
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
-        theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        theta = theta + rate * (1 - (step - 1) / steps) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return theta[:n_features], np.where(allowed, theta[n_features + 1:-1], FORBIDDEN), np.where(starts, theta[-1], FORBIDDEN)

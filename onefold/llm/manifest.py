@@ -18,6 +18,7 @@ leaves of their own. An empty table has no leaf, no node and no root. Other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
@@ -62,7 +63,7 @@ class Manifest:
 
 def merkle_manifest(
     docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), group: str = "source", order: str = "doc_id",
-    fanout: int = 3, tampered: Mapping[str, Column] | None = None, when: Column | None = None,
+    fanout: int = 3, tampered: Mapping[str, Column] | None = None, when: Column | None = None, pack_leaves: int = PACK_LEAVES,
 ) -> Manifest:
     """Leaves with their proofs, and all nodes.
 
@@ -71,6 +72,7 @@ def merkle_manifest(
     """
     if fanout < 2:
         raise ValueError("a node needs room for two children")
+    shape = _Shape(fanout, max(1, int(math.log(max(pack_leaves, fanout), fanout) + 1e-9)))
     plain = {c: F.col(f"`{c}`") for c in fields}
     forged = F.lit(None).cast("string")
     if tampered:
@@ -88,52 +90,52 @@ def merkle_manifest(
         "tree", (F.col("rank") - F.col("start")).alias("pos"), (F.col("stop") - F.col("start")).alias("total"),
         F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "digest", "key", "forged")
 
-    width = _width(fanout)
-    bands, tops = _grow(members, fanout)
+    bands, tops = _grow(members, shape)
     subroots = settle(tops)
     count = subroots.count()
     above = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(count).cast("long").alias("total"),
                             "lo", "hi", "digest")
-    group_bands, roots = _grow(above, fanout)
+    group_bands, roots = _grow(above, shape)
     root = roots.first()
     root_hex = root["digest"].hex() if root is not None else None
 
     nothing = F.array().cast("array<string>")
     paths = docs.sparkSession.createDataFrame([] if root is None else [(0, 0, [], [], None, root_hex)], _PATH)
     for packs in reversed(group_bands):
-        paths = settle(_descend(packs, paths, fanout, top=packs is group_bands[0]))
+        paths = settle(_descend(packs, paths, shape, top=packs is group_bands[0]))
     # Each group starts from its own path, at the band where its tree ends.
     named = paths.select(F.col("pos").alias("tree"), F.lit(0).cast("long").alias("pos"), "lefts", "rights", "subroot", "root")
-    sizes = groups.select("tree", _last_band(F.col("stop") - F.col("start"), width, len(bands)).alias("__band"))
+    sizes = groups.select("tree", _last_band(F.col("stop") - F.col("start"), shape.width, len(bands)).alias("__band"))
     named = settle(named.join(small_side(sizes), "tree"))
     paths = named.limit(0).drop("__band")
     for number in reversed(range(len(bands))):
         inside = paths.unionByName(named.filter(F.col("__band") == number).drop("__band"))
         if number:
-            paths = settle(_descend(bands[number], inside, fanout))
+            paths = settle(_descend(bands[number], inside, shape))
     key_type = leaves.schema["key"].dataType.simpleString()
-    out = _prove(bands[0], inside, fanout, key_type) if bands else docs.sparkSession.createDataFrame([], _proof_schema(key_type))
+    out = _prove(bands[0], inside, shape, key_type) if bands else docs.sparkSession.createDataFrame([], _proof_schema(key_type))
     named_groups = small_side(groups.select(F.col("tree"), "group"))
     out = out.join(named_groups, "tree").select(
         F.col("key").alias(order), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", F.col("group").alias(group),
         F.col("rank").alias("leaf_rank"))
     spark = docs.sparkSession
-    nodes = _listed(spark, bands, fanout).join(named_groups, "tree").select("group", F.lit(False).alias("of_groups"), "level", "lo", "hi", "digest")
-    nodes = nodes.unionByName(_listed(spark, group_bands, fanout).select(
+    nodes = _listed(spark, bands, shape).join(named_groups, "tree").select("group", F.lit(False).alias("of_groups"), "level", "lo", "hi", "digest")
+    nodes = nodes.unionByName(_listed(spark, group_bands, shape).select(
         F.lit(None).cast(leaves.schema["group"].dataType).alias("group"), F.lit(True).alias("of_groups"), "level", "lo", "hi", "digest"))
     return Manifest(out, nodes.withColumnRenamed("group", group))
 
 
-def _levels(fanout: int) -> int:
-    levels = 1
-    while fanout ** (levels + 1) <= PACK_LEAVES:
-        levels += 1
-    return levels
+@dataclass(frozen=True)
+class _Shape:
+    """Children of a node and levels of a band."""
 
+    fanout: int
+    levels: int
 
-def _width(fanout: int) -> int:
-    """Nodes below one node of the next band."""
-    return fanout ** _levels(fanout)
+    @property
+    def width(self) -> int:
+        """Nodes below one node of the next band."""
+        return self.fanout**self.levels
 
 
 def _last_band(total: Column, width: int, bands: int) -> Column:
@@ -144,25 +146,24 @@ def _last_band(total: Column, width: int, bands: int) -> Column:
     return out
 
 
-def _grow(members: DataFrame, fanout: int) -> tuple[list[DataFrame], DataFrame]:
+def _grow(members: DataFrame, shape: _Shape) -> tuple[list[DataFrame], DataFrame]:
     """The packs of every band, and one node per tree: its top.
 
     ``members`` are the lowest nodes, by tree and position. There are as many rounds as bands, that
     is one for 2,187 leaves, two for 4.8 million and three for 1e10 at a fanout of 3.
     """
-    width = _width(fanout)
     bands, tops = [], members.select(*_names(_NODE)).limit(0)
     nodes = members
     while True:
         extra = [c for c in nodes.columns if c not in _names(_NODE)]
         one = F.struct("pos", "lo", "hi", "digest", *extra)
-        packs = settle(nodes.groupBy("tree", F.floor(F.col("pos") / width).cast("long").alias("pack")).agg(
+        packs = settle(nodes.groupBy("tree", F.floor(F.col("pos") / shape.width).cast("long").alias("pack")).agg(
             F.first("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
             F.array_sort(F.collect_list(one)).alias("members")))
         if packs.isEmpty():
             return bands, tops
         bands.append(packs)
-        nodes = settle(packs.mapInArrow(_ascend(fanout), _NODE))
+        nodes = settle(packs.mapInArrow(_ascend(shape), _NODE))
         tops = tops.unionByName(nodes.filter("total = 1"))
         nodes = nodes.filter("total > 1")
 
@@ -176,18 +177,18 @@ def _hexes(members: pa.StructArray) -> bytes:
     return b"".join(members.field("digest").to_pylist()).hex().encode()
 
 
-def _pyramid(hexes: bytes, total: int, fanout: int) -> list[bytes]:
+def _pyramid(hexes: bytes, total: int, shape: _Shape) -> list[bytes]:
     """Digests of the levels of a pack, from the lowest; ends where the whole tree has one node.
 
     The last level is the node given to the next band, or the top of the tree.
     """
-    rows, step = [hexes], fanout * _HEX
-    for _ in range(_levels(fanout)):
+    rows, step = [hexes], shape.fanout * _HEX
+    for _ in range(shape.levels):
         if total == 1:
             break
         below = rows[-1]
         rows.append(b"".join(sha256(below[i:i + step]).hexdigest().encode() for i in range(0, len(below), step)))
-        total = -(-total // fanout)
+        total = -(-total // shape.fanout)
     return rows
 
 
@@ -195,17 +196,16 @@ def _members(batch: pa.RecordBatch, i: int) -> pa.StructArray:
     return batch.column("members")[i].values
 
 
-def _ascend(fanout: int):
+def _ascend(shape: _Shape):
     """The node that each pack gives to the band above."""
-    width = _width(fanout)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tops = [
-                bytes.fromhex(_pyramid(_hexes(_members(batch, i)), total, fanout)[-1].decode())
+                bytes.fromhex(_pyramid(_hexes(_members(batch, i)), total, shape)[-1].decode())
                 for i, total in enumerate(batch.column("total").to_pylist())
             ]
-            totals = [-(-t // width) for t in batch.column("total").to_pylist()]
+            totals = [-(-t // shape.width) for t in batch.column("total").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("tree"), batch.column("pack"), pa.array(totals, pa.int64()), batch.column("lo"), batch.column("hi"),
                  pa.array(tops, pa.binary())], names=_names(_NODE))
@@ -230,7 +230,7 @@ def _siblings(rows: list[bytes], at: int, fanout: int) -> tuple[list[bytes], lis
     return lefts, rights
 
 
-def _descend(packs: DataFrame, paths: DataFrame, fanout: int, top: bool = False) -> DataFrame:
+def _descend(packs: DataFrame, paths: DataFrame, shape: _Shape, top: bool = False) -> DataFrame:
     """The path to the root of every member of the packs; ``top``: the members are subroots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +238,11 @@ def _descend(packs: DataFrame, paths: DataFrame, fanout: int, top: bool = False)
             for i in range(batch.num_rows):
                 members = _members(batch, i)
                 hexes, positions = _hexes(members), members.field("pos").to_pylist()
-                rows = _pyramid(hexes, batch.column("total")[i].as_py(), fanout)
+                rows = _pyramid(hexes, batch.column("total")[i].as_py(), shape)
                 tree, end_l, end_r, subroot, root = (batch.column(c)[i].as_py() for c in ("tree", "lefts", "rights", "subroot", "root"))
                 out: dict[str, list] = {c: [] for c in _names(_PATH)}
                 for at, pos in enumerate(positions):
-                    lefts, rights = _siblings(rows, at, fanout)
+                    lefts, rights = _siblings(rows, at, shape.fanout)
                     own = hexes[at * _HEX:(at + 1) * _HEX].decode() if top else subroot
                     for name, value in zip(out, (tree, pos, [*(x.decode() for x in lefts), *end_l], [*(x.decode() for x in rights), *end_r], own, root), strict=True):
                         out[name].append(value)
@@ -257,7 +257,7 @@ def _proof_schema(key_type: str) -> str:
     return f"tree long, key {key_type}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, rank long"
 
 
-def _prove(packs: DataFrame, paths: DataFrame, fanout: int, key_type: str) -> DataFrame:
+def _prove(packs: DataFrame, paths: DataFrame, shape: _Shape, key_type: str) -> DataFrame:
     """Proof and folded root of every leaf of the packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +265,13 @@ def _prove(packs: DataFrame, paths: DataFrame, fanout: int, key_type: str) -> Da
             for i in range(batch.num_rows):
                 members = _members(batch, i)
                 hexes = _hexes(members)
-                rows = _pyramid(hexes, batch.column("total")[i].as_py(), fanout)
+                rows = _pyramid(hexes, batch.column("total")[i].as_py(), shape)
                 tree, end_l, end_r, subroot, root = (batch.column(c)[i].as_py() for c in ("tree", "lefts", "rights", "subroot", "root"))
                 ends = [(a.encode(), b.encode()) for a, b in zip(end_l, end_r, strict=True)]
                 rest = b"".join(a + b for a, b in ends)
                 leaf, proof, folded = [], [], []
                 for at, forged in enumerate(members.field("forged").to_pylist()):
-                    lefts, rights = _siblings(rows, at, fanout)
+                    lefts, rights = _siblings(rows, at, shape.fanout)
                     own = hexes[at * _HEX:(at + 1) * _HEX]
                     leaf.append(own.decode())
                     proof.append(sha256(b"".join(a + b for a, b in zip(lefts, rights, strict=True)) + rest).hexdigest())
@@ -288,9 +288,8 @@ def _prove(packs: DataFrame, paths: DataFrame, fanout: int, key_type: str) -> Da
     return _with_paths(packs, paths).mapInArrow(run, _proof_schema(key_type))
 
 
-def _listed(spark: SparkSession, bands: list[DataFrame], fanout: int) -> DataFrame:
+def _listed(spark: SparkSession, bands: list[DataFrame], shape: _Shape) -> DataFrame:
     """Every node of the bands with its level and the ranks it covers; a band's lowest nodes are the tops of the one below."""
-    deep = _levels(fanout)
     schema = "tree long, level int, lo long, hi long, digest string"
 
     def lister(band: int):
@@ -299,12 +298,12 @@ def _listed(spark: SparkSession, bands: list[DataFrame], fanout: int) -> DataFra
                 for i in range(batch.num_rows):
                     members = _members(batch, i)
                     lo, hi = members.field("lo").to_pylist(), members.field("hi").to_pylist()
-                    rows = _pyramid(_hexes(members), batch.column("total")[i].as_py(), fanout)
+                    rows = _pyramid(_hexes(members), batch.column("total")[i].as_py(), shape)
                     for level, row in enumerate(rows[1:] if band else rows, start=1 if band else 0):
-                        step = fanout ** level
+                        step = shape.fanout ** level
                         n = len(row) // _HEX
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([batch.column("tree")[i].as_py()] * n, pa.int64()), pa.array([band * deep + level] * n, pa.int32()),
+                            [pa.array([batch.column("tree")[i].as_py()] * n, pa.int64()), pa.array([band * shape.levels + level] * n, pa.int32()),
                              pa.array(lo[::step], pa.int64()), pa.array([hi[min(len(hi), k + step) - 1] for k in range(0, len(hi), step)], pa.int64()),
                              pa.array([row[k * _HEX:(k + 1) * _HEX].decode() for k in range(n)])],
                             names=["tree", "level", "lo", "hi", "digest"])

@@ -21,7 +21,7 @@ def table(spark, sf_dir, name):
 
 
 def test_all_operators_are_registered():
-    assert {name.split("_")[0] for name in QUERIES if name.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES if name.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in QUERIES
 
 
