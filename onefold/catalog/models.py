@@ -122,6 +122,41 @@ def _(spark, d):
                        *[F.lit(totals[c]).cast("bigint").alias(c) for c in ("n_total", "n_used")])
 
 
+_ONE_CLASS = CELLS.replace("FROM ship GROUP BY partition_id, cell", "FROM ship WHERE NOT (cell = '5-LOW|F' AND late = 1) GROUP BY partition_id, cell")
+
+
+@query("chunk_fit_separated", f"""WITH {_ONE_CLASS.replace("FROM counts)", "FROM counts WHERE y > 0)")}, t AS (SELECT sum(n) AS n FROM counts)
+SELECT term, round(wl.b, 8) + 0.0 AS wlse, true AS estimable, CAST(0 AS DOUBLE) AS aside, CAST(t.n AS BIGINT) AS n_used, CAST(t.n AS BIGINT) AS n_total
+FROM wl, t UNION ALL
+SELECT 'cell_5-LOW|F', 0.0, false, sum(counts.n), CAST(any_value(t.n) AS BIGINT), CAST(any_value(t.n) AS BIGINT) FROM counts, t WHERE y = 0""")
+def _(spark, d):
+    # One level has rows of one class only. All other terms are as without it, and every row counts as used.
+    rows, spec = cell_model(spark, d)
+    combined = combine(fit_chunks(rows.filter("NOT (cell = '5-LOW|F' AND late = 1)"), spec), spec)
+    terms = F.array(*[F.lit(t) for t in spec.terms])
+    cells = combined.select("n_used", "n_total", F.inline(F.arrays_zip(terms.alias("term"), "wlse", "estimable", "aside")))
+    return cells.select("term", rnd("wlse", 8).alias("wlse"), "estimable", "aside", "n_used", "n_total")
+
+
+_MOVED = CELLS.replace("FROM ship GROUP BY partition_id, cell", """FROM (SELECT late, cell, CASE WHEN cell = '5-LOW|F' AND partition_id = 2 THEN 0
+    WHEN cell = '1-URGENT|O' AND partition_id = 1 THEN 0 WHEN cell = '1-URGENT|O' AND partition_id = 2 THEN 3 ELSE partition_id END AS partition_id
+  FROM ship WHERE NOT (partition_id = 2 AND cell = '5-LOW|F' AND late = 1)
+    AND NOT (partition_id IN (1, 2) AND cell = '1-URGENT|O' AND late = 0)) GROUP BY partition_id, cell""")
+
+
+@query("chunk_fit_moved", f"""WITH {_MOVED} SELECT term, round(b, 8) + 0.0 AS wlse, round(one_shot, 8) + 0.0 AS one_shot,
+  CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used FROM wl""")
+def _(spark, d):
+    # Levels of one class in some chunks: their rows go, in turn, to the chunks where they have both.
+    rows, spec = cell_model(spark, d)
+    gone = (F.col("partition_id") == 2) & (F.col("cell") == "5-LOW|F") & (F.col("late") == 1)
+    also = F.col("partition_id").isin(1, 2) & (F.col("cell") == "1-URGENT|O") & (F.col("late") == 0)
+    combined = settle(combine(fit_chunks(rows.filter(~gone & ~also), spec), spec))
+    wide = coefficients_wide(coefficients(combined, spec, {"wlse": "wlse", "one_shot": "one_shot"}), spec, ["wlse", "one_shot"])
+    return wide.select("term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"),
+                       F.lit(combined.first()["n_used"]).cast("bigint").alias("n_used"))
+
+
 def segment_model(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     rows = shipments(spark, d).join(customers, F.col("o_custkey") == F.col("c_custkey"))

@@ -8,7 +8,7 @@ over many tasks and fitted to the same optimum by summing Newton terms over the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from onefold.functions import has_nan
 from onefold.operators.chunks import CHUNK
 from onefold.operators.newton import (
-    MAX_HALVINGS, CodedDesign, logistic_sums, newton_fit, newton_step, pack, separated, small_step, unpack,
+    CALM_STEPS, MAX_HALVINGS, CodedDesign, in_the_limit, logistic_sums, newton_fit, newton_step, pack, small_step, unpack,
 )
 from onefold.operators.prepare import coded, complete_rows, standardise_columns
 from onefold.session import BROADCAST_ROWS, settle, small_side, stage
@@ -32,7 +32,7 @@ MAX_PATTERNS = 100_000
 
 _BODY = (
     "n bigint, hits double, status string, iterations int, loglik double, "
-    "theta array<double>, v array<double>, hess array<double>"
+    "theta array<double>, v array<double>, hess array<double>, aside array<double>, aside_hits array<double>"
 )
 
 
@@ -81,7 +81,14 @@ def fit_chunks(
 
     ``hess`` is the upper triangle of X'diag(n p (1-p))X, row by row; ``v`` is Hessian times
     theta. A level without rows in the chunk has 0 in theta, v and its part of the Hessian, so
-    it adds nothing when chunks are combined. Chunks of one class or without an optimum are
+    it adds nothing when chunks are combined. Where a level is of one class in its chunk (or a
+    combination of terms separates rows) the fit is that of the limit: these rows are fitted perfectly,
+    the term is 0 like an absent one and all other terms are as without them. ``aside`` then holds the rows
+    set aside per term and ``aside_hits`` their hits (NaN for a term that is only part of a
+    direction); else both are null. Such rows move to a chunk where
+    their level has both classes, if there is one, and only that chunk is fitted again.
+
+    Chunks that are wholly of one class, or wholly separated, are
     pooled with others of their model until all rows are used; a pool has the smallest number
     of its chunks. What is left is a model that has no optimum on all of its rows: its
     ``status`` is ``one_class`` or ``not_converged`` instead of ``ok`` and it has no arrays.
@@ -93,18 +100,125 @@ def fit_chunks(
     if tasks is not None and not (compress or (compress is None and patterns(spec) <= MAX_PATTERNS)):
         rows = rows.repartition(tasks, *spec.keys, CHUNK)
     first = _fit_sized(rows, spec, compress, rows_per_task, max_iter, tol)
-    return _pool_unusable(rows, first, spec, compress, rows_per_task, max_iter, tol) if pool else first
+    if not pool:
+        return first
+    state = settle(first)
+    found = state.agg(F.count_if(F.col("status") != "ok").alias("bad"), F.count("aside").alias("aside")).first()
+
+    def refit(again: DataFrame) -> DataFrame:
+        limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+        return _fit_sized(again, spec, compress, limit, max_iter, tol)
+
+    if found["bad"]:
+        state, place = _pool_unusable(rows, state, spec, refit)
+        rows = rows.join(small_side(settle(place)), [*spec.keys, CHUNK]).drop(CHUNK).withColumnRenamed("__pool", CHUNK).select(*rows.columns)
+    if found["bad"] or found["aside"]:
+        state = _move_aside(rows, state, spec, refit)
+    return state
+
+
+def _own(hits: str) -> Column:
+    """Whether a term was set aside by itself, so that its rows are known."""
+    return ~F.coalesce(F.isnan(hits), F.lit(True))
+
+
+def one_class_terms(summary: DataFrame, spec: TermSpec, everywhere: bool = True) -> DataFrame:
+    """``keys, term, n, hits``: levels set aside in every chunk that has rows of them, or in some; ``term`` counts from 0."""
+    p = spec.p
+    diagonal = F.array(*[F.lit(i * p - i * (i - 1) // 2) for i in range(p)])
+    zeros = F.array_repeat(F.lit(0.0), p)
+    cells = summary.filter("theta IS NOT NULL").select(*spec.keys, F.posexplode(F.arrays_zip(
+        F.coalesce("aside", zeros).alias("n"), F.coalesce("aside_hits", zeros).alias("hits"),
+        F.transform(diagonal, lambda i: F.get("hess", i)).alias("h"))).alias("term", "c"))
+    own = _own("c.hits")
+    found = cells.groupBy(*spec.keys, "term").agg(
+        F.sum(F.when(own, F.col("c.n"))).alias("n"), F.sum(F.when(own, F.col("c.hits"))).alias("hits"),
+        F.max(~own | ((F.col("c.n") == 0) & (F.col("c.h") > 0))).alias("alive"))
+    return found.filter("n > 0 AND NOT alive" if everywhere else "n > 0").drop("alive")
+
+
+# Rounds in which rows that were set aside move to other chunks.
+_MOVES = 3
+
 
+def _move_aside(rows: DataFrame, state: DataFrame, spec: TermSpec, refit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Move rows set aside for their level to chunks of the model where the level has both classes.
 
-def _pool_unusable(rows: DataFrame, first: DataFrame, spec: TermSpec, compress: bool | None,
-                   rows_per_task: int | None, max_iter: int, tol: float) -> DataFrame:
+    Which chunk a row lies in is free, and adding rows never separates what is not separated. The fit of
+    the chunk they leave does not change, since it is the fit without them; those that take them are fitted again.
+    A level with rows of both classes but in no chunk of both is brought together where its hits are.
+    A moved row may bring a level that is new to its chunk, so there are up to three rounds. A level of one
+    class in all chunks moves nowhere.
+    """
+    group, p = [*spec.keys, CHUNK], spec.p
+    model = [F.col(k).alias(f"__k{i}") for i, k in enumerate(spec.keys)]
+    keys = [f"__k{i}" for i in range(len(spec.keys))]
+    for _ in range(_MOVES):
+        cells = state.filter(F.col("aside").isNotNull()).select(*model, F.col(CHUNK).alias("__from"), F.posexplode("aside").alias("__term", "__n"),
+                                                                 "aside_hits")
+        cells = cells.withColumn("__hits", F.expr("aside_hits[__term]")).drop("aside_hits")
+        donors = settle(cells.filter((F.col("__n") > 0) & _own("__hits")))
+        if donors.isEmpty():
+            return state
+        # Chunks in which a wanted term is alive; without keys there is one model.
+        wanted = donors.groupBy(*keys, F.lit(1).alias("__m")).agg(F.collect_set("__term").alias("__terms"))
+        diagonal = F.array(*[F.lit(i * p - i * (i - 1) // 2) for i in range(p)])
+        alive = state.filter("status = 'ok'").select(
+            *model, F.lit(1).alias("__m"), F.col(CHUNK).alias("__to"),
+            F.transform(diagonal, lambda i: F.get("hess", i)).alias("__h"), F.coalesce("aside", F.array_repeat(F.lit(0.0), p)).alias("__a"))
+        alive = alive.join(small_side(settle(wanted)), [*keys, "__m"]).select(*keys, "__to", "__h", "__a", F.explode("__terms").alias("__term"))
+        takers = alive.filter(F.expr("__h[__term] > 0 and __a[__term] = 0")).select(*keys, "__term", "__to")
+        per_term = Window.partitionBy(*keys, "__term")
+        ones = donors.withColumn("__all", F.sum("__n").over(per_term)).withColumn("__all_hits", F.sum("__hits").over(per_term)).filter(
+            (F.col("__all_hits") > 0) & (F.col("__all_hits") < F.col("__all")) & (F.col("__hits") > 0))
+        takers = settle(takers.unionByName(ones.join(takers, [*keys, "__term"], "left_anti").select(*keys, "__term", F.col("__from").alias("__to"))))
+        numbered = takers.withColumn("__i", F.row_number().over(per_term.orderBy("__to")) - 1).withColumn("__many", F.count("*").over(per_term))
+        giving = donors.join(takers.withColumnRenamed("__to", "__from"), [*keys, "__term", "__from"], "left_anti")
+        giving = giving.join(takers.groupBy(*keys, "__term").agg(F.count("*").alias("__many")), [*keys, "__term"])
+        giving = giving.withColumn("__i", (F.row_number().over(per_term.orderBy("__from")) - 1) % F.col("__many")).drop("__many")
+        moves = settle(giving.join(numbered.drop("__many"), [*keys, "__term", "__i"]).select(*keys, "__term", "__from", "__to"))
+        if moves.isEmpty():
+            return state
+        placed, to = rows, []
+        for f in spec.factors:
+            at, width = spec.offset(f), len(f.slots)
+            own = settle(moves.filter(F.col("__term").between(at, at + width - 1)))
+            if own.isEmpty():
+                continue
+            to.append(f"__to_{len(to)}")
+            names = [F.col(k).alias(n) for k, n in zip(keys, spec.keys, strict=True)]
+            placed = placed.join(small_side(own.select(*names, F.col("__from").alias(CHUNK), (F.col("__term") - at).cast("int").alias(f"code_{f.name}"),
+                                                       F.col("__to").alias(to[-1]))), [*group, f"code_{f.name}"], "left")
+        back = {n: k for k, n in zip(spec.keys, keys, strict=True)}
+        taking = small_side(settle(moves.select(*keys, F.col("__to").alias(CHUNK)).distinct().withColumnsRenamed(back)))
+        placed = placed.withColumn("__to", F.coalesce(*to))
+        gone = placed.filter(F.col("__to").isNotNull())
+        left = settle(gone.groupBy(*group).agg(F.sum("trials").alias("__n"), F.sum("hits").alias("__hits")))
+        given = settle(moves.groupBy(*keys, F.col("__from").alias(CHUNK)).agg(F.collect_set("__term").alias("__terms")).withColumnsRenamed(back))
+        stay = placed.filter(F.col("__to").isNull()).join(taking, group, "left_semi")
+        again = gone.drop(CHUNK).withColumnRenamed("__to", CHUNK).select(*rows.columns).unionByName(stay.select(*rows.columns))
+        fitted = refit(again)
+        # The chunks that gave rows keep their fit and lose the rows.
+        kept = state.join(taking, group, "left_anti").join(small_side(left), group, "left").join(small_side(given), group, "left")
+        clear = F.transform("aside", lambda x, i: F.when(F.array_contains("__terms", i), 0.0).otherwise(x))
+        kept = kept.withColumns({
+            "n": (F.col("n") - F.coalesce("__n", F.lit(0.0))).cast("bigint"), "hits": F.col("hits") - F.coalesce("__hits", F.lit(0.0)),
+            "aside": F.when(F.col("__terms").isNull(), F.col("aside")).otherwise(clear)})
+        kept = kept.withColumn("aside", F.when(F.exists("aside", lambda x: x > 0), F.col("aside")))
+        kept = kept.withColumn("aside_hits", F.when(F.col("aside").isNotNull(), F.col("aside_hits")))
+        state = settle(kept.select(*state.columns).unionByName(fitted.select(*state.columns)))
+        placed = placed.withColumn(CHUNK, F.coalesce("__to", CHUNK))
+        rows = placed.select(*rows.columns)
+    return state
+
+
+def _pool_unusable(rows: DataFrame, state: DataFrame, spec: TermSpec, refit: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Refit unusable chunks together, with more and more usable ones where that is not enough.
 
     Only rows of the chunks in a pool are read again. Rounds double the usable chunks taken, so
-    there are at most as many as the number of chunks has bits.
+    there are at most as many as the number of chunks has bits. Also returned is the pool of each chunk.
     """
     group = [*spec.keys, CHUNK]
-    state = settle(first)
     # Which chunk each original chunk is in now.
     place = state.select(*group, F.col(CHUNK).alias("__pool"))
     taken, alone = 0, None
@@ -119,14 +233,13 @@ def _pool_unusable(rows: DataFrame, first: DataFrame, spec: TermSpec, compress:
         pools = facts.filter((F.col("__bad") > 0) & (F.col("__all") > 1) & (F.col("__rank") <= F.col("__bad") + extra))
         pools = settle(pools.withColumn("__to", F.min(CHUNK).over(model)).select(*group, "__to"))
         if pools.isEmpty():
-            return state
+            return state, place
         moves = pools.withColumnRenamed(CHUNK, "__pool")
         place = settle(place.join(small_side(moves), [*spec.keys, "__pool"], "left").select(
             *group, F.coalesce("__to", "__pool").alias("__pool"), F.col("__to").isNotNull().alias("__moved")))
         again = rows.join(small_side(place.filter("__moved").select(*group, "__pool")), group)
         again = again.drop(CHUNK).withColumnRenamed("__pool", CHUNK).select(*rows.columns)
-        limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-        fitted = _fit_sized(again, spec, compress, limit, max_iter, tol)
+        fitted = refit(again)
         state = settle(state.join(small_side(pools.select(*group)), group, "left_anti").unionByName(fitted))
         place = place.drop("__moved")
         taken = max(1, 2 * taken)
@@ -191,12 +304,33 @@ def _fit_rows(layout: _Layout, pdf: pd.DataFrame, max_iter: int, tol: float) ->
     design = layout.design(pdf)
     hits, trials = pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float)
     n, ones = trials.sum(), hits.sum()
+    nothing = [None] * 5
     if ones == 0 or ones == n:
-        return [int(n), ones, "one_class", 0, None, None, None, None]
+        return [int(n), ones, "one_class", 0, None, *nothing]
     beta, h, loglik, iterations, good = newton_fit(design, hits, trials, max_iter, tol)
     if not good:
-        return [int(n), ones, "not_converged", iterations, loglik, None, None, None]
-    return [int(n), ones, "ok", iterations, loglik, beta, h @ beta, pack(h)]
+        return [int(n), ones, "not_converged", iterations, loglik, *nothing]
+    if iterations < CALM_STEPS:
+        return [int(n), ones, "ok", iterations, loglik, beta, h @ beta, pack(h), None, None]
+    result = _limit_arrays(layout, beta, h, design.gram(trials), design.left(trials), design.left(hits), n)
+    return [int(n), ones, "not_converged" if result[0] is None else "ok", iterations, loglik, *result]
+
+
+def _limit_arrays(layout: _Layout, beta: np.ndarray, hessian: np.ndarray, gram: np.ndarray, trials: np.ndarray, hits: np.ndarray,
+                  n: float) -> list:
+    """Arrays of a summary row in the limit; all null where nothing is left, that is where all rows are separated.
+
+    ``trials`` and ``hits`` are the sums per term. A term that is no level, or only part of a direction, is set aside
+    with all rows, and has NaN for hits since no rows are its own.
+    """
+    beta, hessian, aside = in_the_limit(beta, hessian, gram)
+    if not np.any(np.diag(hessian) > 0):
+        return [None] * 5
+    if not aside.any():
+        return [beta, hessian @ beta, pack(hessian), None, None]
+    own = (aside == 1) & (np.arange(layout.p) >= layout.p - sum(layout.widths))
+    rows = np.where(own, trials, np.where(aside > 0, n, 0.0))
+    return [beta, hessian @ beta, pack(hessian), rows, np.where(own, hits, np.where(aside > 0, np.nan, 0.0))]
 
 
 def _fit_in_one_task(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -> DataFrame:
@@ -265,7 +399,7 @@ def _runs(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
         yield whole
 
 
-_BODY_NAMES = ["n", "hits", "status", "iterations", "loglik", "theta", "v", "hess"]
+_BODY_NAMES = ["n", "hits", "status", "iterations", "loglik", "theta", "v", "hess", "aside", "aside_hits"]
 
 
 def sum_arrays(df: DataFrame, by: list[str], values: Column, into: str) -> DataFrame:
@@ -304,14 +438,14 @@ def _fit_in_pieces(rows: DataFrame, spec: TermSpec, max_iter: int, tol: float) -
     state = settle(facts.select(
         *group, n.cast("bigint").alias("n"), hits.alias("hits"),
         F.when((hits == 0) | (hits == n), "one_class").otherwise("running").alias("status"),
-        F.slice("sums", 3, p).alias("squares"), F.lit(0).alias("iterations"), F.lit(0).alias("halvings"), F.lit(None).cast("double").alias("loglik"),
+        F.slice("sums", 3, 2 * p).alias("totals"), F.slice("sums", 3 + 2 * p, p * (p + 1) // 2).alias("gram"), F.lit(0).alias("iterations"), F.lit(0).alias("halvings"), F.lit(None).cast("double").alias("loglik"),
         zeros.alias("beta"), zeros.alias("step"), F.lit(False).alias("last"),
-        nothing.alias("theta"), nothing.alias("v"), nothing.alias("hess")))
+        *[nothing.alias(c) for c in _BODY_NAMES[5:]]))
     schema = state.schema
 
     def advance(batches):
         for pdf in batches:
-            yield pd.DataFrame([_advance(r, p, tol, max_iter) for r in pdf.to_dict("records")],
+            yield pd.DataFrame([_advance(r, layout, tol, max_iter) for r in pdf.to_dict("records")],
                                columns=schema.names)
 
     most = max(1, BROADCAST_ROWS * 8 // p)
@@ -361,11 +495,12 @@ def _block_sums(blocks: DataFrame, layout: _Layout, group: list[str], terms) ->
 
 
 def _counting(layout: _Layout):
-    """Rows, hits and the squares of every term of a block."""
+    """Rows and hits of a block, both by term, and its packed Gram matrix."""
 
     def terms(row: dict) -> np.ndarray:
-        trials = np.asarray(row["trials"], float)
-        return np.concatenate([[trials.sum(), np.sum(row["hits"])], layout.block_design(row).squares(trials)])
+        trials, hits = np.asarray(row["trials"], float), np.asarray(row["hits"], float)
+        design = layout.block_design(row)
+        return np.concatenate([[trials.sum(), hits.sum()], design.left(trials), design.left(hits), pack(design.gram(trials))])
 
     return terms
 
@@ -382,11 +517,12 @@ def _newton_sums(layout: _Layout):
     return terms
 
 
-def _advance(row: dict, p: int, tol: float, max_iter: int) -> dict:
+def _advance(row: dict, layout: _Layout, tol: float, max_iter: int) -> dict:
     """One Newton move of a chunk from the sums at its current beta; stops as ``newton_fit`` does."""
     sums = row.pop("sums")
     if sums is None or row["status"] != "running":
         return row
+    p = layout.p
     sums = np.asarray(sums, float)
     loglik, gradient, hessian = sums[0], sums[1: 1 + p], unpack(sums[1 + p:], p)
     beta, step = np.asarray(row["beta"], float), np.asarray(row["step"], float)
@@ -398,8 +534,10 @@ def _advance(row: dict, p: int, tol: float, max_iter: int) -> dict:
         status = "not_converged" if halvings >= MAX_HALVINGS else "running"
         return {**row, "beta": beta - half, "step": half, "halvings": halvings, "status": status}
     row.update(loglik=loglik, iterations=int(row["iterations"]) + (0 if first else 1), halvings=0)
-    if row["last"] and separated(hessian, np.asarray(row["squares"], float)):
-        return {**row, "status": "not_converged"}
+    if row["last"] and row["iterations"] >= CALM_STEPS:
+        totals = np.asarray(row["totals"], float)
+        found = _limit_arrays(layout, beta, hessian, unpack(np.asarray(row["gram"], float), p), totals[:p], totals[p:], row["n"])
+        return {**row, "status": "not_converged" if found[0] is None else "ok", **dict(zip(_BODY_NAMES[5:], found, strict=True))}
     if row["last"]:
         return {**row, "status": "ok", "theta": beta, "v": hessian @ beta, "hess": pack(hessian)}
     if row["iterations"] >= max_iter:

@@ -17,10 +17,14 @@ from onefold.spec import TermSpec
 
 _SOLVED = (
     "n_total bigint, n_used bigint, chunks_total bigint, chunks_used bigint, "
-    "wlse array<double>, one_shot array<double>, hess array<double>, estimable array<boolean>"
+    "wlse array<double>, one_shot array<double>, hess array<double>, estimable array<boolean>, aside array<double>"
 )
 
 
+# Status of an entry that takes rows back from stored summaries, to be fitted anew.
+RETURNED = "returned"
+
+
 def append_summaries(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -34,18 +38,22 @@ def combine(summaries: DataFrame, spec: TermSpec) -> DataFrame:
     Only chunks with status ``ok`` count; totals over all chunks are reported beside them.
     ``hess`` is the summed Hessian, upper triangle. Models without any usable chunk get nulls.
     The one-shot average of a term is over the chunks that have rows for it. A term without
-    information in any chunk is not ``estimable``: its estimate is 0.
+    information in any chunk is not ``estimable``: its estimate is 0. ``aside`` counts the rows of
+    each term that were set aside because they are separated in their chunk: a level of one class throughout
+    is not estimable and has all its rows there.
     """
     keys = list(spec.keys)
     p = spec.p
     diagonal = F.array(*[F.lit(i * p - i * (i - 1) // 2 + 1) for i in range(p)])
-    present = F.transform(diagonal, lambda i: F.when(F.element_at("hess", i) > 0, 1.0).otherwise(0.0))
-    ok = F.col("status") == "ok"
-    n = F.col("n").cast("double")
-    counts = F.array(
-        n, F.when(ok, n).otherwise(0.0), F.lit(1.0), F.when(ok, 1.0).otherwise(0.0))
-    vector = F.when(ok, F.concat(counts, "theta", "v", present, "hess")).otherwise(counts)
-    # Partial sums per task leave at most 4 + 3p + p(p+1)/2 cells per model and task to shuffle.
+    aside = F.coalesce(F.col("aside"), F.array_repeat(F.lit(0.0), p))
+    present = F.zip_with(diagonal, aside, lambda i, a: F.when((F.element_at("hess", i) > 0) & (a == 0), 1.0).otherwise(0.0))
+    # Entries of returned rows take rows that were set aside out of the counts; they are no chunks.
+    returned = F.col("status") == RETURNED
+    ok = (F.col("status") == "ok") | returned
+    n, chunk = F.col("n").cast("double"), F.when(returned, 0.0).otherwise(1.0)
+    counts = F.array(n, F.when(ok, n).otherwise(0.0), chunk, F.when(ok, chunk).otherwise(0.0))
+    vector = F.when(ok, F.concat(counts, "theta", "v", present, aside, "hess")).otherwise(counts)
+    # Partial sums per task leave at most 4 + 4p + p(p+1)/2 cells per model and task to shuffle.
     summed = sum_arrays(summaries, keys, vector, "sums").filter(F.size("sums") > 0)
     types = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], _SOLVED])
@@ -57,17 +65,18 @@ def combine(summaries: DataFrame, spec: TermSpec) -> DataFrame:
                 s = np.asarray(row["sums"], float)
                 head = [row[k] for k in keys] + [int(x) for x in s[:4]]
                 if s[3] == 0:
-                    out.append([*head, None, None, None, None])
+                    out.append([*head, None, None, None, None, None])
                     continue
-                theta, v, seen, h = s[4: 4 + p], s[4 + p: 4 + 2 * p], s[4 + 2 * p: 4 + 3 * p], s[4 + 3 * p:]
+                theta, v, seen, away = s[4: 4 + 4 * p].reshape(4, p)
+                h = s[4 + 4 * p:]
                 wlse = newton_step(v, unpack(h, p))
-                out.append([*head, wlse, theta / np.maximum(seen, 1.0), h, seen > 0])
+                out.append([*head, wlse, theta / np.maximum(seen, 1.0), h, seen > 0, away])
             yield pd.DataFrame(out, columns=[*keys, *_SOLVED_NAMES])
 
     return summed.mapInPandas(solve, schema)
 
 
-_SOLVED_NAMES = ["n_total", "n_used", "chunks_total", "chunks_used", "wlse", "one_shot", "hess", "estimable"]
+_SOLVED_NAMES = ["n_total", "n_used", "chunks_total", "chunks_used", "wlse", "one_shot", "hess", "estimable", "aside"]
 
 
 def coefficients(frame: DataFrame, spec: TermSpec, methods: dict[str, str]) -> DataFrame:

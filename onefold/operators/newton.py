@@ -33,12 +33,6 @@ class CodedDesign:
             parts.append(np.bincount(code, r, width + 1)[:width])
         return np.concatenate(parts)
 
-    def squares(self, w: np.ndarray) -> np.ndarray:
-        """Diagonal of X' diag(w) X."""
-        parts = [(self.numeric * self.numeric).T @ w]
-        parts += [np.bincount(c, w, width + 1)[:width] for c, width in zip(self.codes, self.widths)]
-        return np.concatenate(parts)
-
     def gram(self, w: np.ndarray) -> np.ndarray:
         """X' diag(w) X."""
         out = np.zeros((self.p, self.p))
@@ -81,13 +75,44 @@ def small_step(step: np.ndarray, beta: np.ndarray, tol: float) -> bool:
 MAX_HALVINGS = 40
 
 
-# A term has no optimum if its rows keep less than this share of their weight in the Hessian.
+# A direction has no optimum if its rows keep less than this share of their weight in the Hessian.
 LEAST_WEIGHT = 1e-8
+# Steps before separation is looked for: each one lowers the weight of a separated row by a factor of e.
+CALM_STEPS = 15
 
 
-def separated(hessian: np.ndarray, squares: np.ndarray) -> bool:
-    """Whether a term with rows was driven off to infinity, as by a level of one class."""
-    return bool(np.any(np.diag(hessian) < LEAST_WEIGHT * squares))
+def in_the_limit(beta: np.ndarray, hessian: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimate and Hessian in the limit of a fit driven to infinity, and the terms that are set aside.
+
+    Where a level is of one class, or some combination of terms tells the classes of its rows apart, the
+    likelihood rises for ever along that direction. In the limit these rows fit perfectly and weigh nothing,
+    and all other directions are those of the fit without them. ``gram`` is the Hessian with every row at full weight;
+    the directions of recession are those in which next to nothing of it is left. They become exact zeros.
+    A term is marked 1 if it is such a direction by itself, 2 if it is part of one.
+    """
+    squares = np.diag(gram)
+    alone = (squares > 0) & (np.diag(hessian) < LEAST_WEIGHT * squares)
+    aside = alone.astype(int)
+    h, b = hessian.copy(), beta.copy()
+    h[alone], h[:, alone], b[alone] = 0.0, 0.0, 0.0
+    rest = np.flatnonzero((squares > 0) & ~alone)
+    if not len(rest):
+        return b, h, aside
+    scale = 1.0 / np.sqrt(squares[rest])
+    values, vectors = np.linalg.eigh(gram[np.ix_(rest, rest)] * scale * scale[:, None])
+    known = values > 1e-9 * values[-1]
+    white = scale[:, None] * vectors[:, known] / np.sqrt(values[known])
+    kept, turned = np.linalg.eigh(white.T @ h[np.ix_(rest, rest)] @ white)
+    gone = white @ turned[:, kept < LEAST_WEIGHT]
+    if gone.shape[1]:
+        # Directions that mix terms: project them out of estimate and Hessian.
+        basis = np.linalg.svd(gone * np.sqrt(squares[rest])[:, None], full_matrices=False)[0] * scale[:, None]
+        basis = np.linalg.qr(basis)[0]
+        out = np.eye(len(rest)) - basis @ basis.T
+        h[np.ix_(rest, rest)] = out @ h[np.ix_(rest, rest)] @ out
+        b[rest] = out @ b[rest]
+        aside[rest] = 2 * (np.abs(basis).max(axis=1) > 1e-6)
+    return b, h, aside
 
 
 def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: float = 1e-12):
@@ -95,6 +120,7 @@ def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: floa
 
     A step that lowers the likelihood is halved, so near-separated chunks do not diverge.
     Columns without a row (an absent level) stay at 0: the step is the shortest of all solutions.
+    Of separated rows the weight falls until they no longer count; see ``in_the_limit``.
     """
     beta = np.zeros(design.p)
     loglik, gradient, hessian = logistic_sums(design, beta, hits, trials)
@@ -111,7 +137,7 @@ def newton_fit(design: CodedDesign, hits, trials, max_iter: int = 100, tol: floa
         beta = beta + step
         loglik, gradient, hessian = trial
         if done:
-            return beta, hessian, loglik, iteration, not separated(hessian, design.squares(trials))
+            return beta, hessian, loglik, iteration, True
     return beta, hessian, loglik, max_iter, False
 
 

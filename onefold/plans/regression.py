@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from onefold.operators import chunks as chunking
 from onefold.operators import levels as lv
-from onefold.operators.chunkfit import fit_chunks, fit_in_place
-from onefold.operators.combine import append_summaries, coefficients, combine
+from onefold.operators.chunkfit import fit_chunks, fit_in_place, one_class_terms
+from onefold.operators.combine import RETURNED, append_summaries, coefficients, combine
 from onefold.operators.evaluate import loglik
-from onefold.operators.prepare import binarise, project, unseen_rows
+from onefold.operators.prepare import add_codes, binarise, project, unseen_rows
 from onefold.operators.shrink import estimates, shrink_path
 from onefold.operators.stats import describe
 from onefold.session import settle, small_side, stage
@@ -65,7 +65,8 @@ class Fit:
 
     ``rows`` are the rows read in this run, and ``evaluation`` scores these. ``unseen`` counts
     their rows left out per factor and level. ``held`` are the prepared rows, of this run and of
-    those it extends, that no usable chunk has: an extension fits them again together with its own.
+    those it extends, of models without an optimum and of levels of one class: an extension fits them again
+    together with its own where that gives them an estimate.
     """
 
     spec: TermSpec
@@ -180,43 +181,110 @@ def _of_models(df: DataFrame, models: DataFrame, keys: Sequence[str], inside: bo
     """Rows of the models listed, or of the others; without keys there is one model."""
     if not keys:
         return df if models.isEmpty() != inside else df.limit(0)
-    return df.join(small_side(models), list(keys), "left_semi" if inside else "left_anti")
+    return df.join(small_side(models), list(keys), "left_semi" if inside else "left_anti").select(*df.columns)
+
+
+def _rows_with(rows: DataFrame, spec: TermSpec, cells: DataFrame) -> DataFrame:
+    """Rows that have one of the levels listed (``keys, term``) for their model."""
+    out, hit = add_codes(rows, spec), F.lit(False)
+    for f in spec.factors:
+        at, flag = spec.offset(f), f"__in_{f.name}"
+        own = cells.filter(F.col("term").between(at, at + len(f.slots) - 1)).select(
+            *spec.keys, (F.col("term") - at).cast("int").alias(f"code_{f.name}"), F.lit(True).alias(flag))
+        out = out.join(small_side(settle(own)), [*spec.keys, f"code_{f.name}"], "left")
+        hit = hit | F.coalesce(F.col(flag), F.lit(False))
+    return out.filter(hit).select(*rows.columns)
+
+
+def _returned(rows: DataFrame, spec: TermSpec, aside: DataFrame, like: DataFrame) -> DataFrame:
+    """Entries, one per model, that take these rows out of the counts of the stored summaries."""
+    p, keys = spec.p, list(spec.keys)
+    codes = add_codes(rows, spec)
+    terms = F.filter(F.array(*[F.when(F.col(f"code_{f.name}") < len(f.slots), F.col(f"code_{f.name}") + spec.offset(f)) for f in spec.factors]),
+                     lambda t: t.isNotNull())
+    hits = F.col(spec.response).cast("double")
+    cells = codes.select(*keys, F.explode(terms).alias("term"), hits.alias("y")).join(
+        small_side(settle(aside.select(*keys, "term"))), [*keys, "term"]).groupBy(*keys, "term").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    pairs = cells.groupBy(*keys, F.lit(1).alias("__m")).agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("n", "y")))).alias("__c"))
+    whole = rows.groupBy(*keys, F.lit(1).alias("__m")).agg(F.count("*").alias("__n"), F.sum(hits).alias("__y"))
+    at = F.sequence(F.lit(0), F.lit(p - 1))
+
+    def taken(field: str):
+        return F.transform(at, lambda i: -F.coalesce(F.col("__c")[i][field], F.lit(0)).cast("double"))
+
+    zeros = F.array_repeat(F.lit(0.0), p)
+    made = {"partition_id": F.lit(-1), "n": -F.col("__n"), "hits": -F.col("__y"), "status": F.lit(RETURNED), "iterations": F.lit(0), "loglik": F.lit(0.0),
+            "theta": zeros, "v": zeros, "hess": F.array_repeat(F.lit(0.0), p * (p + 1) // 2), "aside": taken("n"), "aside_hits": taken("y"),
+            "has_nan": F.lit(False)}
+    both = whole.join(pairs, [*keys, "__m"])
+    return both.select(*[(made[f.name] if f.name in made else F.col(f.name)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
 def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFrame | None,
                    held: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Summaries of the rows, the stored ones that still hold, and the rows no usable chunk has.
+    """Summaries of the rows, the stored ones that still hold, and the rows that a later extension may need.
 
-    After pooling a model without an optimum is one chunk of all its rows. Where these have one
-    together with the held rows of the model, that fit takes the place of both.
+    Held are all rows of a model without an optimum, and in other models the rows of levels that are
+    of one class throughout, which are set aside and say nothing of their level yet. Rows of the first
+    kind are fitted again with the new ones of their model; those of the second only when the new
+    rows have the other class of their level, so that a held row is read again at most once for each of its levels.
     """
     keys = list(spec.keys)
     models = [F.col(k) for k in keys] or [F.lit(1).alias("one")]
     summary = _fit_rows(rows, plan, spec)
     plain = rows.drop(DRAW)
-    if held is not None and not held.isEmpty():
-        waiting = settle(held.select(*models).distinct())
-        both = plain.unionByName(held.select(*plain.columns))
-        both = _of_models(both, waiting, keys)
-        if DRAW in rows.columns:
-            both = stage(both.withColumn(DRAW, F.rand(20240229)), "rows")
-        refit = _fit_rows(both, plan, spec)
-        failed = settle(refit.filter("status <> 'ok'").select(*models).distinct())
-        # Without keys, one model: settled if nothing failed.
-        settled = settle(waiting.exceptAll(failed))
-        refit = _of_models(refit, settled, keys)
-        summary = settle(_of_models(summary, settled, keys, inside=False).unionByName(refit))
-        if stored is not None:
-            usable = stored.filter("status = 'ok'")
-            stored = usable.unionByName(_of_models(stored.filter("status <> 'ok'"), settled, keys, inside=False))
-        held = _of_models(held, settled, keys, inside=False).select(*plain.columns)
+    fresh = plain
+    if held is not None and stored is not None and not held.isEmpty():
+        held = held.select(*plain.columns)
+        known = settle(one_class_terms(stored, spec, everywhere=False))
+        seen = settle(_seen_terms(summary, spec))
+        # Worth another fit: the new rows have the class that the stored ones of the level lack.
+        useful = known.join(seen.withColumnsRenamed({"n": "__n", "hits": "__hits"}), [*keys, "term"]).filter(
+            "alive OR (hits > 0) <> (__hits > 0)").select(*keys, "term")
+        useful = settle(useful)
+        stuck = settle(stored.filter(~F.col("status").isin("ok", RETURNED)).select(*models).distinct())
+        waiting = settle(stuck.unionByName(useful.select(*models)).distinct())
+        if not waiting.isEmpty():
+            of_stuck = _of_models(held, stuck, keys)
+            back = settle(of_stuck if useful.isEmpty() else of_stuck.unionByName(_rows_with(_of_models(held, stuck, keys, inside=False), spec, useful)))
+            both = _of_models(plain, waiting, keys).unionByName(back)
+            if DRAW in rows.columns:
+                both = stage(both.withColumn(DRAW, F.rand(20240229)), "rows")
+            refit = _fit_rows(both, plan, spec)
+            failed = settle(refit.filter("status <> 'ok'").select(*models).distinct())
+            # Without keys, one model: settled if nothing failed.
+            settled = settle(waiting.exceptAll(failed))
+            refit = _of_models(refit, settled, keys)
+            summary = settle(_of_models(summary, settled, keys, inside=False).unionByName(refit))
+            taken = _of_models(_of_models(back, stuck, keys, inside=False), settled, keys)
+            entries = _returned(taken, spec, known, stored)
+            good = stored.filter(F.col("status").isin("ok", RETURNED))
+            rest = stored.filter(~F.col("status").isin("ok", RETURNED))
+            stored = settle(good.unionByName(_of_models(rest, settled, keys, inside=False)).unionByName(entries))
+            done = _of_models(back, settled, keys)
+            fresh = plain.unionByName(done)
+            held = settle(held.exceptAll(done))
     else:
         held = None
     bad = settle(summary.filter("status <> 'ok'").select(*models).distinct())
     left = _of_models(plain, bad, keys).select(*plain.columns)
+    lone = settle(one_class_terms(summary, spec))
+    if not lone.isEmpty():
+        left = left.unionByName(_rows_with(_of_models(fresh, bad, keys, inside=False), spec, lone).select(*plain.columns))
     return summary, stored, settle(left if held is None else held.unionByName(left))
 
 
+def _seen_terms(summary: DataFrame, spec: TermSpec) -> DataFrame:
+    """``keys, term, n, hits, alive``: levels with rows in the summaries, and whether a chunk has both classes."""
+    lone = one_class_terms(summary, spec).withColumn("alive", F.lit(False))
+    p = spec.p
+    diagonal = F.array(*[F.lit(i * p - i * (i - 1) // 2) for i in range(p)])
+    cells = summary.filter("theta IS NOT NULL").select(*spec.keys, F.posexplode(F.transform(diagonal, lambda i: F.get("hess", i))).alias("term", "h"))
+    living = cells.groupBy(*spec.keys, "term").agg(F.max("h").alias("h")).filter("h > 0")
+    zero = F.lit(0.0)
+    return lone.unionByName(living.select(*spec.keys, "term", zero.alias("n"), zero.alias("hits"), F.lit(True).alias("alive")))
+
+
 def extend(df: DataFrame, plan: Plan, folder: str) -> Fit:
     """Extend a stored model by new rows; what it has of levels and statistics is kept."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ from onefold.operators.shrink import choose, estimates, path_terms, shrink_path
 from onefold.plans import ml
 from onefold.plans.regression import METHODS, Plan, extend, fit
 from onefold.plans.sgd import fit_sgd, load_sgd, save_sgd
+from onefold.session import settle
 from onefold.sources import store
 from onefold.sources.rows import simulate_logistic, true_betas
 from onefold.spec import OTHERS, Factor, TermSpec
@@ -103,11 +104,14 @@ def test_status_of_bad_chunks(spark, limit):
     df = spark.createDataFrame(pdf)
     summary = fit_chunks(df, SPEC, rows_per_task=limit)
     got = by_chunk(summary)
-    # Chunk 1 is of one class; with chunk 0, which has only the baseline of f, its levels of f still are.
-    assert set(got) == {0, 3} and all(r["status"] == "ok" for r in got.values()) and got[0]["n"] == 900
+    # Chunk 1 is of one class and joins chunk 0, which has only the baseline of f. The levels of f are of
+    # one class there, so their rows go on, in turn, to chunks 2 and 3.
+    assert set(got) == {0, 2, 3} and all(r["status"] == "ok" and r["aside"] is None for r in got.values())
+    away = pdf[(pdf.partition_id == 1) & pdf.f.isin(["a", "b"])]
+    assert got[0]["n"] == 600 - len(away) and sum(r["n"] for r in got.values()) == 1200
     row = combine(summary, SPEC).first()
-    assert (row["n_total"], row["n_used"], row["chunks_total"], row["chunks_used"]) == (1200, 1200, 2, 2)
-    np.testing.assert_allclose(row["one_shot"], (np.array(got[0]["theta"]) + np.array(got[3]["theta"])) / 2, atol=1e-8)
+    assert (row["n_total"], row["n_used"], row["chunks_total"], row["chunks_used"]) == (1200, 1200, 3, 3)
+    assert row["estimable"] == [True] * 6
 
 
 @pytest.mark.parametrize("limit", [None, 50])
@@ -212,7 +216,7 @@ def test_extension_keeps_everything(spark, tmp_path):
 
 @pytest.mark.parametrize("keys", [[], ["g"]])
 def test_extension_uses_rows_held_back(spark, tmp_path, keys):
-    """A file with a level of one class has no optimum alone; later files bring its rows back."""
+    """The rows of a level that is of one class in its file count, wait, and are fitted again with a file that has both."""
     plan = Plan("y", ["x"], {"f": 1.0}, baseline="first", keys=keys)
     parts = [frame(1500, seed=s).assign(partition_id=s) for s in (1, 2, 3)]
     parts[1].loc[parts[1].f == "b", "y"] = 1
@@ -222,7 +226,33 @@ def test_extension_uses_rows_held_back(spark, tmp_path, keys):
         (extend(df, plan, folder) if i else fit(df, plan)).save(folder)
         total = store.load_table(spark, folder, "combined").groupBy().sum("n_total", "n_used").first()
         used.append((*total, store.load_table(spark, folder, "held").count()))
-    assert used == [(1500, 1500, 0), (3000, 1500, 1500), (4500, 4500, 0)]
+    few = int((parts[1].f == "b").sum())
+    assert used == [(1500, 1500, 0), (3000, 3000, few), (4500, 4500, 0)]
+    summary = store.load_table(spark, folder, "summary")
+    assert summary.filter("status = 'returned'").groupBy().sum("n").first()[0] == -few
+    whole = pd.concat(parts)
+    for r in store.load_table(spark, folder, "combined").collect():
+        rows = whole if not keys else whole[whole.g == r["g"]]
+        assert r["n_used"] == len(rows) and r["aside"] == [0.0] * len(r["aside"])
+        x = np.column_stack([np.ones(len(rows)), (rows.x - parts[0].x.mean()) / parts[0].x.std(), *(rows.f == v for v in "bcd")]).astype(float)
+        b, h = mle(x, rows.y.to_numpy())
+        assert np.all(np.abs(r["wlse"] - b) < 2.5 * np.sqrt(np.diag(np.linalg.inv(h))))
+
+
+def test_an_old_file_does_not_wait_in_vain(spark, tmp_path):
+    """Rows held for a level are read again only when the other class of the level arrives."""
+    plan = Plan("y", ["x"], {"f": 1.0}, baseline="first")
+    folder = str(tmp_path / "model")
+    parts = [rare(1200, seed=s, chunks=1).assign(partition_id=s) for s in (1, 2, 3)]
+    parts[2].loc[parts[2].f == "r", "y"] = 1
+    held = []
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part)
+        (extend(df, plan, folder) if i else fit(df, plan)).save(folder)
+        row = store.load_table(spark, folder, "combined").first()
+        held.append((row["n_used"], store.load_table(spark, folder, "held").count(), row["chunks_total"]))
+    assert held == [(1200, 5, 1), (2400, 10, 2), (3600, 0, 3)]
+    assert store.load_table(spark, folder, "combined").first()["aside"] == [0.0] * 5
 
 
 def test_all_terms_count_against_the_limit(spark):
@@ -242,6 +272,76 @@ def test_separated_chunk_is_left_out(spark):
         assert got["status"] == "not_converged" and got["theta"] is None
 
 
+def rare(n=20_000, seed=3, chunks=10):
+    """One continuous column and a factor whose level r has five rows, all of class 0."""
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"x": rng.normal(size=n), "f": rng.choice(["a", "b", "c"], n), "partition_id": np.arange(n) % chunks})
+    pdf.loc[rng.choice(n, 5, replace=False), "f"] = "r"
+    pdf["y"] = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + pdf.x - (pdf.f == "b"))))).astype(int)
+    pdf.loc[pdf.f == "r", "y"] = 0
+    return pdf
+
+
+@pytest.mark.parametrize("limit", [None, 500])
+def test_a_level_of_one_class_costs_only_its_term(spark, limit):
+    pdf = rare()
+    spec = TermSpec("y", ("x",), (Factor.build("f", ["a", "b", "c", "r"], "a"),), True)
+    summary = fit_chunks(spark.createDataFrame(pdf), spec, rows_per_task=limit)
+    got = combine(summary, spec).first()
+    assert summary.count() == 10 and got["n_used"] == got["n_total"] == len(pdf)
+    assert got["estimable"] == [True] * 4 + [False] and got["aside"] == [0.0] * 4 + [5.0]
+    top = bottom = 0
+    for _, part in pdf[pdf.f != "r"].groupby("partition_id"):
+        x = np.column_stack([np.ones(len(part)), part.x, part.f == "b", part.f == "c"]).astype(float)
+        b, h = mle(x, part.y.to_numpy())
+        top, bottom = top + h @ b, bottom + h
+    np.testing.assert_allclose(got["wlse"], [*np.linalg.solve(bottom, top), 0.0], atol=1e-6)
+
+
+def test_rows_set_aside_move_to_chunks_of_both_classes(spark):
+    """Levels rare enough to be of one class in most chunks, in two models; no row is lost and estimates are sound."""
+    pdf = rare(seed=5)
+    rng = np.random.default_rng(6)
+    pdf["g"] = np.where(rng.random(len(pdf)) < 0.004, "s", "t")
+    pdf.loc[(pdf.g == "s") & (rng.random(len(pdf)) < 0.6), "y"] = 0
+    pdf["k"] = np.where(np.arange(len(pdf)) % 3 == 0, "m", None)
+    spec = TermSpec("y", ("x",), (Factor.build("f", ["a", "b", "c", "r"], "a"), Factor.build("g", ["t", "s"], "t")), True, ("k",))
+    df = spark.createDataFrame(pdf).withColumn("k", F.coalesce("k", F.lit("n")))
+    alone = fit_chunks(df, spec, pool=False).collect()
+    assert sum((r["aside"] or [0] * 6)[5] > 0 for r in alone) > 2
+    summary = settle(fit_chunks(df, spec))
+    for r in combine(summary, spec).collect():
+        rows = pdf[pdf.k.isna() if r["k"] == "n" else pdf.k == "m"]
+        assert r["n_used"] == r["n_total"] == len(rows) and r["aside"][5] == 0 and r["estimable"][5]
+        keep = rows[rows.f != "r"]
+        x = np.column_stack([np.ones(len(keep)), keep.x, keep.f == "b", keep.f == "c", keep.g == "s"]).astype(float)
+        b, h = mle(x, keep.y.to_numpy())
+        got = np.delete(r["wlse"], 4)
+        assert np.all(np.abs(got - b) < 1.5 * np.sqrt(np.diag(np.linalg.inv(h))))
+    assert sum(r["hits"] for r in summary.collect()) == pdf.y.sum()
+
+
+def test_classes_in_different_chunks_are_brought_together(spark):
+    """A level that is all 0 in one chunk and all 1 in another has an estimate once they meet."""
+    pdf = frame(3000)
+    pdf.loc[:, "f"] = np.where(np.arange(3000) % 50 < 3, "r", "a")
+    pdf.loc[pdf.f == "r", "y"] = (pdf.partition_id[pdf.f == "r"] == 1).astype(int)
+    spec = TermSpec("y", (), (Factor.build("f", ["a", "r"]),))
+    got = combine(fit_chunks(spark.createDataFrame(pdf), spec), spec).first()
+    rare_rows = pdf[pdf.f == "r"]
+    assert got["wlse"][1] == pytest.approx(np.log(rare_rows.y.sum() / (len(rare_rows) - rare_rows.y.sum())), abs=1e-8)
+    assert got["n_used"] == 3000 and got["aside"] == [0.0, 0.0]
+
+
+def test_one_class_levels_hold_only_their_rows(spark, tmp_path):
+    pdf, folder = rare(6000), str(tmp_path / "m")
+    df = spark.createDataFrame(pdf)
+    plan = Plan("y", ["x"], {"f": 1.0}, baseline="first", rows_per_chunk=1000)
+    fit(df.filter("partition_id < 5"), plan).save(folder)
+    out = extend(df.filter("partition_id >= 5"), plan, folder)
+    assert out.combined.first()["n_used"] == 6000 and out.held.count() == 5
+
+
 def test_no_usable_chunk(spark):
     pdf = frame(100)
     pdf["y"] = 1

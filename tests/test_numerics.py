@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from onefold.operators.newton import CodedDesign, logistic_sums, newton_fit, pack, unpack
+from onefold.operators.newton import CALM_STEPS, CodedDesign, in_the_limit, logistic_sums, newton_fit, pack, unpack
 from onefold.operators.shrink import shrink, solution_path
 
 
@@ -75,6 +75,30 @@ def test_separated_data_is_not_reported_as_converged():
     assert not good
 
 
+@pytest.mark.parametrize("kind", ["level", "baseline", "corner", "none"])
+def test_limit_of_separated_rows(kind):
+    """The fit in the limit equals that of the rows which are not separated."""
+    rng = np.random.default_rng(7)
+    n = 600
+    x, code, other = rng.normal(size=n), rng.integers(0, 4, n), rng.integers(0, 3, n)
+    hits = (rng.random(n) < 1 / (1 + np.exp(-x))).astype(float)
+    gone = {"level": code == 1, "baseline": code == 3, "corner": (code == 1) & (other == 0), "none": np.zeros(n, bool)}[kind]
+    hits[gone] = 0
+    if kind == "corner":  # an interaction is no term, so one cell of one class separates nothing
+        gone[:] = False
+    ones = np.ones(n)
+    design = CodedDesign(x[:, None], [code, other], [3, 2], True)
+    beta, h, _, steps, good = newton_fit(design, hits, ones)
+    assert good and (steps >= CALM_STEPS) == gone.any()
+    beta, h, aside = in_the_limit(beta, h, design.gram(ones))
+    rest = ~gone
+    part = CodedDesign(x[rest][:, None], [code[rest], other[rest]], [3, 2], True)
+    want, want_h, *_ = newton_fit(part, hits[rest], ones[rest])
+    np.testing.assert_allclose(h, want_h, atol=1e-6)
+    np.testing.assert_allclose(h @ beta, want_h @ want, atol=1e-6)
+    assert aside.tolist() == {"level": [0, 0, 0, 1, 0, 0, 0], "baseline": [2, 0, 2, 2, 2, 0, 0]}.get(kind, [0] * 7)
+
+
 @given(st.integers(1, 12), st.integers(0, 1000))
 @settings(max_examples=20, deadline=None)
 def test_packing(p, seed):
