@@ -22,6 +22,7 @@ from onefold.plans.sgd import fit_sgd
 from onefold.session import scratch_path, settle, stage
 from onefold.sources import store
 from onefold.spec import OTHERS, Factor, TermSpec
+from onefold.streaming.arrivals import stream_model
 
 QUERIES = {}
 ORACLES = {}
@@ -69,10 +70,10 @@ def _(spark, d):
 _WLSE = f"WITH {CELLS} SELECT term, round(b, 8) + 0.0 AS wlse, CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used FROM wl"
 
 
-def _wlse(combined, spec):
+def _wlse(combined, spec, *more):
     terms = F.array(*[F.lit(t) for t in spec.terms])
-    cells = combined.select("n_used", F.posexplode("wlse").alias("i", "b"))
-    return cells.select(F.element_at(terms, F.col("i") + 1).alias("term"), rnd("b", 8).alias("wlse"), "n_used")
+    cells = combined.select("n_used", *more, F.posexplode("wlse").alias("i", "b"))
+    return cells.select(F.element_at(terms, F.col("i") + 1).alias("term"), rnd("b", 8).alias("wlse"), "n_used", *more)
 
 
 @query("combine_wlse", _WLSE)
@@ -393,6 +394,45 @@ def _(spark, d):
     return _wlse(store.load_table(spark, folder, "combined"), out.spec)
 
 
+@query("model_extend_retry", _WLSE)
+def _(spark, d):
+    # A save breaks off before its manifest row and is tried again; a slice given twice adds nothing.
+    rows = stage(shipments(spark, d).select("partition_id", "cell", "late"), "slices")
+    plan = Plan("late", keep_top={"cell": 1.0}, intercept=False)
+    folder = scratch_path(spark, "model")
+    with fit(rows.filter("partition_id < 2"), plan) as out:
+        out.save(folder, ["0", "1"])
+    with extend(rows.filter("partition_id = 2"), plan, folder, ["2"]) as out:
+        store.write_parts(folder, summary=out.summary, combined=out.combined)
+    for k in ("2", "2", "3", "2"):
+        out = extend(rows.filter(F.col("partition_id") == int(k)), plan, folder, [k])
+        if out is not None:
+            with out:
+                out.save(folder, [k])
+    return _wlse(combine(store.load_table(spark, folder, "summary"), store.load_spec(spark, folder)), store.load_spec(spark, folder))
+
+
+_STREAM = CELLS.replace("FROM ship GROUP BY partition_id, cell", """FROM (SELECT late, cell,
+    CASE WHEN l_orderkey % 3 = 1 THEN 2 ELSE l_orderkey % 3 END AS partition_id FROM ship
+  WHERE NOT (l_orderkey % 3 = 1 AND late = 1)) GROUP BY partition_id, cell""")
+
+
+@query("stream_one_class", f"""WITH {_STREAM} SELECT term, round(b, 8) + 0.0 AS wlse, CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_used,
+  CAST((SELECT sum(n) FROM wl) AS BIGINT) AS n_total FROM wl""")
+def _(spark, d):
+    # Three file batches; all rows of the second are of one class and wait for the third.
+    rows = shipments(spark, d).withColumn("partition_id", F.pmod("l_orderkey", F.lit(3)).cast("bigint")).select("partition_id", "cell", "late")
+    rows = stage(rows.filter("NOT (partition_id = 1 AND late = 1)"), "slices")
+    spec = factor_spec(rows, "late", ["cell"])
+    inbox, folder, state = (scratch_path(spark, name) for name in ("inbox", "model", "state"))
+    plan = Plan("late", keep_top={"cell": 1.0}, intercept=False)
+    for k in range(3):
+        rows.filter(F.col("partition_id") == k).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        stream_model(stream, plan, folder, state, spec).awaitTermination()
+    return _wlse(store.load_table(spark, folder, "combined"), spec, "n_total")
+
+
 @query("unseen_levels", f"""WITH {SHIP} SELECT cell AS level, count(*) AS n FROM ship WHERE cell LIKE '5-LOW%' GROUP BY 1
 UNION ALL SELECT 'fitted', count(*) FROM ship WHERE cell NOT LIKE '5-LOW%'
 UNION ALL SELECT 'fitted with others', count(*) FROM ship""")

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from onefold.plans.flights import flight_plan, read_flights
-from onefold.plans.regression import Plan, extend, fit
+from onefold.plans.regression import Fit, Plan, extend, fit
 from onefold.session import get_session, ship_code
 from onefold.sources.csv import read_csv
+from onefold.sources.store import known_slices
 from onefold.spec import MAX_TERMS
 
 
@@ -43,7 +46,8 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(args)
 
 
-def run(spark, o: argparse.Namespace):
+def run(spark, o: argparse.Namespace) -> tuple[Fit | None, list[str]]:
+    """The fit and the files it read; None where a model to extend has them all."""
     shared = {"keys": o.keys, "row_key": o.row_key, "rows_per_chunk": o.rows_per_chunk, "kind": o.kind, "in_place": o.in_place,
               "min_share": o.min_share, "threshold": o.threshold, "max_terms": o.max_terms, "unseen": o.unseen}
     if o.no_intercept:
@@ -57,17 +61,29 @@ def run(spark, o: argparse.Namespace):
         rows = read_csv(spark, o.input, o.schema) if o.format == "csv" else spark.read.parquet(*o.input)
         keep = {name: float(share) for name, share in (f.split("=") for f in o.factors)}
         plan = Plan(o.response, o.continuous, keep, **{"baseline": "first", **shared})
-    return extend(rows, plan, o.extend) if o.extend else fit(rows, plan)
+    if not o.extend:
+        return fit(rows, plan), rows.inputFiles()
+    # Files that the model holds already are not read again.
+    files = rows.inputFiles()
+    known = known_slices(spark, o.extend, files)
+    new = [f for f in files if f not in known]
+    if known and new:
+        rows = rows.filter(F.input_file_name().isin(new)) if o.format != "parquet" else spark.read.parquet(*new)
+    return extend(rows, plan, o.extend, new or files), new
 
 
 def main() -> None:
     options = parse()
     spark = get_session("onefold-fit")
     ship_code(spark)
-    result = run(spark, options)
-    if options.out:
-        result.save(options.out)
-    result.report()
+    result, files = run(spark, options)
+    if result is None:
+        print("nothing new: the model has all of these files")
+    else:
+        if options.out:
+            result.save(options.out, files)
+        result.report()
+        result.close()
     spark.stop()
 
 

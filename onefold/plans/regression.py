@@ -80,6 +80,10 @@ class Fit:
     seconds: dict[str, float]
     unseen: DataFrame | None = None
     held: DataFrame | None = None
+    # For an extension: the folder and version it was read from, and the summaries to be added to that
+    # version's; None if these have changed otherwise.
+    base: tuple[str, int] | None = None
+    added: DataFrame | None = None
 
     def close(self) -> None:
         """Release the prepared rows."""
@@ -102,18 +106,19 @@ class Fit:
         seconds = [F.lit(round(v, 3)).alias(f"seconds_{k}") for k, v in self.seconds.items()]
         return store.run_row(self.combined, self.spec).select("*", *seconds)
 
-    def save(self, path: str) -> None:
-        tables = {"summary": self.summary, "combined": self.combined, "path": self.path,
+    def save(self, path: str, slices: Sequence[str] = ()) -> None:
+        """Save as the next version in the folder; ``slices`` name the data of this run for the ledger.
+
+        An extension saved over the model it extends adds its summaries; saved elsewhere, all are written.
+        """
+        onward = self.base is not None and self.base[0] == path
+        grown = ["summary"] if onward and self.added is not None else []
+        tables = {"summary": self.added if grown else self.summary, "combined": self.combined, "path": self.path,
                   "coef": self.coefficients(), "eval": self.evaluation(), "run": self.run()}
-        if self.levels is not None:
-            tables["levels"] = self.levels
-        if self.stats is not None:
-            tables["stats"] = self.stats
-        if self.unseen is not None:
-            tables["unseen"] = self.unseen
-        if self.held is not None:
-            tables["held"] = self.held
-        store.save_model(path, self.spec, **tables)
+        for name in ("levels", "stats", "unseen", "held"):
+            if getattr(self, name) is not None:
+                tables[name] = getattr(self, name)
+        store.save_model(path, self.spec, base=self.base[1] if onward else None, grown=grown, slices=slices, **tables)
 
     def report(self) -> None:
         """Print run metrics, log-likelihoods, rows left out and all coefficients."""
@@ -221,8 +226,10 @@ def _returned(rows: DataFrame, spec: TermSpec, aside: DataFrame, like: DataFrame
 
 
 def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFrame | None,
-                   held: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Summaries of the rows, the stored ones that still hold, and the rows that a later extension may need.
+                   held: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+    """Summaries of the rows, the stored ones that still hold, the rows that a later extension may need, and the new summaries.
+
+    The last is None where stored summaries were dropped, so that adding to them is not enough.
 
     Held are all rows of a model without an optimum, and in other models the rows of levels that are
     of one class throughout, which are set aside and say nothing of their level yet. Rows of the first
@@ -233,7 +240,7 @@ def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFram
     models = [F.col(k) for k in keys] or [F.lit(1).alias("one")]
     summary = _fit_rows(rows, plan, spec)
     plain = rows.drop(DRAW)
-    fresh = plain
+    fresh, entries, dropped = plain, None, False
     if held is not None and stored is not None and not held.isEmpty():
         held = held.select(*plain.columns)
         known = settle(one_class_terms(stored, spec, everywhere=False))
@@ -260,6 +267,8 @@ def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFram
             entries = _returned(taken, spec, known, stored)
             good = stored.filter(F.col("status").isin("ok", RETURNED))
             rest = stored.filter(~F.col("status").isin("ok", RETURNED))
+            entries = settle(entries)
+            dropped = not stuck.isEmpty()
             stored = settle(good.unionByName(_of_models(rest, settled, keys, inside=False)).unionByName(entries))
             done = _of_models(back, settled, keys)
             fresh = plain.unionByName(done)
@@ -271,7 +280,8 @@ def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFram
     lone = settle(one_class_terms(summary, spec))
     if not lone.isEmpty():
         left = left.unionByName(_rows_with(_of_models(fresh, bad, keys, inside=False), spec, lone).select(*plain.columns))
-    return summary, stored, settle(left if held is None else held.unionByName(left))
+    added = None if dropped else summary if entries is None else summary.unionByName(entries)
+    return summary, stored, settle(left if held is None else held.unionByName(left)), added
 
 
 def _seen_terms(summary: DataFrame, spec: TermSpec) -> DataFrame:
@@ -285,16 +295,26 @@ def _seen_terms(summary: DataFrame, spec: TermSpec) -> DataFrame:
     return lone.unionByName(living.select(*spec.keys, "term", zero.alias("n"), zero.alias("hits"), F.lit(True).alias("alive")))
 
 
-def extend(df: DataFrame, plan: Plan, folder: str) -> Fit:
-    """Extend a stored model by new rows; what it has of levels and statistics is kept."""
+def extend(df: DataFrame, plan: Plan, folder: str, slices: Sequence[str] = ()) -> Fit | None:
+    """Extend a stored model by new rows; what it has of levels and statistics is kept.
+
+    ``slices`` name the data that ``df`` holds. If the ledger of the model has them all, they were added by an
+    earlier run: nothing is read and None is returned. Save the result with the same ``slices``.
+    """
     spark = df.sparkSession
+    known = store.known_slices(spark, folder, slices)
+    if known and known == set(slices):
+        return None
+    if known:
+        raise store.Conflict(f"already in the model: {sorted(known)[:5]}")
+    version = store.newest(spark, folder)["version"]
     spec = store.load_spec(spark, folder)
     held = store.load_table(spark, folder, "held") if store.has_table(spark, folder, "held") else None
     out = fit(df, plan, spec=spec, stored=store.load_table(spark, folder, "summary"), held=held)
-    # Read in full now, so that the result may be saved over the folder.
+    out.base = (folder, version)
     for name in ("levels", "stats"):
         if store.has_table(spark, folder, name):
-            setattr(out, name, settle(store.load_table(spark, folder, name)))
+            setattr(out, name, store.load_table(spark, folder, name))
     return out
 
 
@@ -328,7 +348,7 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         spec, levels, stats = learn_spec(rows, plan)
     timed("prepare", t)
     t = time.perf_counter()
-    summary, stored, held = _fit_with_held(rows, plan, spec, stored, held)
+    summary, stored, held, added = _fit_with_held(rows, plan, spec, stored, held)
     timed("fit", t)
     t = time.perf_counter()
     if stored is not None:
@@ -339,4 +359,4 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
     path = settle(shrink_path(combined, spec, plan.kind))
     betas = settle(estimates(combined, path, spec))
     timed("shrink", t)
-    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held)
+    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held, added=added)

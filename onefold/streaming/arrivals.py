@@ -1,6 +1,7 @@
-"""Extending a model as files arrive: chunk summaries per micro-batch, appended to the store.
+"""Extending a model as files arrive: chunk summaries per micro-batch, added to the store.
 
-Summaries add up, so new files are fitted alone; stored rows are never read again.
+Summaries add up, so new files are fitted alone; stored rows are not read again, save those that were held
+back because their batch could not tell their level's effect.
 """
 
 from __future__ import annotations
@@ -11,9 +12,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onefold.operators.chunkfit import fit_chunks
+from onefold.plans.regression import Plan, extend, fit
+from onefold.sources import store
 from onefold.spec import TermSpec
 
 
+def model_sink(plan: Plan, folder: str, spec: TermSpec | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """A ``foreachBatch`` function that keeps a stored model up to date.
+
+    The first batch makes the model (with the terms of ``spec``, or its own) and every later one extends it. The model's version is the state: summaries,
+    rows held back and the batch's name in the ledger are committed by one manifest row, so a batch that is run again after a failure
+    adds nothing, and rows of a batch without an optimum wait for the batches after it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        name = f"batch-{batch_id}"
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        rows = prepare(batch) if prepare else batch
+        started = store.newest(spark, folder) is not None
+        out = extend(rows, plan, folder, [name]) if started else fit(rows, plan, spec=spec)
+        if out is not None:
+            with out:
+                out.save(folder, [name])
+
+    return write
+
+
+def stream_model(stream: DataFrame, plan: Plan, folder: str, checkpoint: str, spec: TermSpec | None = None,
+                 prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the query for the files present now; call again when more have arrived."""
+    return (
+        stream.writeStream.foreachBatch(model_sink(plan, folder, spec, prepare))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def summary_sink(spec: TermSpec, path: str, chunk: Callable[[DataFrame], DataFrame]):
     """A ``foreachBatch`` function writing the summaries of a batch to ``path``.
 

@@ -50,12 +50,14 @@ def test_command_line_fits_saves_and_extends(spark, tmp_path, in_place, capsys):
     spark.createDataFrame(pdf[4000:]).write.parquet(second)
     common = ["--response", "y", "--continuous", "a", "--factors", "f=1.0", "--row-key", "id",
               "--rows-per-chunk", "500", *(["--in-place"] if in_place else [])]
-    fit = job.run(spark, job.parse(["--input", first, *common]))
-    fit.save(model)
+    fit, files = job.run(spark, job.parse(["--input", first, *common]))
+    fit.save(model, files)
     fit.report()
     assert "loglik_wlse" in capsys.readouterr().out
     assert load_spec(spark, model).terms == ["intercept", "a", "f_q", "f_r"]
-    more = job.run(spark, job.parse(["--input", second, "--extend", model, *common]))
+    more, new = job.run(spark, job.parse(["--input", f"{first},{second}", "--extend", model, *common]))
+    assert new and not set(new) & set(files)
+    assert job.run(spark, job.parse(["--input", first, "--extend", model, *common])) == (None, [])
     assert more.combined.first()["n_total"] == 6000
     stored = load_table(spark, model, "coef").filter("method = 'wlse' and term = 'a'").first()["estimate"]
     assert abs(stored - 1.0) < 0.2 and abs(more.combined.first()["wlse"][1] - 1.0) < 0.2
