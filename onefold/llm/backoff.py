@@ -4,8 +4,8 @@ The count tables are partitioned by the hash of the n-gram. A pack of documents
 once, adds up equal ones and asks the buckets of their hashes; a bucket adds the counts of all packs
 and answers in the order of each request; the pack then scores its words and sums per document.
 Orders above 2 are asked in rounds of their own, and only for n-grams whose two shorter parts occur
-at least twice and reached ``min_count``. Of the others, one with a part that occurs once occurs
-once itself, which is its exact count; the rest cannot reach ``min_count``.
+at least twice: one with a part that occurs once occurs once itself, which is its exact count. Where the
+counts come from other texts, only those with a part that never occurs are not asked for; their count is 0.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from onefold.llm.packs import bucket_bits, numbers, packed, text_bytes
 from onefold.llm.tokens import joined, mix, slices, window_hashes, window_starts, words_of
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 ALPHA = 0.4
 # Larger packs add up more equal n-grams before they ask.
 PACK_BYTES = 10_000_000
@@ -64,7 +64,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = [None if x is None else tool.compress(x.encode()) for x in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["pack"], batch["doc_id"], pa.array(texts, pa.binary())], names=["pack", "doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch["pack"], batch["doc_id"], pa.array(texts, pa.binary()), batch["counted"]], names=_PACKED)
 
 
 def _texts(rows: pa.Table) -> pa.Table:
@@ -72,10 +72,14 @@ def _texts(rows: pa.Table) -> pa.Table:
     return pa.table({"text": pa.array([None if x is None else tool.decompress(x).decode() for x in rows["text"].to_pylist()], pa.string())})
 
 
+_PACKED = ["pack", "doc_id", "text", "counted"]
+
+
 class _Grams:
     """The n-grams of a pack by position, and its distinct ones in rising order of hash."""
 
-    def __init__(self, rows: pa.Table, bits: int):
+    def __init__(self, rows: pa.Table, bits: int, foreign: bool = False):
+        self.foreign = foreign
         hashes, counts = [], []
         for batch in _texts(rows).to_batches():
             for part in slices(batch):
@@ -84,6 +88,7 @@ class _Grams:
                 counts.append(words.counts())
         self.bits, self.words = bits, joined(hashes, np.uint64)
         self.first = np.concatenate(([0], np.cumsum(joined(counts, np.int64)))).astype(np.int64)
+        self.counted = np.array(rows["counted"].to_pylist(), bool)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and hash of each n-gram, in text order, and the text of each."""
@@ -104,7 +109,8 @@ class _Grams:
             return hashes, np.ones(len(hashes), bool)
         shorter = np.zeros(len(self.words) + 1, np.int64)
         shorter[self.of(n - 1)[0]] = totals[n - 1]
-        least = max(min_count, 2)
+        # Among texts that are not counted themselves a part that occurs once tells nothing.
+        least = max(min_count, 1 if self.foreign else 2)
         likely = (shorter[at] >= least) & (shorter[at + 1] >= least)
         return hashes[likely], likely
 
@@ -114,7 +120,7 @@ def _answers(replies: pa.Table) -> dict[tuple[int, int], pa.Scalar]:
 
 
 def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> dict[int, np.ndarray]:
-    """Corpus counts by position for the orders; 1 where not asked: the count itself, or below ``min_count``."""
+    """Corpus counts by position for the orders; where not asked 1, or 0 if the counts are of other texts."""
     totals: dict[int, np.ndarray] = {}
     for n in orders:
         hashes, asked = grams.candidates(n, totals, min_count)
@@ -122,17 +128,19 @@ def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> d
         count = np.zeros(len(keys), np.int64)
         for bucket, a, b in grams.cut(keys):
             count[a:b] = from_small(answers[n, bucket], b - a)
-        totals[n] = np.ones(len(asked), np.int64)
+        totals[n] = np.full(len(asked), 0 if grams.foreign else 1, np.int64)
         totals[n][asked] = count[of]
     return totals
 
 
-def _ask(rows: pa.Table, replies: pa.Table | None, orders: list[int], bits: int, min_count: int) -> pa.Table:
+def _ask(rows: pa.Table, replies: pa.Table | None, orders: list[int], bits: int, min_count: int, foreign: bool) -> pa.Table:
     out: dict[str, list] = {"bucket": [], "pack": [], "n": [], "hashes": [], "counts": []}
-    grams, pack = _Grams(rows, bits), rows["pack"][0].as_py()
+    grams, pack = _Grams(rows, bits, foreign), rows["pack"][0].as_py()
     totals = _known(grams, _answers(replies), list(range(1, orders[0])), min_count) if replies is not None else {}
     for n in orders:
-        keys, counts = np.unique(grams.candidates(n, totals, min_count)[0], return_counts=True)
+        hashes, asked = grams.candidates(n, totals, min_count)
+        keys, of = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(of, weights=grams.counted[grams.of(n)[2][asked]], minlength=len(keys)).astype(np.int64)
         for bucket, a, b in grams.cut(keys):
             out["bucket"].append(bucket)
             out["pack"].append(pack)
@@ -158,8 +166,8 @@ def _answer(requests: pa.Table) -> pa.Table:
     })
 
 
-def _score(rows: pa.Table, replies: pa.Table, order: int, bits: int, min_count: int, alpha: float, words: int) -> pa.Table:
-    grams = _Grams(rows, bits)
+def _score(rows: pa.Table, replies: pa.Table, order: int, bits: int, min_count: int, alpha: float, words: int, foreign: bool) -> pa.Table:
+    grams = _Grams(rows, bits, foreign)
     totals = _known(grams, _answers(replies), list(range(1, order + 1)), min_count)
     log = np.log(np.maximum(totals[1], 1)) - np.log(max(words, 1))
     shorter = totals[1]
@@ -176,11 +184,12 @@ def _score(rows: pa.Table, replies: pa.Table, order: int, bits: int, min_count:
     row = np.repeat(np.arange(len(grams.first) - 1), np.diff(grams.first))
     count = np.diff(grams.first)
     score = np.bincount(row, weights=log, minlength=len(count))
-    return pa.table({
+    out = pa.table({
         "doc_id": rows["doc_id"], "n_words": pa.array(count, pa.int64()), "log_score": pa.array(score),
         "per_word": pa.array(score / np.maximum(count, 1), mask=count == 0),
         "n_backed_off": pa.array(np.bincount(row[backed > 0], minlength=len(count)), pa.int64()),
     })
+    return out.filter(pa.array(~grams.counted)) if foreign else out
 
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -193,24 +202,32 @@ def _word_total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def backoff_scores(
-    docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA,
+    docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, log_score, per_word and n_backed_off.
 
-    A word scores ``c(ngram) / c(context)`` for the longest n-gram up to ``order`` if the corpus holds it
-    ``min_count`` times, else ``alpha`` times the score one order below; a single word scores its share
-    of all words, without a threshold. log_score is the sum of the natural logarithms over the document, per_word
-    its mean, n_backed_off the words that did not match at their longest order.
+    A word scores ``c(ngram) / c(context)`` for the longest n-gram up to ``order`` that the corpus holds (at least
+    ``min_count`` times), else ``alpha`` times the score one order below; a single word scores its share
+    of all words, without a threshold, and one that the corpus does not hold as if it occurred once. log_score is the
+    sum of the natural logarithms over the document, per_word its mean, n_backed_off the words that did not match at
+    their longest order. The corpus is the texts of ``counts_from``, or ``docs`` itself.
 
     Words are case-sensitive runs between white space. A null or blank text has log_score 0 and
     per_word null. Repeated rows count in the corpus as often as they occur. Rows without doc_id
-    are scored and counted like others. Other columns are not read.
+    are scored and counted like others. Without any counted word every word scores as one of one. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_total, "words long").agg(F.sum("words")).first()[0] or 0
+    foreign = counts_from is not None
+    text = F.col("text").cast("string").alias("text")
+    corpus = (counts_from if foreign else docs).select(text)
+    words = corpus.mapInArrow(_word_total, "words long").agg(F.sum("words")).first()[0] or 0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.lit(not foreign).alias("counted"))
+    if foreign:
+        # Counted rows are spread by their id, or by their text where they have none.
+        own = F.col("doc_id") if "doc_id" in counts_from.columns else F.lit(None)
+        docs = docs.unionByName(counts_from.select(own.cast("long").alias("doc_id"), text, F.lit(True).alias("counted")))
     bits = bucket_bits(words)
-    packs = packed(docs, text_bytes(docs), PACK_BYTES).select("pack", "doc_id", "text")
-    packs = packs.mapInArrow(_squeezed, "pack long, doc_id long, text binary")
+    packs = packed(docs, text_bytes(docs), PACK_BYTES).select("pack", "doc_id", "text", F.col("rest.counted").alias("counted"))
+    packs = packs.mapInArrow(_squeezed, "pack long, doc_id long, text binary, counted boolean")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     request = "bucket int, pack long, n int, hashes binary, counts binary"
     reply = "pack long, bucket int, n int, totals binary"
@@ -218,10 +235,10 @@ def backoff_scores(
     def asked(orders: list[int], replies: DataFrame | None) -> DataFrame:
         run: Callable
         if replies is None:
-            run = packs.groupBy("pack").applyInArrow(lambda t: _ask(t, None, orders, bits, min_count), request)
+            run = packs.groupBy("pack").applyInArrow(lambda t: _ask(t, None, orders, bits, min_count, foreign), request)
         else:
             run = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
-                lambda t, r: _ask(t, r, orders, bits, min_count), request
+                lambda t, r: _ask(t, r, orders, bits, min_count, foreign), request
             )
         # Dealt out by pack once, for this round's readers and for the scoring.
         return run.groupBy("bucket").applyInArrow(_answer, reply).repartition(parts, "pack")
@@ -230,6 +247,6 @@ def backoff_scores(
     for n in range(3, order + 1):
         replies = replies.unionByName(asked([n], replies))
     return packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
-        lambda t, r: _score(t, r, order, bits, min_count, alpha, words),
+        lambda t, r: _score(t, r, order, bits, min_count, alpha, words, foreign),
         "doc_id long, n_words long, log_score double, per_word double, n_backed_off long",
     )

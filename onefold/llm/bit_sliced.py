@@ -24,10 +24,16 @@ from onefold.session import settle, stage
 
 SCALE = 1024
 BLOCK_ROWS = 65_536
-BLOCK_QUERIES = 48
+LEAST_BLOCK_ROWS = 4_096
+# Blocks aimed at where rows are few; more of them only as the table grows.
+BLOCKS = 64
+BLOCK_QUERIES = 4_096
 DROPPED_BITS = 3
-# Components are below this after scaling, so that inner products of any usual length fit 64 bits.
-MAX_COMPONENT = 1 << 27
+# Rows with a component from here on (after scaling) have blocks of their own and are scored with exact integers.
+WIDE = 1 << 27
+# Beyond this a component does not fit 64 bits.
+MAX_COMPONENT = 1 << 61
+_LONG = (1 << 63) - 1
 
 
 class BitSlices:
@@ -117,7 +123,7 @@ class BitSlices:
                 sure += count
                 open_rows &= ~total[place]
         # value is the k-th highest sum (or the lowest there is, with fewer rows than k).
-        slack = -(-((1 << self.dropped) - 1) * int(np.abs(query).sum()) // (1 << self.dropped))
+        slack = -(-((1 << self.dropped) - 1) * sum(abs(int(x)) for x in query) // (1 << self.dropped))
         least = max(0, value - slack)
         above, equal = np.zeros(self.words, np.uint64), allowed
         for place in range(max(len(total), least.bit_length()) - 1, -1, -1):
@@ -133,11 +139,27 @@ class BitSlices:
 def top_k(index: BitSlices, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k highest inner products of a block, ties to smaller ids."""
     rows = index.near_top(query, k, np.flatnonzero(ids == own))
-    scores = vectors[rows].astype(np.int64) @ query.astype(np.int64)
+    near, asked = vectors[rows].astype(np.int64), query.astype(np.int64)
+    most = [max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0 for x in (near, asked)]
+    if len(query) * most[0] * most[1] <= _LONG:
+        scores = near @ asked
+    else:
+        scores = np.array([min(_LONG, max(-_LONG, sum(a * b for a, b in zip(v, asked.tolist(), strict=True)))) for v in near.tolist()], np.int64)
     best = np.lexsort((ids[rows], -scores))[:k]
     return ids[rows][best], scores[best]
 
 
+def _packed(vectors: np.ndarray) -> bytes:
+    """Vectors in four bytes a component where they fit, else eight."""
+    narrow = not vectors.size or max(-int(vectors.min()), int(vectors.max())) < 1 << 31
+    return vectors.astype(np.int32 if narrow else np.int64).tobytes()
+
+
+def _unpacked(data: pa.Scalar, n: int, dims: int) -> np.ndarray:
+    raw = numbers(data, np.uint8)
+    return raw.view(np.int32 if len(raw) == 4 * n * dims else np.int64).reshape(n, dims)
+
+
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten(), dtype=np.int64).reshape(-1, dims)
 
@@ -150,7 +172,7 @@ def _build(dropped: int) -> Callable:
         return pa.table({
             "dims": rows["dims"].slice(0, 1), "block": rows["block"].slice(0, 1), "n": pa.array([len(vectors)], pa.int32()),
             "ids": pa.array([rows["vec_id"].to_numpy().astype(np.int64).tobytes()]),
-            "vectors": pa.array([vectors.astype(np.int32).tobytes()]), "low": pa.array([index.low.astype(np.int64).tobytes()]),
+            "vectors": pa.array([_packed(vectors)]), "low": pa.array([index.low.astype(np.int64).tobytes()]),
             "width": pa.array([np.array(index.width, np.int32).tobytes()]), "slices": pa.array([index.to_bytes()]),
         })
     return run
@@ -162,7 +184,7 @@ def _pack_queries(rows: pa.Table) -> pa.Table:
         "dims": rows["dims"].slice(0, 1), "part": rows["part"].slice(0, 1),
         "ids": pa.array([rows["vec_id"].to_numpy().astype(np.int64).tobytes()]),
         "prints": pa.array([rows["print"].to_numpy().astype(np.int64).tobytes()]),
-        "vectors": pa.array([_matrix(rows["vector"], dims).astype(np.int32).tobytes()]),
+        "vectors": pa.array([_packed(_matrix(rows["vector"], dims))]),
     })
 
 
@@ -173,11 +195,12 @@ def _search(k: int, dropped: int) -> Callable:
             row = {c: blocks[c][block] for c in blocks.column_names}
             dims, n = row["dims"].as_py(), row["n"].as_py()
             ids = numbers(row["ids"], np.int64)
-            vectors = numbers(row["vectors"], np.int32).reshape(n, dims)
+            vectors = _unpacked(row["vectors"], n, dims)
             index = BitSlices.from_bytes(n, numbers(row["low"], np.int64), numbers(row["width"], np.int32), row["slices"].as_buffer(), dropped)
             for q in range(queries.num_rows):
-                asked = numbers(queries["vectors"][q], np.int32).reshape(-1, dims)
-                for own, mark, query in zip(numbers(queries["ids"][q], np.int64), numbers(queries["prints"][q], np.int64), asked, strict=True):
+                owns = numbers(queries["ids"][q], np.int64)
+                asked = _unpacked(queries["vectors"][q], len(owns), dims)
+                for own, mark, query in zip(owns, numbers(queries["prints"][q], np.int64), asked, strict=True):
                     found, scores = top_k(index, ids, vectors, query, own, k)
                     out["query_id"].append(np.full(len(found), own))
                     out["print"].append(np.full(len(found), mark))
@@ -188,32 +211,40 @@ def _search(k: int, dropped: int) -> Callable:
 
 
 def top_inner_products(
-    vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, block_rows: int | None = None,
     block_queries: int = BLOCK_QUERIES, dropped_bits: int = DROPPED_BITS,
 ) -> DataFrame:
     """For each query row its k highest integer inner products with the other rows: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding; a component x becomes floor(scale * x); ``is_query`` is a
     condition on its columns. Ties go to the smaller vec_id. A row never meets rows of its own vec_id.
-    Every block of queries is searched in every block of rows; a task holds one of each.
+    Every block of queries is searched in every block of rows; a task holds one of each. Blocks hold up to
+    65,536 rows and 4,096 queries, so a row is copied once for 4,096 queries and a query once for each block.
 
-    Rows with a null vec_id, a null or empty vector, or a null, non-finite or huge component (2**27
-    or more after scaling, where a score would not fit 64 bits) take no part. Vectors of different
-    lengths are not compared. Repeated rows are candidates of their own; a repeated query is answered
+    Rows with a null vec_id, a null or empty vector, or a null or non-finite component take no part, nor
+    one that is 2**61 or more after scaling, since no long holds it. Scores are exact; one beyond 64 bits
+    is given as the largest or smallest long. Vectors of different lengths are not compared. Repeated rows are candidates of their own; a repeated query is answered
     once. An empty table gives an empty result.
     """
     limit = float(MAX_COMPONENT // scale)
     sound = F.expr("vec_id IS NOT NULL AND embedding IS NOT NULL") & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)
     )
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    wide = F.exists("embedding", lambda x: F.abs(x) >= float(WIDE // scale))
     rows = vectors.where(sound).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, whole).alias("vector"),
-        F.size("embedding").alias("dims"), is_query.alias("asks"),
+        F.size("embedding").alias("dims"), is_query.alias("asks"), F.when(sound, wide).alias("wide"),
     )
-    counts = rows.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, parts = max(1, math.ceil(counts[0] / block_rows)), max(1, math.ceil(counts[1] / block_queries))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)))
+    counts = rows.agg(F.count("*"), F.count_if("asks"), F.count_if("wide")).first()
+    size = block_rows or min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, -(-counts[0] // BLOCKS)))
+    plain, extra = max(1, math.ceil(counts[0] / size)), math.ceil(counts[2] / size)
+    blocks, parts = plain + extra, max(1, math.ceil(counts[1] / block_queries))
+    spread = F.xxhash64("vec_id", "vector")
+    block = F.pmod(spread, F.lit(plain))
+    if extra:
+        block = F.when(F.col("wide"), plain + F.pmod(spread, F.lit(extra))).otherwise(block)
+    dealt = rows.withColumn("block", block).drop("wide")
     index = stage(dealt.drop("asks").groupBy("dims", "block").applyInArrow(
         _build(dropped_bits),
         "dims int, block long, n int, ids binary, vectors binary, low binary, width binary, slices binary",

@@ -95,14 +95,14 @@ def _search(packed: tuple[list[int], list[bytes]], n: int, lower: bool, percent:
     return run
 
 
-def _exploded(n: int, lower: bool, key: str) -> Callable:
+def _exploded(n: int, lower: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, bounds = shingle_sets(part["text"], n, lower)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                owner = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
                 yield pa.RecordBatch.from_arrays(
-                    [part[key].take(pa.array(owner)), pa.array(sets.view(np.int64))], names=[key, "shingle"]
+                    [part["doc_id"].take(owner), part["row"].take(owner), pa.array(sets.view(np.int64))], names=["doc_id", "row", "shingle"]
                 )
     return run
 
@@ -113,11 +113,11 @@ def _sketched(percent: int) -> Callable:
             sets = [numbers(x, np.uint64) for x in batch["shingles"]]
             size = np.array([len(x) for x in sets], np.int64)
             sketch = sketch_sizes(size, percent)
-            for item, own, k in zip(batch["item_id"], sets, sketch, strict=True):
+            for item, mark, own, k in zip(batch["item_id"], batch["item"], sets, sketch, strict=True):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([item.as_py()] * len(own), pa.int64()), pa.array([len(own)] * len(own), pa.int32()),
+                    pa.array([item.as_py()] * len(own), pa.int64()), pa.array([mark.as_py()] * len(own), pa.int64()), pa.array([len(own)] * len(own), pa.int32()),
                     pa.array(own.view(np.int64)), pa.array(np.arange(len(own)) < k),
-                ], names=["item_id", "n_item", "shingle", "sketch"])
+                ], names=["item_id", "item", "n_item", "shingle", "sketch"])
     return run
 
 
@@ -131,9 +131,9 @@ def contained_items(
 
     An item or document with fewer than ``words`` words has its whole sequence as one shingle; such
     an item is found only as a whole document of the same words. Items without words and null texts
-    match nothing. Rows without doc_id or item_id take no part. Repeated rows count once; items
-    with one item_id are items of their own and the best of them is reported. Other columns are
-    not read.
+    match nothing. Rows without doc_id or item_id take no part. Repeated rows count once; rows with one
+    doc_id and items with one item_id are documents and items of their own, and the best pair of them is
+    reported. Other columns are not read.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -144,12 +144,14 @@ def contained_items(
         packed = ([r["item_id"] for r in rows], [bytes(r["shingles"]) for r in rows])
         pairs = texts.mapInArrow(_search(packed, words, lower, percent), "doc_id long, item_id long, n_item int, n_shared int")
     else:
-        parts = sets.mapInArrow(_sketched(percent), "item_id long, n_item int, shingle long, sketch boolean")
-        held = texts.mapInArrow(_exploded(words, lower, "doc_id"), "doc_id long, shingle long")
+        # Rows and items with one id stay apart: each is known by its id and a hash of its content.
+        marked = sets.withColumn("item", F.xxhash64("shingles")).select("item_id", "item", "shingles")
+        parts = marked.mapInArrow(_sketched(percent), "item_id long, item long, n_item int, shingle long, sketch boolean")
+        held = texts.withColumn("row", F.xxhash64("text")).mapInArrow(_exploded(words, lower), "doc_id long, row long, shingle long")
         known = settle(held.distinct().join(parts.select("shingle").distinct(), "shingle", "left_semi"))
-        likely = known.join(parts.where("sketch"), "shingle").select("doc_id", "item_id", "n_item").distinct()
-        pairs = likely.join(known, "doc_id").join(parts.drop("sketch"), ["item_id", "n_item", "shingle"])
-        pairs = pairs.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
+        likely = known.join(parts.where("sketch"), "shingle").select("doc_id", "row", "item_id", "item", "n_item").distinct()
+        pairs = likely.join(known, ["doc_id", "row"]).join(parts.drop("sketch"), ["item_id", "item", "n_item", "shingle"])
+        pairs = pairs.groupBy("doc_id", "row", "item_id", "item", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
         pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")

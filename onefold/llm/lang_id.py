@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onefold.llm.letters import gram_hashes, letters_of
 from onefold.llm.packs import numbers
 from onefold.llm.tokens import slices
-from onefold.session import settle
+from onefold.session import settle, stage
 
 DIMS_BITS = 13
 GRAMS = (1, 2, 3)
@@ -186,6 +186,9 @@ class Model:
 def fit_languages(learn: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on the rows of ``learn`` (doc_id, text, lang) with a language and a text.
 
+    Of each language at most ``per_language`` rows are drawn, each row by itself: rows with one doc_id, or equal
+    rows, are drawn as often as others. The draw is stored with the sample.
+
     Languages, document frequencies and weights are of the size of the model, and collected.
     """
     rows = learn.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
@@ -198,9 +201,11 @@ def fit_languages(learn: DataFrame, s: Settings = Settings()) -> Model:
     for r in rows.select("text").mapInArrow(_frequencies(s), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         frequency[r["place"]] = r["n"]
     idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
-    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, s.per_language / counts[lang]))])
-    draw = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1_000_003))
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < limit[F.col("lang")] * 1_000_003)
+    # A little more than the share that is needed, then the smallest draws of each language.
+    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.2 * (s.per_language + 20) / counts[lang]))])
+    sample = rows.withColumn("draw", F.floor(F.rand(9) * (1 << 60)).cast("long")).where(F.col("draw") < limit[F.col("lang")] * (1 << 60))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    sample = stage(sample, "draws").withColumn("place", place).where(F.col("place") <= s.per_language).drop("place")
     sample = settle(sample.mapInArrow(_sparse_rows(idf, s), "lang string, draw long, places binary, x binary"))
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(
         lambda t: _train(languages, s)(t), "weights binary, temperature double"

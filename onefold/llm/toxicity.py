@@ -74,11 +74,11 @@ def _dense(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
 
 
 def fit_nnpu(toxic: np.ndarray, other: np.ndarray, prior: float, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias with a small non-negative risk, by Adam steps on the logistic loss
+    """Weights and bias with a small non-negative risk, by Adam steps on the logistic loss.
 
     Every step uses the whole sample: in small batches the number of toxic texts among the
     unlabelled varies so much that the estimate of the clean part falls below zero by chance.
-    ."""
+    """
     size = toxic.shape[1] + 1
     w, m, v = (np.zeros(size, np.float32) for _ in range(3))
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -154,7 +154,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both of learning rows only.
 
     Toxic rows are those labelled 1; every row of ``docs``, whatever its label, may be drawn as
-    unlabelled. The prior is the share of 1 among all labels (0.5 per cent at least, 1 per cent
+    unlabelled. At most ``toxic_rows`` and about ``unlabelled_rows`` rows are drawn, each by itself: of rows with one doc_id
+    some may be drawn and others not. Draws are stored with the sample. The prior is the share of 1 among all labels (0.5 per cent at least, 1 per cent
     where there is none). Weights and features are of the size of the model, and collected.
     """
     named = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -163,17 +164,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -
     total = docs.count()
     if not total or not counted[1]:
         return Model([], prior, s)
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_003))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", draw.alias("draw"))
-    sampled = named.where("toxic = 1").withColumn("draw", draw).where(
-        F.col("draw") < min(1.0, s.toxic_rows / counted[1]) * 1_000_003
-    )
-    toxic = rows.join(small_side(settle(sampled.select("doc_id"))), "doc_id", "left_semi").select("text", "draw", F.lit(True).alias("toxic"))
+    named = named.where("toxic = 1").withColumn("draw", F.xxhash64(F.lit(11), "doc_id"))
+    ids = settle(named.orderBy("draw", "doc_id").limit(s.toxic_rows).select("doc_id"))
+    drawn = docs.select("doc_id", "text", F.floor(F.rand(11) * (1 << 60)).cast("long").alias("draw"))
+    rows = drawn.where("doc_id IS NOT NULL")
+    schema = "part int, toxic boolean, draw long, words binary"
+    toxic = rows.join(small_side(ids), "doc_id", "left_semi").select("text", "draw", F.lit(True).alias("toxic"), F.lit(0).alias("part"))
+    toxic = toxic.mapInArrow(_features(s.bits), schema).orderBy("draw").limit(s.toxic_rows)
     toxic = toxic.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(s.parts - 1))))
-    other = rows.where(F.col("draw") >= (1 - min(1.0, s.unlabelled_rows / total)) * 1_000_003).select(
-        "text", "draw", F.lit(False).alias("toxic"), F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(s.parts)).cast("int").alias("part")
+    other = drawn.where(F.col("draw") < min(1.0, s.unlabelled_rows / total) * (1 << 60)).select(
+        "text", "draw", F.lit(False).alias("toxic"), F.pmod(F.xxhash64(F.lit(5), "draw"), F.lit(s.parts)).cast("int").alias("part")
     )
-    sample = settle(toxic.unionByName(other).mapInArrow(_features(s.bits), "part int, toxic boolean, draw long, words binary"))
+    sample = settle(toxic.unionByName(other.mapInArrow(_features(s.bits), schema)))
     fitted = sample.groupBy("part").applyInArrow(_train(prior, s), "part int, features binary, weights binary, bias double")
     parts = [
         (np.frombuffer(bytes(r["features"]), np.int64), np.frombuffer(bytes(r["weights"]), np.float64), r["bias"])
