@@ -97,8 +97,10 @@ class _Grams:
 
     def cut(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(bucket, begin, end) of the runs of rising keys."""
+        if not len(keys):
+            return
         bucket = keys >> np.uint64(64 - self.bits)
-        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         for a, b in zip(begin, np.append(begin[1:], len(keys)), strict=True):
             yield int(bucket[a]), int(a), int(b)
 
