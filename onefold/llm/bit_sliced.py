@@ -24,10 +24,10 @@ from onefold.session import settle, stage
 
 SCALE = 1024
 BLOCK_ROWS = 65_536
-LEAST_BLOCK_ROWS = 4_096
-# Blocks aimed at where rows are few; more of them only as the table grows.
-BLOCKS = 64
+# Queries that a copy of a block serves; fewer, down to the second number, where there would be less than TILES tasks.
 BLOCK_QUERIES = 4_096
+LEAST_QUERIES = 256
+TILES = 64
 DROPPED_BITS = 3
 # Rows with a component from here on (after scaling) have blocks of their own and are scored with exact integers.
 WIDE = 1 << 27
@@ -211,8 +211,8 @@ def _search(k: int, dropped: int) -> Callable:
 
 
 def top_inner_products(
-    vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, block_rows: int | None = None,
-    block_queries: int = BLOCK_QUERIES, dropped_bits: int = DROPPED_BITS,
+    vectors: DataFrame, is_query, k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS,
+    block_queries: int | None = None, dropped_bits: int = DROPPED_BITS,
 ) -> DataFrame:
     """For each query row its k highest integer inner products with the other rows: query_id, rank, vec_id, score.
 
@@ -237,9 +237,10 @@ def top_inner_products(
         F.size("embedding").alias("dims"), is_query.alias("asks"), F.when(sound, wide).alias("wide"),
     )
     counts = rows.agg(F.count("*"), F.count_if("asks"), F.count_if("wide")).first()
-    size = block_rows or min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, -(-counts[0] // BLOCKS)))
-    plain, extra = max(1, math.ceil(counts[0] / size)), math.ceil(counts[2] / size)
-    blocks, parts = plain + extra, max(1, math.ceil(counts[1] / block_queries))
+    plain, extra = max(1, math.ceil(counts[0] / block_rows)), math.ceil(counts[2] / block_rows)
+    blocks = plain + extra
+    queries = block_queries or min(BLOCK_QUERIES, max(LEAST_QUERIES, -(-counts[1] * blocks // TILES)))
+    parts = max(1, math.ceil(counts[1] / queries))
     spread = F.xxhash64("vec_id", "vector")
     block = F.pmod(spread, F.lit(plain))
     if extra:

@@ -6,7 +6,7 @@ start the same long substring. Substrings found on ``MIN_PAGES`` distinct pages
 covered tokens go, the unique runs between them stay. The shards of a larger host send the hashes of
 their substrings of that length with page counts to buckets, which add them up over the host and
 answer with one bit per hash; the same tokens then go as if the host were one shard. Text inside an article or main element is
-content even where other pages repeat it; such pages only lend their other text as evidence.
+content even where other pages repeat it; whether it is all of the content is decided by what the repeats leave around it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from onefold.session import settle, small_side
 MIN_TOKENS = 8
 MIN_PAGES = 5
 SHARD_BYTES = 4_000_000
+# Article and main elements are the text of the page if they hold this share of what repeats leave around them.
+MAIN_SHARE = 0.5
 # Bytes of a page per word assumed when buckets are numbered; affects their size only.
 _BYTES_PER_WORD = 6
 
@@ -65,7 +67,26 @@ _CHROME_NAME = re.compile(
 )
 
 
-def _is_chrome(name: str, attributes: str) -> bool:
+# Fixed words that leave the meaning of a class name as it is.
+_NEUTRAL = frozenset(
+    "area article articles bar block bottom box button buttons col column container content desktop fixed form group icon icons inner item "
+    "items js large left link links list main mobile module new outer page panel post posts primary right row secondary section site slot "
+    "small sticky text top unit wrap wrapper".split()
+)
+
+
+def _names_chrome(value: str, inside: bool) -> bool:
+    """Whether class or id names say chrome; inside the main text a name must hold no other meaning (``related-work`` is kept)."""
+    if not inside:
+        return bool(_CHROME_NAME.search(value))
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-zA-Z]+", token) if p]
+        if _CHROME_NAME.search(token) and all(_CHROME_NAME.fullmatch(p) or p.lower() in _NEUTRAL for p in parts):
+            return True
+    return False
+
+
+def _is_chrome(name: str, attributes: str, inside: bool = False) -> bool:
     if name in _DROPPED:
         return True
     if not attributes:
@@ -80,7 +101,7 @@ def _is_chrome(name: str, attributes: str) -> bool:
             return True
         if key in ("class", "id"):
             spaced = re.sub(r"([a-z])([A-Z])", r"\1-\2", (found[2] or "").strip("\"'"))
-            if name not in _KEPT_NAMES and _CHROME_NAME.search(spaced):
+            if name not in _KEPT_NAMES and _names_chrome(spaced, inside):
                 return True
             if name == "article" and re.search(r"(?<![a-z])comments?(?![a-z])", spaced, re.I):
                 return True
@@ -91,7 +112,11 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     """(zone, text) of the blocks of a page in order; zone is MAIN, BODY or CHROME."""
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, starts chrome, starts the main text
+    # Open blocks and chrome elements (name, starts chrome, starts the main text), how many of each name, and open inline elements.
+    stack: list[tuple[str, bool, bool]] = []
+    open_names: dict[str, int] = {}
+    inline: dict[str, int] = {}
+    bases: dict[str, list[int]] = {}  # open inline elements of the name where a chrome element of it began
     chrome = main = 0
 
     def close_block() -> None:
@@ -105,9 +130,12 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         nonlocal chrome, main
         if any(x[1] or x[2] or x[0] in _BLOCK for x in stack[depth:]):
             close_block()
-        for _, c, m in stack[depth:]:
+        for name, c, m in stack[depth:]:
             chrome -= c
             main -= m
+            open_names[name] -= 1
+            if name not in _BLOCK:
+                bases[name].pop()
         del stack[depth:]
 
     at = 0
@@ -126,10 +154,14 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if closing:
             if name in _BLOCK:
                 close_block()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
+            elif inline.get(name, 0) > (bases[name][-1] if bases.get(name) else 0):
+                inline[name] -= 1
+                continue
+            if open_names.get(name):
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == name:
+                        pop_to(depth)
+                        break
             continue
         if name in _BLOCK:
             close_block()
@@ -148,13 +180,18 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             continue
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             continue
-        if len(stack) > 2000:  # a page of unclosed elements: further ones change no zone
-            continue
-        is_chrome = _is_chrome(name, attributes)
+        is_chrome = _is_chrome(name, attributes, main > 0)
         is_main = name in ("article", "main") and not is_chrome
         if is_chrome and name not in _BLOCK:
             close_block()
+        if name not in _BLOCK and not is_chrome:
+            # Inline elements change no zone: only how many are open where is kept, so that there may be any number.
+            inline[name] = inline.get(name, 0) + 1
+            continue
         stack.append((name, is_chrome, is_main))
+        open_names[name] = open_names.get(name, 0) + 1
+        if name not in _BLOCK:
+            bases.setdefault(name, []).append(inline.get(name, 0))
         chrome += is_chrome
         main += is_main
     close_block()
@@ -208,7 +245,6 @@ class _Pages:
 
     def __init__(self, rows: pa.Table):
         self.blocks = [blocks_of(x or "") for x in rows["html"].to_pylist()]
-        self.marked = [any(zone == MAIN for zone, _ in blocks) for blocks in self.blocks]
         stream, page, self.place = [], [], {}
         for i, blocks in enumerate(self.blocks):
             for k, (zone, text) in enumerate(blocks):
@@ -300,19 +336,21 @@ def _extract(depth: int, min_pages: int, shard_bytes: int) -> Callable:
         texts = []
         words = pages.words
         for i, blocks in enumerate(pages.blocks):
-            if pages.marked[i]:
-                texts.append("\n\n".join(text for zone, text in blocks if zone == MAIN))
-                continue
-            kept = []
+            kept, around = [], 0
             for k, (zone, text) in enumerate(blocks):
+                if zone == MAIN:
+                    kept.append((zone, text))
                 if zone == BODY:
                     j = pages.place[i, k]
                     span = range(words.first[j], words.first[j + 1])
                     if covered[span.start:span.stop].any():
                         text = " ".join(words.bytes_of(w).decode() for w in span if not covered[w])
                     if text:
-                        kept.append(text)
-            texts.append("\n\n".join(kept))
+                        kept.append((zone, text))
+                        around += len(text)
+            inside = sum(len(text) for zone, text in kept if zone == MAIN)
+            alone = inside and inside >= MAIN_SHARE * around
+            texts.append("\n\n".join(text for zone, text in kept if zone == MAIN or not alone))
         return pa.table({
             "page_id": rows["page_id"], "url": rows["url"], "text": pa.array(texts, pa.string()),
             "n_chars": pa.array([len(t) for t in texts], pa.int64()),
@@ -331,8 +369,10 @@ def main_text(
 
     Blocks are joined by two line feeds, white space inside a block is one space, character references
     are decoded. Menus, headers, footers, asides, forms, adverts, notices, comments and hidden parts go
-    by element, role, class or id. On pages without an article or main element the tokens covered by
-    substrings of ``min_tokens`` tokens found on ``min_pages`` pages of the host go as well.
+    by element, role, class or id; inside an article a class or id name must mean nothing else. Outside of article and main
+    elements the tokens covered by substrings of ``min_tokens`` tokens found on ``min_pages`` pages of the host go as well.
+    What is then left around them is dropped too where they hold at least half as many characters; else (a page
+    with teaser cards, say) it is kept.
 
     A null or empty html gives an empty text. Pages without a url are a host of their own. Repeated
     rows are pages of their own, each with a row of the result. Large hosts are split by hash into
