@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from onefold.sources.store import load_spec, load_table, save_model
 from onefold.spec import TermSpec
 
 
+# Rows of a part; a task of a barrier stage holds one in memory, some 100 MB.
+PART_ROWS = 1_000_000
+LEAST_PARTS = 8
+
+
 def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: float, batch_rows: int) -> DataFrame:
     """Each task runs over its own rows in mini-batches; one weighted average comes back.
 
@@ -26,20 +32,8 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
     start = np.asarray(theta, float)
 
     def descend(batches):
-        beta, mean, seen, steps = start.copy(), np.zeros(layout.p), 0.0, 0
-        for pdf in batches:
-            for low in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[low: low + batch_rows]
-                design = layout.design(part)
-                hits, trials = part["hits"].to_numpy(float), part["trials"].to_numpy(float)
-                prob = np.exp(-np.logaddexp(0.0, -design.eta(beta)))
-                slope = design.left(hits - trials * prob) / trials.sum()
-                steps += 1
-                beta = beta + rate / np.sqrt(steps) * slope
-                # Later steps weigh more, so the way in from the start fades out of the average.
-                mean += 4.0 / (steps + 3.0) * (beta - mean)
-                seen += trials.sum()
-        if steps:
+        mean, seen = _descend(batches, layout, start, rate, batch_rows)
+        if seen:
             yield pd.DataFrame({"sums": [np.append(mean * seen, seen)]})
 
     moved = rows.mapInPandas(descend, "sums array<double>")
@@ -49,6 +43,45 @@ def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: flo
         F.transform(F.slice("sums", 1, layout.p), lambda s: s / weight).alias("theta"))
 
 
+def _descend(batches, layout: _Layout, start: np.ndarray, rate: float, batch_rows: int) -> tuple[np.ndarray, float]:
+    """One pass over some rows: the average of the steps and the rows seen."""
+    beta, mean, seen, steps = start.copy(), np.zeros(layout.p), 0.0, 0
+    for pdf in batches:
+        for low in range(0, len(pdf), batch_rows):
+            part = pdf.iloc[low: low + batch_rows]
+            design = layout.design(part)
+            hits, trials = part["hits"].to_numpy(float), part["trials"].to_numpy(float)
+            prob = np.exp(-np.logaddexp(0.0, -design.eta(beta)))
+            slope = design.left(hits - trials * prob) / trials.sum()
+            steps += 1
+            beta = beta + rate / np.sqrt(steps) * slope
+            # Later steps weigh more, so the way in from the start fades out of the average.
+            mean += 4.0 / (steps + 3.0) * (beta - mean)
+            seen += trials.sum()
+    return mean, seen
+
+
+def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epochs: int, rate: float, batch_rows: int) -> list[float]:
+    """All passes in one stage: every task holds its rows and hands p + 1 numbers to all others after a pass."""
+    layout = _Layout(spec)
+    start = np.asarray(theta, float)
+
+    def run(batches):
+        context = BarrierTaskContext.get()
+        held = list(batches)
+        now = start
+        for epoch in range(epochs):
+            mean, seen = _descend(held, layout, now, rate / float(np.sqrt(1.0 + epoch)), batch_rows)
+            told = [np.array(json.loads(m)) for m in context.allGather(json.dumps([*(mean * seen), seen]))]
+            sums = np.sum(told, axis=0)
+            if sums[-1]:
+                now = sums[:-1] / sums[-1]
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"theta": [now]})
+
+    return list(rows.mapInPandas(run, "theta array<double>", barrier=True).collect()[0]["theta"])
+
+
 def save_sgd(df: DataFrame, folder: str, spec: TermSpec, theta: Sequence[float]) -> None:
     """Store the coefficients of a run with their terms; ``df`` gives the session."""
     rows = [(t, "sgd", float(b)) for t, b in zip(spec.terms, theta, strict=True)]
@@ -64,22 +97,29 @@ def load_sgd(df: DataFrame, folder: str) -> tuple[TermSpec, list[float]]:
 
 def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, batch_rows: int = 256,
             warm: Sequence[float] | None = None, shuffle_seed: int | None = 1, parts: int | None = None,
-            storage: StorageLevel = StorageLevel.DISK_ONLY) -> list[float]:
+            storage: StorageLevel = StorageLevel.DISK_ONLY, barrier: bool | None = None) -> list[float]:
     """Coefficients in term order after ``epochs`` passes; ``warm`` continues an earlier run.
 
-    The narrow coded rows are shuffled and persisted once for all passes
+    The narrow coded rows are shuffled once
     (``shuffle_seed=None`` takes them as they come) into ``parts`` partitions, each of which
-    descends on its own. Between passes the p coefficients travel
-    through the driver, nothing else does.
+    descends on its own; without ``parts`` there is one for every ``PART_ROWS`` rows, and at least ``LEAST_PARTS``. Where all
+    parts can run at once, all passes are one barrier stage: a task keeps its coded rows, and after each pass the tasks
+    exchange p + 1 numbers among themselves. Else every pass is a job over persisted
+    rows, and the p coefficients travel through the driver. Both give the same averages.
     """
     if spec.keys:
         raise ValueError("one model only")
     rows = df if CHUNK in df.columns else df.withColumn(CHUNK, F.lit(0))
     rows = coded_rows(rows, spec, compress=False).drop(CHUNK)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if parts is None:
+        parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
     if shuffle_seed is not None:
         rows = shuffle_rows(rows, shuffle_seed, parts)
-    rows = rows.persist(storage)
     theta = [0.0] * spec.p if warm is None else list(warm)
+    if barrier or (barrier is None and shuffle_seed is not None and parts <= slots):
+        return _barrier_epochs(rows, spec, theta, epochs, rate, batch_rows)
+    rows = rows.persist(storage)
     for epoch in range(epochs):
         step = rate / float(np.sqrt(1.0 + epoch))
         theta = list(sgd_epoch(rows, spec, theta, step, batch_rows).first()["theta"])
