@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from onefold.catalog.levels import EVENT_TOP, PART_TOP, _picked_sql
@@ -14,6 +15,8 @@ from onefold.operators.penalised import penalised_path
 from onefold.operators.permute import random_index
 from onefold.operators.qr import group_ols_qr
 from onefold.operators.stats import describe, merge_quantiles, merge_stats, quantile_sketches, quantiles
+from onefold.plans import ml
+from onefold.plans.regression import Plan, fit
 from onefold.plans.sgd import fit_sgd
 from onefold.session import settle, stage
 
@@ -170,3 +173,70 @@ def _(spark, d):
     placed = long.join(F.broadcast(found), "col").groupBy("col", "share").agg(
         F.avg((F.col("x") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("x") <= F.col("value")).cast("int")).alias("upto"))
     return placed.select("col", "share", ((F.col("below") <= F.col("share") + 0.02) & (F.col("upto") >= F.col("share") - 0.02)).alias("near"))
+
+
+# Spark ML as a job ---------------------------------------------------------------------------
+
+_CELL_TOP = 0.65
+
+_ML_JOB = f"""{SHIP}, counts AS (SELECT cell, count(*) AS n, CAST(sum(late) AS DOUBLE) AS y FROM ship GROUP BY 1), ranked AS (
+  SELECT *, CAST(sum(n) OVER (ORDER BY n DESC, cell ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS cum FROM counts), kept AS (
+  SELECT 'cell_' || CASE WHEN cum <= CAST({_CELL_TOP} AS DOUBLE) THEN cell ELSE '000_OTHERS' END AS term, sum(n) AS n, sum(y) AS y FROM ranked GROUP BY 1)"""
+
+
+@query("ml_job", f"""WITH {_ML_JOB}, t AS (SELECT sum(y * ln(y / n) + (n - y) * ln(1 - y / n)) AS loglik, CAST(sum(n) AS BIGINT) AS n FROM kept)
+SELECT term, round(ln(kept.y / (kept.n - kept.y)), 6) + 0.0 AS estimate, t.n, round(loglik, 3) AS loglik FROM kept, t""")
+def _(spark, d):
+    # Levels selected and collapsed, coded, fitted by L-BFGS on all rows and scored, as one job.
+    found = ml.ml_job(shipments(spark, d), Plan("late", keep_top={"cell": _CELL_TOP}, intercept=False))
+    return found.coefficients.crossJoin(F.broadcast(found.loglik)).select(
+        "term", rnd("estimate").alias("estimate"), "n", rnd("loglik", 3).alias("loglik"))
+
+
+@query("onehot_others", f"""WITH {_picked_sql("part", PART_TOP, 0.1)}
+SELECT term, n, CAST(row_number() OVER (ORDER BY CASE factor {" ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(PART_TOP))} END, level) - 1 AS INTEGER) AS at,
+  CAST(count(*) OVER () AS INTEGER) AS width FROM terms""")
+def _(spark, d):
+    # Selection with the 10 per cent rule, dropped levels as OTHERS, one-hot vector; its columns add up to the counts.
+    rows = table(spark, d, "part").select(*PART_TOP)
+    first, dictionary = ml.onehot_selected(rows, PART_TOP, min_share=0.1)
+    # A stored dictionary gives other rows the same positions.
+    hot, _ = ml.onehot_selected(first.drop("features_ONEHOT"), PART_TOP, dictionary=dictionary)
+    sums = hot.select(F.size("features_ONEHOT").alias("width"), F.posexplode("features_ONEHOT").alias("at", "x")).groupBy("at", "width").agg(
+        F.sum("x").cast("bigint").alias("n"))
+    order = F.array_position(F.array(*[F.lit(f) for f in PART_TOP]), F.col("factor"))
+    named = dictionary.select(F.array_sort(F.collect_list(F.struct(order.alias("f"), "level", "term")).over(Window.partitionBy())).alias("all")).limit(1)
+    named = named.select(F.posexplode("all").alias("at", "t")).select("at", "t.term")
+    return sums.join(F.broadcast(named), "at").select("term", "n", "at", "width")
+
+
+@query("elastic_net_signal", f"""WITH {SHIP} SELECT 'o_orderpriority_' || o_orderpriority AS term, count(*) AS n, true AS optimal,
+  left(o_orderpriority, 1) <> '3' AS strong FROM ship GROUP BY 1, 4""")
+def _(spark, d):
+    # Slopes that are not zero: for each the mean score equals its penalty.
+    reg, mix = 0.02, 0.6
+    rows = stage(shipments(spark, d).withColumn("bought", F.expr(_BOUGHT)).select("bought", "o_orderpriority"), "bought")
+    spec = factor_spec(rows, "bought", ["o_orderpriority"], intercept=True)
+    x = ml.term_features(rows, spec).persist()
+    model = ml.fit_logistic(x, True, 500, 1e-12, reg, mix)
+    slopes = ml.model_coefficients(x, model, spec.terms[1:], False)
+    x.unpersist()
+    whole = rows.count()
+    sums = rows.groupBy(F.concat(F.lit("o_orderpriority_"), "o_orderpriority").alias("term")).agg(F.count("*").alias("n"), F.sum("bought").alias("y"))
+    b = F.col("estimate")
+    pull = (F.col("y") - F.col("n") / (1 + F.exp(-b - F.lit(float(model.intercept))))) / whole - reg * (1 - mix) * b
+    gap = F.when(b != 0, F.abs(pull - reg * mix * F.signum(b))).otherwise(F.greatest(F.abs(pull) - reg * mix, F.lit(0.0)))
+    return sums.join(F.broadcast(slopes), "term").select("term", "n", (gap < 1e-6).alias("optimal"), (F.abs(b) > 0.1).alias("strong"))
+
+
+@query("run_observed", """SELECT count(*) AS rows_read, CAST(count_if(l_linenumber = 7) AS BIGINT) AS nulls_tax, count_if(l_linenumber <> 7) AS rows_used,
+  count_if(l_linenumber <> 7) AS n_total, CAST(4 AS BIGINT) AS chunks FROM lineitem""")
+def _(spark, d):
+    # Rows, nulls and chunks counted in the pass that stores the rows.
+    rows = table(spark, d, "lineitem").select("l_linestatus", F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("tax"), "l_discount")
+    n = rows.filter("tax IS NOT NULL").count()
+    with fit(rows.withColumn("y", F.when(F.col("l_discount") > 0.05, 1).otherwise(0)),
+             Plan("y", ["tax"], {"l_linestatus": 1.0}, baseline="first", rows_per_chunk=-(-n // 4))) as out:
+        total = out.combined.first()
+        seen = [out.observed[k] for k in ("rows_read", "nulls_tax", "rows_used")]
+        return spark.createDataFrame([(*seen, total["n_total"], total["chunks_total"])], "rows_read long, nulls_tax long, rows_used long, n_total long, chunks long")

@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from onefold.plans.flights import flight_plan, read_flights
+from onefold.plans.ml import MlFit, ml_job
 from onefold.plans.regression import Fit, Plan, extend, fit
 from onefold.session import get_session, ship_code
 from onefold.sources.csv import read_csv
@@ -41,12 +42,15 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--rows-per-chunk", type=int, default=1_000_000)
     p.add_argument("--kind", choices=["lar", "lasso"], default="lar")
     p.add_argument("--in-place", action="store_true", help="cut chunks from the scan, shuffle no row")
+    p.add_argument("--method", choices=["chunks", "spark-ml"], default="chunks", help="spark-ml fits all rows at once")
+    p.add_argument("--reg", type=float, default=0.0, help="elastic-net penalty of spark-ml")
+    p.add_argument("--elastic", type=float, default=0.0, help="its share of the absolute part")
     p.add_argument("--extend", help="folder of a stored model to extend by the input")
     p.add_argument("--out", help="folder to store the model in")
     return p.parse_args(args)
 
 
-def run(spark, o: argparse.Namespace) -> tuple[Fit | None, list[str]]:
+def run(spark, o: argparse.Namespace) -> tuple[Fit | MlFit | None, list[str]]:
     """The fit and the files it read; None where a model to extend has them all."""
     shared = {"keys": o.keys, "row_key": o.row_key, "rows_per_chunk": o.rows_per_chunk, "kind": o.kind, "in_place": o.in_place,
               "min_share": o.min_share, "threshold": o.threshold, "max_terms": o.max_terms, "unseen": o.unseen}
@@ -61,6 +65,8 @@ def run(spark, o: argparse.Namespace) -> tuple[Fit | None, list[str]]:
         rows = read_csv(spark, o.input, o.schema) if o.format == "csv" else spark.read.parquet(*o.input)
         keep = {name: float(share) for name, share in (f.split("=") for f in o.factors)}
         plan = Plan(o.response, o.continuous, keep, **{"baseline": "first", **shared})
+    if o.method == "spark-ml":
+        return ml_job(rows, plan, o.reg, o.elastic), rows.inputFiles()
     if not o.extend:
         return fit(rows, plan), rows.inputFiles()
     # Files that the model holds already are not read again.
@@ -77,7 +83,10 @@ def main() -> None:
     spark = get_session("onefold-fit")
     ship_code(spark)
     result, files = run(spark, options)
-    if result is None:
+    if options.method == "spark-ml":
+        result.loglik.show(truncate=False)
+        result.coefficients.show(len(result.spec.terms), truncate=False)
+    elif result is None:
         print("nothing new: the model has all of these files")
     else:
         if options.out:

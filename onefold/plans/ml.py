@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onefold.functions import vector_item
+from onefold.operators import levels as lv
 from onefold.operators.evaluate import loglik_from_prob
 from onefold.operators.prepare import coded, standardise_columns
+from onefold.plans.regression import Plan, learn_spec, prepare
+from onefold.session import settle
 from onefold.spec import OTHERS, TermSpec
 
 
@@ -51,6 +55,28 @@ def onehot(df: DataFrame, spec: TermSpec, drop_last: bool = False, sparse: bool
     return out.drop(*helpers), model
 
 
+def _indicators(code: str, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (i == F.col(code)).cast("double"))
+
+
+def onehot_selected(df: DataFrame, keep_top: Mapping[str, float], min_share: float | None = None, dictionary: DataFrame | None = None,
+                    drop_last: bool = False, as_vector: bool = False, out: str = "features_ONEHOT") -> tuple[DataFrame, DataFrame]:
+    """Select levels, collapse the others and append the one-hot vector of all factors, in one call; also the dictionary.
+
+    A given ``dictionary`` (``term_levels``, as stored) is used as it is, so that further data get the same
+    positions; levels that it lacks go to ``OTHERS``, or are left out if it has none. Positions follow the factors, then
+    the level names; ``drop_last`` leaves out the rarest level. Built from codes by expressions: no row passes through a fit.
+    """
+    factors = list(keep_top)
+    if dictionary is None:
+        dictionary = settle(lv.term_levels(lv.select_levels(lv.level_counts(df, factors), keep_top, min_share)))
+    spec = TermSpec.from_levels(dictionary, "", factors=factors, baseline="last" if drop_last else "none")
+    rows = coded(df, spec)
+    hot = F.concat(*[_indicators(f"code_{f.name}", len(f.slots)) for f in spec.factors if f.slots])
+    rows = rows.withColumn(out, array_to_vector(hot) if as_vector else hot)
+    return rows.drop(*[f"code_{f.name}" for f in spec.factors]), dictionary
+
+
 def scaled(df: DataFrame, columns: Sequence[str], out: str = "features_x_std") -> DataFrame:
     """Assemble the continuous columns and scale them to mean 0, sd 1."""
     raw = VectorAssembler(inputCols=list(columns), outputCol="features_x_raw").transform(df)
@@ -120,3 +146,30 @@ def model_loglik(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     scored = model.transform(df)
     return loglik_from_prob(
         scored, "label", vector_item(F.col("probability"), 0), vector_item(F.col("probability"), 1))
+
+
+@dataclass
+class MlFit:
+    """A Spark ML fit of a plan: the term list, the model and its log-likelihood over the rows it was fitted to."""
+
+    spec: TermSpec
+    model: LogisticRegressionModel
+    coefficients: DataFrame
+    loglik: DataFrame
+
+
+def ml_job(df: DataFrame, plan: Plan, reg: float = 0.0, elastic: float = 0.0, max_iter: int = 200, tol: float = 1e-12) -> MlFit:
+    """The whole job through Spark ML: select and collapse levels, code, scale, fit all rows at once, score.
+
+    The same terms as the chunked job of the plan, so that both can be compared. With ``reg`` an elastic net.
+    """
+    if plan.keys:
+        raise ValueError("Spark ML fits one model; use the chunked job for model keys")
+    rows = prepare(df, plan)
+    spec, _, _ = learn_spec(rows, plan)
+    x = term_features(rows, spec).persist()
+    model = fit_logistic(x, spec.intercept, max_iter, tol, reg, elastic)
+    found = model_coefficients(x, model, spec.terms[int(spec.intercept):], spec.intercept)
+    score = settle(model_loglik(x, model))
+    x.unpersist()
+    return MlFit(spec, model, found, score)

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from onefold.operators import chunks as chunking
@@ -18,7 +18,7 @@ from onefold.operators.combine import RETURNED, append_summaries, coefficients,
 from onefold.operators.evaluate import loglik
 from onefold.operators.prepare import add_codes, binarise, project, unseen_rows
 from onefold.operators.shrink import estimates, shrink_path
-from onefold.operators.stats import describe
+from onefold.operators.stats import describe, merge_stats
 from onefold.session import settle, small_side, stage
 from onefold.sources import store
 from onefold.spec import MAX_TERMS, TermSpec
@@ -84,6 +84,8 @@ class Fit:
     # version's; None if these have changed otherwise.
     base: tuple[str, int] | None = None
     added: DataFrame | None = None
+    # Rows read, nulls per column and rows used, counted in the pass that stored the rows (where rows draw their chunks).
+    observed: dict[str, int] | None = None
 
     def close(self) -> None:
         """Release the prepared rows."""
@@ -130,11 +132,15 @@ class Fit:
         table.show(table.count(), truncate=False)
 
 
-def prepare(df: DataFrame, plan: Plan) -> DataFrame:
-    """Used columns only, no nulls, 0/1 response."""
+def _used(df: DataFrame, plan: Plan) -> list[str]:
     used = [plan.response, *plan.continuous, *plan.keep_top, *plan.keys, *plan.row_key]
     used += [chunking.CHUNK] if chunking.CHUNK in df.columns else []
-    return binarise(project(df, list(dict.fromkeys(used))), plan.response, plan.threshold)
+    return list(dict.fromkeys(used))
+
+
+def prepare(df: DataFrame, plan: Plan) -> DataFrame:
+    """Used columns only, no nulls, 0/1 response."""
+    return binarise(project(df, _used(df, plan)), plan.response, plan.threshold)
 
 
 def learn_spec(rows: DataFrame, plan: Plan) -> tuple[TermSpec, DataFrame | None, DataFrame | None]:
@@ -154,8 +160,8 @@ def learn_spec(rows: DataFrame, plan: Plan) -> tuple[TermSpec, DataFrame | None,
     return spec, levels, stats
 
 
-def assign_chunks(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Chunk numbers, unless the rows have them: per model as many as its row count asks for."""
+def assign_chunks(rows: DataFrame, plan: Plan, n: int | None = None) -> DataFrame:
+    """Chunk numbers, unless the rows have them: per model as many as its row count asks for; ``n`` is that of all rows if known."""
     if chunking.CHUNK in rows.columns:
         return rows
     if plan.keys:
@@ -165,20 +171,22 @@ def assign_chunks(rows: DataFrame, plan: Plan) -> DataFrame:
         sizes = small_side(settle(sizes.select(*plan.keys, "chunks")))
         chunk = F.floor(F.col(DRAW) * F.col("chunks")).cast("bigint")
         return rows.join(sizes, list(plan.keys)).withColumn(chunking.CHUNK, chunk).drop("chunks")
-    k = chunking.chunk_count(rows.count(), plan.rows_per_chunk)
+    k = chunking.chunk_count(rows.count() if n is None else n, plan.rows_per_chunk)
     if plan.row_key:
         return chunking.chunk_by_hash(rows, list(plan.row_key), k)
     return rows.withColumn(chunking.CHUNK, F.floor(F.col(DRAW) * k).cast("bigint"))
 
 
-def _fit_rows(rows: DataFrame, plan: Plan, spec: TermSpec) -> DataFrame:
-    """Summaries of prepared rows."""
+def _fit_rows(rows: DataFrame, plan: Plan, spec: TermSpec, n: int | None = None) -> DataFrame:
+    """Summaries of prepared rows, ``n`` of them if that is known."""
     if plan.in_place:
         return settle(fit_in_place(rows, spec, plan.rows_per_chunk))
     # Drawn and hashed chunk numbers are bounded by the plan; numbers that rows bring are counted.
-    chunked = assign_chunks(rows, plan)
     planned = chunking.CHUNK not in rows.columns
-    most = max(1, rows.count() // max(1, plan.rows_per_chunk)) if planned else None
+    if planned and n is None:
+        n = rows.count()
+    chunked = assign_chunks(rows, plan, n)
+    most = max(1, n // max(1, plan.rows_per_chunk)) if planned else None
     return settle(fit_chunks(chunked, spec, tasks=min(most, MAX_TASKS) if most else None))
 
 
@@ -226,7 +234,7 @@ def _returned(rows: DataFrame, spec: TermSpec, aside: DataFrame, like: DataFrame
 
 
 def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFrame | None,
-                   held: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+                   held: DataFrame | None, n: int | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
     """Summaries of the rows, the stored ones that still hold, the rows that a later extension may need, and the new summaries.
 
     The last is None where stored summaries were dropped, so that adding to them is not enough.
@@ -238,7 +246,7 @@ def _fit_with_held(rows: DataFrame, plan: Plan, spec: TermSpec, stored: DataFram
     """
     keys = list(spec.keys)
     models = [F.col(k) for k in keys] or [F.lit(1).alias("one")]
-    summary = _fit_rows(rows, plan, spec)
+    summary = _fit_rows(rows, plan, spec, n)
     plain = rows.drop(DRAW)
     fresh, entries, dropped = plain, None, False
     if held is not None and stored is not None and not held.isEmpty():
@@ -296,7 +304,7 @@ def _seen_terms(summary: DataFrame, spec: TermSpec) -> DataFrame:
 
 
 def extend(df: DataFrame, plan: Plan, folder: str, slices: Sequence[str] = ()) -> Fit | None:
-    """Extend a stored model by new rows; what it has of levels and statistics is kept.
+    """Extend a stored model by new rows; its levels and its scales are kept, its statistics are merged with those of the rows.
 
     ``slices`` name the data that ``df`` holds. If the ledger of the model has them all, they were added by an
     earlier run: nothing is read and None is returned. Save the result with the same ``slices``.
@@ -312,9 +320,10 @@ def extend(df: DataFrame, plan: Plan, folder: str, slices: Sequence[str] = ()) -
     held = store.load_table(spark, folder, "held") if store.has_table(spark, folder, "held") else None
     out = fit(df, plan, spec=spec, stored=store.load_table(spark, folder, "summary"), held=held)
     out.base = (folder, version)
-    for name in ("levels", "stats"):
-        if store.has_table(spark, folder, name):
-            setattr(out, name, store.load_table(spark, folder, name))
+    if store.has_table(spark, folder, "levels"):
+        out.levels = store.load_table(spark, folder, "levels")
+    if store.has_table(spark, folder, "stats"):
+        out.stats = settle(merge_stats(store.load_table(spark, folder, "stats"), describe(out.rows, list(spec.continuous))))
     return out
 
 
@@ -333,10 +342,17 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         log.info("%s: %.1f s", name, seconds[name])
 
     t = time.perf_counter()
-    rows = prepare(df, plan)
+    rows, observed, n = prepare(df, plan), None, None
     if not (plan.row_key or plan.in_place or chunking.CHUNK in rows.columns):
-        # Written, so that the draw stays what it is when an executor is lost.
-        rows = stage(rows.withColumn(DRAW, F.rand(20240229)), "rows")
+        # Written, so that the draw stays what it is when an executor is lost. The same pass counts rows and nulls.
+        used = _used(df, plan)
+        read, ready = Observation(), Observation()
+        counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in used]
+        seen = df.select(*[F.col(f"`{c}`") for c in used]).observe(read, F.count(F.lit(1)).alias("rows_read"), *counts)
+        seen = prepare(seen, plan).withColumn(DRAW, F.rand(20240229)).observe(ready, F.count(F.lit(1)).alias("rows_used"))
+        rows = stage(seen, "rows")
+        observed = {**read.get, **ready.get}
+        n = observed["rows_used"]
     elif persist is not None:
         rows = rows.persist(persist)
     levels = stats = unseen = None
@@ -348,7 +364,7 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         spec, levels, stats = learn_spec(rows, plan)
     timed("prepare", t)
     t = time.perf_counter()
-    summary, stored, held, added = _fit_with_held(rows, plan, spec, stored, held)
+    summary, stored, held, added = _fit_with_held(rows, plan, spec, stored, held, n)
     timed("fit", t)
     t = time.perf_counter()
     if stored is not None:
@@ -359,4 +375,4 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
     path = settle(shrink_path(combined, spec, plan.kind))
     betas = settle(estimates(combined, path, spec))
     timed("shrink", t)
-    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held, added=added)
+    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held, added=added, observed=observed)
