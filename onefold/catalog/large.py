@@ -9,6 +9,7 @@ from onefold.catalog.levels import EVENT_TOP, PART_TOP, _picked_sql
 from onefold.catalog.models import cell_model, dense_model
 from onefold.catalog.tables import CELLS, SHIP, factor_spec, rnd, shipments, table
 from onefold.operators.chunkfit import fit_chunks
+from onefold.operators.chunks import bucketed
 from onefold.operators.combine import combine
 from onefold.operators.heavy import merge_sketches, select_heavy_levels, sketch_levels
 from onefold.operators.penalised import penalised_path
@@ -175,6 +176,22 @@ def _(spark, d):
     return placed.select("col", "share", ((F.col("below") <= F.col("share") + 0.02) & (F.col("upto") >= F.col("share") - 0.02)).alias("near"))
 
 
+@query("chunk_table_bucketed", f"""WITH {CELLS} SELECT term, round(b, 8) + 0.0 AS wlse, round(one_shot, 8) + 0.0 AS one_shot,
+  CAST(n AS BIGINT) AS n, round(ln(y / n), 8) + 0.0 AS log_share FROM wl""")
+def _(spark, d):
+    # Rows stored by chunk once: the fit and the counts per chunk read the buckets as they are.
+    ship = shipments(spark, d).select("partition_id", "cell", "late")
+    rows = bucketed(ship, ["partition_id"], 8)
+    spec = factor_spec(rows, "late", ["cell"])
+    combined = combine(fit_chunks(rows, spec, compress=False, rows_per_task=None), spec)
+    counts = rows.groupBy("partition_id", "cell").agg(F.count("*").alias("n"), F.sum("late").alias("y"))
+    shares = counts.groupBy(F.concat(F.lit("cell_"), "cell").alias("term")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    terms = F.array(*[F.lit(t) for t in spec.terms])
+    long = combined.select(F.inline(F.arrays_zip(terms.alias("term"), "wlse", "one_shot")))
+    return shares.join(F.broadcast(long), "term").select(
+        "term", rnd("wlse", 8).alias("wlse"), rnd("one_shot", 8).alias("one_shot"), "n", rnd(F.log(F.col("y") / F.col("n")), 8).alias("log_share"))
+
+
 # Spark ML as a job ---------------------------------------------------------------------------
 
 _CELL_TOP = 0.65

@@ -7,6 +7,7 @@ from onefold.catalog.tables import shipments, table
 from onefold.operators import levels as lv
 from onefold.operators import stats as st
 from onefold.operators.chunkfit import fit_chunks, fit_in_place
+from onefold.operators.chunks import bucketed
 from onefold.operators.combine import combine
 from onefold.operators.evaluate import constants, loglik
 from onefold.operators.prepare import collapse_levels, project
@@ -49,6 +50,15 @@ def test_fit_in_place_shuffles_nothing(line):
     assert "Exchange" not in plan_of(fit_in_place(line, SPEC, fallback=False))
 
 
+def test_a_bucketed_chunk_table_is_fitted_without_a_shuffle(line, spark):
+    rows = bucketed(line.select("partition_id", *[c for c in line.columns if c != "partition_id"]), ["partition_id"], 4)
+    plan = plan_of(fit_chunks(rows, SPEC, compress=False, rows_per_task=None, pool=False))
+    assert "Exchange" not in plan and "FlatMapGroupsInPandas" in plan
+    counts = plan_of(rows.groupBy("partition_id", "l_linestatus").count())
+    assert "Exchange" not in counts
+    assert rows.count() == line.count()
+
+
 def test_combine_shuffles_partial_sums(line):
     plan = plan_of(combine(fit_chunks(line, SPEC, pool=False), SPEC))
     below = plan[:plan.index("FlatMapGroupsInPandas")]
