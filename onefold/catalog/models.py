@@ -361,7 +361,8 @@ def _(spark, d):
   round(aic, 8) + 0.0 AS aic, round(bic, 8) + 0.0 AS bic FROM est""")
 def _(spark, d):
     # The whole job on rows that bring their chunk numbers: levels, fits, combine, path, choice.
-    out = fit(shipments(spark, d), Plan("late", keep_top={"cell": 1.0}, intercept=False))
+    with fit(shipments(spark, d), Plan("late", keep_top={"cell": 1.0}, intercept=False)) as out:
+        pass  # what is used below is stored; the prepared rows are released
     wide = coefficients_wide(out.coefficients(), out.spec, list(METHODS))
     return wide.select("term", *[rnd(m, 8).alias(m) for m in METHODS])
 
@@ -371,12 +372,12 @@ def _(spark, d):
 def _(spark, d):
     # Rows with nothing to tell them apart: chunks are drawn, and the estimate stays near the cell log odds.
     rows = shipments(spark, d).select("cell", "late")
-    out = fit(rows, Plan("late", keep_top={"cell": 1.0}, intercept=False, rows_per_chunk=5000))
+    with fit(rows, Plan("late", keep_top={"cell": 1.0}, intercept=False, rows_per_chunk=5000)) as out:
+        n_used = out.combined.first()["n_used"]
     odds = rows.groupBy("cell").agg(F.sum("late").alias("y"), F.count("*").alias("n")).select(
         F.concat(F.lit("cell_"), "cell").alias("term"), F.log(F.col("y") / (F.col("n") - F.col("y"))).alias("mle"),
         F.sqrt(F.col("n") / (F.col("y") * (F.col("n") - F.col("y")))).alias("error"))
     wide = coefficients_wide(coefficients(out.combined, out.spec, {"wlse": "wlse"}), out.spec, ["wlse"])
-    n_used = out.combined.first()["n_used"]
     return wide.join(odds, "term").select("term", F.lit(n_used).cast("bigint").alias("n_used"),
                                           (F.abs(F.col("wlse") - F.col("mle")) < F.col("error") / 2).alias("near_mle"))
 
@@ -387,10 +388,11 @@ def _(spark, d):
     rows = stage(shipments(spark, d).select("partition_id", "cell", "late"), "slices")
     plan = Plan("late", keep_top={"cell": 1.0}, intercept=False)
     folder = scratch_path(spark, "model")
-    fit(rows.filter("partition_id < 2"), plan).save(folder)
-    for k in (2, 3):
-        out = extend(rows.filter(F.col("partition_id") == k), plan, folder)
+    with fit(rows.filter("partition_id < 2"), plan) as out:
         out.save(folder)
+    for k in (2, 3):
+        with extend(rows.filter(F.col("partition_id") == k), plan, folder) as out:
+            out.save(folder)
     return _wlse(store.load_table(spark, folder, "combined"), out.spec)
 
 
@@ -480,7 +482,8 @@ def _(spark, d):
     plan = Plan("returned", ["l_quantity", "l_extendedprice", "l_discount"],
                 {"o_orderpriority": 1.0, "l_linestatus": 1.0}, baseline="first",
                 row_key=["l_orderkey", "l_linenumber", "l_partkey"], rows_per_chunk=5000)
-    out = fit(rows, plan).evaluation()
+    with fit(rows, plan) as found:
+        out = settle(found.evaluation())
     return out.select("n", (F.col("loglik_wlse") >= F.col("loglik_one_shot") - 1e-4 * F.col("n")).alias(
         "wlse_beats_one_shot_or_near"),
                       (F.col("loglik_wlse") < 0).alias("below_zero"))
@@ -563,7 +566,7 @@ SELECT CAST(n AS BIGINT) AS n, round(y * ln(y / n) + (n - y) * ln(1 - y / n), 2)
 def _(spark, d):
     # The predictors carry next to no signal, so a sound fit lies close to the intercept-only one.
     rows, spec = dense_model(spark, d)
-    theta = fit_sgd(rows, spec, epochs=3, parts=8)  # fixed: the average depends on it
+    theta = fit_sgd(rows, spec, epochs=3)
     share = rows.agg(F.avg("returned")).first()[0]
     null = [math.log(share / (1 - share))] + [0.0] * (spec.p - 1)
     out = loglik(rows, spec, constants({"sgd": theta, "null": null}, spark), ["sgd", "null"])
