@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from onefold.operators.permute import random_index
 from onefold.operators.qr import group_ols_qr
 from onefold.operators.stats import describe, merge_quantiles, merge_stats, quantile_sketches, quantiles
 from onefold.plans import ml
-from onefold.plans.regression import Plan, fit
+from onefold.plans.regression import Plan, fit, input_counts
 from onefold.plans.sgd import fit_sgd
 from onefold.session import settle, stage
 
@@ -105,12 +107,12 @@ def _(spark, d):
     path = settle(penalised_path(combined, spec, 0.8))
     whole = combined.first()
     wlse = F.array(*[F.lit(b) for b in whole["wlse"]])
-    last = path.agg(F.max_by("beta", "step").alias("b")).select(F.array_max(F.zip_with(wlse, "b", lambda x, y: F.abs(x - y))).alias("gap"))
+    gap = F.array_max(F.zip_with(wlse, F.max_by("beta", "step"), lambda x, y: F.abs(x - y)))
     size = max(abs(b) for b in whole["wlse"][1:])
     return path.agg(
         F.lit(whole["n_used"]).cast("bigint").alias("n_used"), F.count("*").alias("steps"), (F.max("gap") < 1e-6).alias("optimal"),
         (F.min_by("dof", "step") <= 1).alias("starts_at_zero"), ((F.max("dof") > 3) & (F.count_if((F.col("dof") > 0) & (F.col("dof") < spec.p - 1)) > 3)).alias("some_slopes"),
-    ).crossJoin(F.broadcast(last)).withColumn("nears_wlse", F.col("gap") < 0.1 * size).drop("gap")
+        (gap < 0.1 * size).alias("nears_wlse"))
 
 
 # Averaged descent in one stage --------------------------------------------------------------
@@ -206,8 +208,9 @@ SELECT term, round(ln(kept.y / (kept.n - kept.y)), 6) + 0.0 AS estimate, t.n, ro
 def _(spark, d):
     # Levels selected and collapsed, coded, fitted by L-BFGS on all rows and scored, as one job.
     found = ml.ml_job(shipments(spark, d), Plan("late", keep_top={"cell": _CELL_TOP}, intercept=False))
-    return found.coefficients.crossJoin(F.broadcast(found.loglik)).select(
-        "term", rnd("estimate").alias("estimate"), "n", rnd("loglik", 3).alias("loglik"))
+    score = found.loglik.first()
+    return found.coefficients.select("term", rnd("estimate").alias("estimate"), F.lit(score["n"]).cast("bigint").alias("n"),
+                                     rnd(F.lit(score["loglik"]), 3).alias("loglik"))
 
 
 @query("onehot_others", f"""WITH {_picked_sql("part", PART_TOP, 0.1)}
@@ -246,14 +249,15 @@ def _(spark, d):
     return sums.join(F.broadcast(slopes), "term").select("term", "n", (gap < 1e-6).alias("optimal"), (F.abs(b) > 0.1).alias("strong"))
 
 
-@query("run_observed", """SELECT count(*) AS rows_read, CAST(count_if(l_linenumber = 7) AS BIGINT) AS nulls_tax, count_if(l_linenumber <> 7) AS rows_used,
+@query("run_counts", """SELECT count(*) AS rows_read, CAST(count_if(l_linenumber = 7) AS BIGINT) AS nulls_tax, count_if(l_linenumber <> 7) AS rows_used,
   count_if(l_linenumber <> 7) AS n_total, CAST(4 AS BIGINT) AS chunks FROM lineitem""")
 def _(spark, d):
-    # Rows, nulls and chunks counted in the pass that stores the rows.
+    # Rows, nulls and chunks of a run whose rows draw their chunks.
     rows = table(spark, d, "lineitem").select("l_linestatus", F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("tax"), "l_discount")
-    n = rows.filter("tax IS NOT NULL").count()
-    with fit(rows.withColumn("y", F.when(F.col("l_discount") > 0.05, 1).otherwise(0)),
-             Plan("y", ["tax"], {"l_linestatus": 1.0}, baseline="first", rows_per_chunk=-(-n // 4))) as out:
+    rows = rows.withColumn("y", F.when(F.col("l_discount") > 0.05, 1).otherwise(0))
+    plan = Plan("y", ["tax"], {"l_linestatus": 1.0}, baseline="first")
+    seen = input_counts(rows, plan).first()
+    with fit(rows, replace(plan, rows_per_chunk=-(-seen["rows_used"] // 4))) as out:
         total = out.combined.first()
-        seen = [out.observed[k] for k in ("rows_read", "nulls_tax", "rows_used")]
-        return spark.createDataFrame([(*seen, total["n_total"], total["chunks_total"])], "rows_read long, nulls_tax long, rows_used long, n_total long, chunks long")
+    counts = (seen["rows_read"], seen["nulls_tax"], seen["rows_used"], total["n_total"], total["chunks_total"])
+    return spark.createDataFrame([counts], "rows_read long, nulls_tax long, rows_used long, n_total long, chunks long")

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onefold.operators import chunks as chunking
@@ -84,8 +84,6 @@ class Fit:
     # version's; None if these have changed otherwise.
     base: tuple[str, int] | None = None
     added: DataFrame | None = None
-    # Rows read, nulls per column and rows used, counted in the pass that stored the rows (where rows draw their chunks).
-    observed: dict[str, int] | None = None
 
     def close(self) -> None:
         """Release the prepared rows."""
@@ -143,6 +141,16 @@ def prepare(df: DataFrame, plan: Plan) -> DataFrame:
     return binarise(project(df, _used(df, plan)), plan.response, plan.threshold)
 
 
+def input_counts(df: DataFrame, plan: Plan) -> DataFrame:
+    """One row: rows read, rows used and nulls of every used column, in one pass that reads only these columns."""
+    used = _used(df, plan)
+    whole = F.lit(True)
+    for c in used:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(whole).alias("rows_used"),
+                  *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in used])
+
+
 def learn_spec(rows: DataFrame, plan: Plan) -> tuple[TermSpec, DataFrame | None, DataFrame | None]:
     """Levels and statistics of prepared rows, and the term list they give."""
     factors = list(plan.keep_top)
@@ -342,17 +350,11 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
         log.info("%s: %.1f s", name, seconds[name])
 
     t = time.perf_counter()
-    rows, observed, n = prepare(df, plan), None, None
+    rows, n = prepare(df, plan), None
     if not (plan.row_key or plan.in_place or chunking.CHUNK in rows.columns):
-        # Written, so that the draw stays what it is when an executor is lost. The same pass counts rows and nulls.
-        used = _used(df, plan)
-        read, ready = Observation(), Observation()
-        counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}") for c in used]
-        seen = df.select(*[F.col(f"`{c}`") for c in used]).observe(read, F.count(F.lit(1)).alias("rows_read"), *counts)
-        seen = prepare(seen, plan).withColumn(DRAW, F.rand(20240229)).observe(ready, F.count(F.lit(1)).alias("rows_used"))
-        rows = stage(seen, "rows")
-        observed = {**read.get, **ready.get}
-        n = observed["rows_used"]
+        # Written, so that the draw stays what it is when an executor is lost; its rows are then counted from the file footers.
+        rows = stage(rows.withColumn(DRAW, F.rand(20240229)), "rows")
+        n = rows.count()
     elif persist is not None:
         rows = rows.persist(persist)
     levels = stats = unseen = None
@@ -375,4 +377,4 @@ def fit(df: DataFrame, plan: Plan, spec: TermSpec | None = None, stored: DataFra
     path = settle(shrink_path(combined, spec, plan.kind))
     betas = settle(estimates(combined, path, spec))
     timed("shrink", t)
-    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held, added=added, observed=observed)
+    return Fit(spec, rows, levels, stats, summary, combined, path, betas, seconds, unseen, held, added=added)
