@@ -5,7 +5,7 @@ once, adds up equal ones and asks the buckets of their hashes; a bucket adds the
 and answers in the order of each request; the pack then scores its words and sums per document.
 Orders above 2 are asked in rounds of their own, and only for n-grams whose two shorter parts occur
 at least twice: one with a part that occurs once occurs once itself, which is its exact count. Where the
-counts come from other texts, only those with a part that never occurs are not asked for; their count is 0.
+counts come from other texts, these tell the buckets all orders in one round and get no answer.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tool = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         texts = [None if x is None else tool.compress(x.encode()) for x in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["pack"], batch["doc_id"], pa.array(texts, pa.binary()), batch["counted"]], names=_PACKED)
+        yield pa.RecordBatch.from_arrays([batch["pack"], batch["doc_id"], pa.array(texts, pa.binary())], names=["pack", "doc_id", "text"])
 
 
 def _texts(rows: pa.Table) -> pa.Table:
@@ -72,9 +72,6 @@ def _texts(rows: pa.Table) -> pa.Table:
     return pa.table({"text": pa.array([None if x is None else tool.decompress(x).decode() for x in rows["text"].to_pylist()], pa.string())})
 
 
-_PACKED = ["pack", "doc_id", "text", "counted"]
-
-
 class _Grams:
     """The n-grams of a pack by position, and its distinct ones in rising order of hash."""
 
@@ -88,7 +85,6 @@ class _Grams:
                 counts.append(words.counts())
         self.bits, self.words = bits, joined(hashes, np.uint64)
         self.first = np.concatenate(([0], np.cumsum(joined(counts, np.int64)))).astype(np.int64)
-        self.counted = np.array(rows["counted"].to_pylist(), bool)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and hash of each n-gram, in text order, and the text of each."""
@@ -107,12 +103,11 @@ class _Grams:
     def candidates(self, n: int, totals: dict[int, np.ndarray], min_count: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams to ask for, and the mask of the positions they are at."""
         at, hashes, _ = self.of(n)
-        if n <= 2:
+        if n <= 2 or self.foreign:
             return hashes, np.ones(len(hashes), bool)
         shorter = np.zeros(len(self.words) + 1, np.int64)
         shorter[self.of(n - 1)[0]] = totals[n - 1]
-        # Among texts that are not counted themselves a part that occurs once tells nothing.
-        least = max(min_count, 1 if self.foreign else 2)
+        least = max(min_count, 2)
         likely = (shorter[at] >= least) & (shorter[at + 1] >= least)
         return hashes[likely], likely
 
@@ -122,7 +117,7 @@ def _answers(replies: pa.Table) -> dict[tuple[int, int], pa.Scalar]:
 
 
 def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> dict[int, np.ndarray]:
-    """Corpus counts by position for the orders; where not asked 1, or 0 if the counts are of other texts."""
+    """Corpus counts by position for the orders; 1 where not asked: the count itself, or below ``min_count``."""
     totals: dict[int, np.ndarray] = {}
     for n in orders:
         hashes, asked = grams.candidates(n, totals, min_count)
@@ -130,25 +125,25 @@ def _known(grams: _Grams, answers: dict, orders: list[int], min_count: int) -> d
         count = np.zeros(len(keys), np.int64)
         for bucket, a, b in grams.cut(keys):
             count[a:b] = from_small(answers[n, bucket], b - a)
-        totals[n] = np.full(len(asked), 0 if grams.foreign else 1, np.int64)
+        totals[n] = np.ones(len(asked), np.int64)
         totals[n][asked] = count[of]
     return totals
 
 
-def _ask(rows: pa.Table, replies: pa.Table | None, orders: list[int], bits: int, min_count: int, foreign: bool) -> pa.Table:
-    out: dict[str, list] = {"bucket": [], "pack": [], "n": [], "hashes": [], "counts": []}
+def _ask(rows: pa.Table, replies: pa.Table | None, orders: list[int], bits: int, min_count: int, foreign: bool, counted: bool) -> pa.Table:
+    out: dict[str, list] = {"bucket": [], "pack": [], "n": [], "hashes": [], "counts": [], "answered": []}
     grams, pack = _Grams(rows, bits, foreign), rows["pack"][0].as_py()
     totals = _known(grams, _answers(replies), list(range(1, orders[0])), min_count) if replies is not None else {}
     for n in orders:
-        hashes, asked = grams.candidates(n, totals, min_count)
-        keys, of = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(of, weights=grams.counted[grams.of(n)[2][asked]], minlength=len(keys)).astype(np.int64)
+        keys, of = np.unique(grams.candidates(n, totals, min_count)[0], return_inverse=True)
+        counts = np.bincount(of, minlength=len(keys)) if counted else np.zeros(len(keys), np.int64)
         for bucket, a, b in grams.cut(keys):
             out["bucket"].append(bucket)
             out["pack"].append(pack)
             out["n"].append(n)
             out["hashes"].append(sorted_hashes(keys[a:b]))
             out["counts"].append(small_numbers(counts[a:b]))
+            out["answered"].append(not (foreign and counted))
     return pa.table(out, schema=_REQUEST)
 
 
@@ -162,10 +157,10 @@ def _answer(requests: pa.Table) -> pa.Table:
     total = np.empty(len(order), np.int64)
     total[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(np.append(begin, len(order))))
     bounds = np.cumsum([0, *(len(k) for k in keys)])
-    return pa.table({
-        "pack": requests["pack"], "bucket": requests["bucket"], "n": requests["n"],
-        "totals": pa.array([small_numbers(total[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-    })
+    wanted = requests["answered"].to_pylist()
+    told = [small_numbers(total[a:b]) for a, b, yes in zip(bounds[:-1], bounds[1:], wanted, strict=True) if yes]
+    requests = requests.filter(pa.array(wanted, pa.bool_()))
+    return pa.table({"pack": requests["pack"], "bucket": requests["bucket"], "n": requests["n"], "totals": pa.array(told, pa.binary())})
 
 
 def _score(rows: pa.Table, replies: pa.Table, order: int, bits: int, min_count: int, alpha: float, words: int, foreign: bool) -> pa.Table:
@@ -186,15 +181,14 @@ def _score(rows: pa.Table, replies: pa.Table, order: int, bits: int, min_count:
     row = np.repeat(np.arange(len(grams.first) - 1), np.diff(grams.first))
     count = np.diff(grams.first)
     score = np.bincount(row, weights=log, minlength=len(count))
-    out = pa.table({
+    return pa.table({
         "doc_id": rows["doc_id"], "n_words": pa.array(count, pa.int64()), "log_score": pa.array(score),
         "per_word": pa.array(score / np.maximum(count, 1), mask=count == 0),
         "n_backed_off": pa.array(np.bincount(row[backed > 0], minlength=len(count)), pa.int64()),
     })
-    return out.filter(pa.array(~grams.counted)) if foreign else out
 
 
-_REQUEST = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_REQUEST = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("answered", pa.bool_())])
 
 
 def _word_total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,32 +216,40 @@ def backoff_scores(
     text = F.col("text").cast("string").alias("text")
     corpus = (counts_from if foreign else docs).select(text)
     words = corpus.mapInArrow(_word_total, "words long").agg(F.sum("words")).first()[0] or 0
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.lit(not foreign).alias("counted"))
-    if foreign:
-        # Counted rows are spread by their id, or by their text where they have none.
-        own = F.col("doc_id") if "doc_id" in counts_from.columns else F.lit(None)
-        docs = docs.unionByName(counts_from.select(own.cast("long").alias("doc_id"), text, F.lit(True).alias("counted")))
     bits = bucket_bits(words)
-    packs = packed(docs, text_bytes(docs), PACK_BYTES).select("pack", "doc_id", "text", F.col("rest.counted").alias("counted"))
-    packs = packs.mapInArrow(_squeezed, "pack long, doc_id long, text binary, counted boolean")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    request = "bucket int, pack long, n int, hashes binary, counts binary"
+    request = "bucket int, pack long, n int, hashes binary, counts binary, answered boolean"
     reply = "pack long, bucket int, n int, totals binary"
 
+    def packs_of(frame: DataFrame) -> DataFrame:
+        # Rows without an id are spread by their text.
+        own = F.col("doc_id") if "doc_id" in frame.columns else F.lit(None)
+        narrow = frame.select(own.cast("long").alias("doc_id"), text)
+        dealt = packed(narrow, text_bytes(narrow), PACK_BYTES).select("pack", "doc_id", "text")
+        return dealt.mapInArrow(_squeezed, "pack long, doc_id long, text binary")
+
+    packs = packs_of(docs)
+
     def asked(orders: list[int], replies: DataFrame | None) -> DataFrame:
         run: Callable
         if replies is None:
-            run = packs.groupBy("pack").applyInArrow(lambda t: _ask(t, None, orders, bits, min_count, foreign), request)
+            run = packs.groupBy("pack").applyInArrow(lambda t: _ask(t, None, orders, bits, min_count, False, True), request)
         else:
             run = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
-                lambda t, r: _ask(t, r, orders, bits, min_count, foreign), request
+                lambda t, r: _ask(t, r, orders, bits, min_count, False, True), request
             )
         # Dealt out by pack once, for this round's readers and for the scoring.
         return run.groupBy("bucket").applyInArrow(_answer, reply).repartition(parts, "pack")
 
-    replies = asked(list(range(1, min(order, 2) + 1)), None)
-    for n in range(3, order + 1):
-        replies = replies.unionByName(asked([n], replies))
+    if foreign:
+        every = list(range(1, order + 1))
+        asks = packs.groupBy("pack").applyInArrow(lambda t: _ask(t, None, every, bits, min_count, True, False), request)
+        tells = packs_of(counts_from).groupBy("pack").applyInArrow(lambda t: _ask(t, None, every, bits, min_count, True, True), request)
+        replies = asks.unionByName(tells).groupBy("bucket").applyInArrow(_answer, reply).repartition(parts, "pack")
+    else:
+        replies = asked(list(range(1, min(order, 2) + 1)), None)
+        for n in range(3, order + 1):
+            replies = replies.unionByName(asked([n], replies))
     return packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(
         lambda t, r: _score(t, r, order, bits, min_count, alpha, words, foreign),
         "doc_id long, n_words long, log_score double, per_word double, n_backed_off long",
