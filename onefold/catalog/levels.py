@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from onefold.catalog.tables import SHIP, factor_spec, rnd, shipments, table
 from onefold.operators import levels as lv
-from onefold.operators.prepare import clean, collapse_levels, design_columns, dummy_columns, level_terms
-from onefold.operators.prepare import add_codes
+from onefold.operators.prepare import add_level_codes, clean, collapse_levels, design_columns, dummy_columns, level_terms
 from onefold.operators.stats import describe
 from onefold.plans import ml
 from onefold.session import settle
@@ -138,12 +137,6 @@ def _(spark, d):
     return collapse_levels(rows, picked, list(EVENT_TOP))
 
 
-def _events_spec(spark, d, **kw) -> TermSpec:
-    picked = lv.select_levels(lv.level_counts(table(spark, d, "events"), list(EVENT_TOP)), EVENT_TOP)
-    terms = lv.term_levels(picked)
-    return TermSpec.from_levels(terms, "value", factors=list(EVENT_TOP), **kw)
-
-
 @query("factor_codes", f"""WITH {_picked_sql('events', EVENT_TOP)}, slots AS (
   SELECT factor, level, CAST(row_number() OVER (PARTITION BY factor ORDER BY level) - 1 AS INTEGER) AS slot FROM terms),
 c AS ({_COLLAPSED[_COLLAPSED.index('SELECT event_id'):]})
@@ -152,7 +145,10 @@ JOIN slots t ON t.factor = 'event_type' AND t.level = event_type
 JOIN slots u ON u.factor = 'user_id' AND u.level = user_id""")
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "event_type", "user_id")
-    return add_codes(rows, _events_spec(spark, d)).select("event_id", "code_event_type", "code_user_id")
+    picked = lv.select_levels(lv.level_counts(rows, list(EVENT_TOP)), EVENT_TOP)
+    # Users grow with the events, so their codes are a joined frame and no term list on the driver.
+    slots = settle(lv.level_slots(lv.term_levels(picked)))
+    return add_level_codes(rows, slots, list(EVENT_TOP)).select("event_id", "code_event_type", "code_user_id")
 
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]

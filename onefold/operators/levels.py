@@ -103,6 +103,21 @@ def term_levels(levels: DataFrame, window_levels: int = WINDOW_LEVELS) -> DataFr
         term_name(F.col("factor"), F.col("level")).alias("term"))
 
 
+def level_slots(terms: DataFrame, window_levels: int = WINDOW_LEVELS) -> DataFrame:
+    """``factor, level, slot``: the position of a term level in its factor by name, from 0.
+
+    What ``prepare.add_codes`` takes from a term list, without a list: the levels stay in Spark, however many there are.
+    """
+    terms = settle(terms.select("factor", "level"))
+    # One row per factor comes back.
+    sizes = terms.groupBy("factor").agg(F.count(F.lit(1)).alias("levels")).collect()
+    if max((r["levels"] for r in sizes), default=0) <= window_levels:
+        ranked = terms.withColumn("rank", F.row_number().over(Window.partitionBy("factor").orderBy("level")))
+    else:
+        ranked = running_total(terms.withColumn("n", F.lit(1)), "factor", [F.col("level").asc()], "n", "cum_n", "rank")
+    return ranked.select("factor", "level", (F.col("rank") - 1).cast("int").alias("slot"))
+
+
 def top_levels(counts: DataFrame, factor: str, k: int) -> DataFrame:
     """The k most frequent levels of one factor (a top-k report)."""
     return (

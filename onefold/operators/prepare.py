@@ -132,6 +132,25 @@ def _add_code(df: DataFrame, factor: Factor) -> DataFrame:
     return joined.withColumn(name, F.coalesce(F.col(name), F.when(text.isNotNull(), unseen)))
 
 
+def add_level_codes(df: DataFrame, slots: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Append ``code_<factor>`` from a frame of ``levels.level_slots``, for factors with more levels than a term list may hold.
+
+    As in ``add_codes`` a level that the factor does not have goes to ``OTHERS`` if there is one; else its code is null.
+    The slots are used more than once; pass a settled frame.
+    """
+    # One row per factor at most comes back.
+    others = {r["factor"]: r["slot"] for r in slots.filter(F.col("level") == OTHERS).collect()}
+    out = df
+    for name in factors:
+        code = f"code_{name}"
+        own = slots.filter(F.col("factor") == name).select(F.col("level").alias("__level"), F.col("slot").alias(code))
+        text = F.col(name).cast("string")
+        out = out.join(small_side(own), text == F.col("__level"), "left").drop("__level")
+        unseen = F.lit(others.get(name)).cast("int")
+        out = out.withColumn(code, F.coalesce(F.col(code), F.when(text.isNotNull(), unseen)))
+    return out
+
+
 def coded(df: DataFrame, spec: TermSpec) -> DataFrame:
     """Rows with codes, without those of an unseen level; ``unseen_rows`` counts what this leaves out."""
     out = add_codes(df, spec)

@@ -13,7 +13,7 @@ from onefold.operators import stats as st
 from onefold.operators.chunkfit import fit_chunks
 from onefold.operators.combine import combine
 from onefold.operators.ols import group_ols
-from onefold.operators.prepare import add_codes, collapse_levels, dummy_columns, project
+from onefold.operators.prepare import add_codes, add_level_codes, collapse_levels, dummy_columns, project
 from onefold.operators.rowindex import dense_index
 from onefold.sources import csv
 from onefold.sources.rows import from_local, generate_groups
@@ -95,6 +95,31 @@ def test_codes_match_dummies(spark, baseline, width):
         assert hot == ([spec.terms[code]] if code is not None and code < len(spec.terms) else [])
 
 
+@pytest.mark.parametrize("window", [1, 1_000_000])
+def test_codes_of_more_levels_than_a_term_list_holds(spark, window):
+    users = [str(u) for u in range(2500) for _ in range(1 + u % 2)] + [None]
+    pdf = pd.DataFrame({"a": users, "b": ["x" if i % 3 else "y" for i in range(len(users))]})
+    df = spark.createDataFrame(pdf)
+    picked = lv.select_levels(lv.level_counts(df, ["a", "b"]), {"a": 0.9, "b": 1.0})
+    slots = lv.level_slots(lv.term_levels(picked), window).persist()
+    got = add_level_codes(df, slots, ["a", "b"]).collect()
+    kept = {level for level, (_, _, ok) in brute_levels(users[:-1], 0.9).items() if ok}
+    assert len(kept) > 2000
+    at = {level: i for i, level in enumerate(sorted([*kept, OTHERS]))}
+    for r in got:
+        assert r["code_a"] == (None if r["a"] is None else at.get(r["a"], at[OTHERS]))
+        assert r["code_b"] == "xy".index(r["b"])
+
+
+def test_the_code_query_takes_any_number_of_users(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    events = spark.range(9000).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") % 3000).alias("user_id"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = entry.queries()["factor_codes"](spark, str(tmp_path))
+    assert out.count() == 9000 and out.select("code_user_id").distinct().count() == 2401
+
+
 def test_missing_values_go_like_dropna(spark):
     rows = [(1.0, "a"), (None, "b"), (float("nan"), "c"), (2.0, None), (3.0, "NaN")]
     df = spark.createDataFrame(rows, "x double, s string")
