@@ -84,10 +84,11 @@ def split_random(df: DataFrame, n: int, seed: int) -> list[DataFrame]:
 def shuffle_rows(df: DataFrame, seed: int, parts: int | None = None) -> DataFrame:
     """Rows in random order: dealt out over the partitions, then ordered at random inside.
 
-    Dealing is even whatever the rows hold, and Spark repeats it identically for a lost task.
+    Dealing is even whatever the rows hold, and Spark repeats it identically for a lost task. The order is drawn
+    before the rows move, so it does not hang on the order in which a task receives them.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(parts).withColumn("__u", F.rand(seed))
+    dealt = df.withColumn("__u", F.rand(seed)).repartition(parts)
     return dealt.sortWithinPartitions("__u").drop("__u")
 
 

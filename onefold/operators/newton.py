@@ -20,6 +20,16 @@ class CodedDesign:
         self.at = np.cumsum([self.numeric.shape[1], *widths])
         self.p = int(self.at[-1])
 
+    def rows(self, at: slice | np.ndarray) -> CodedDesign:
+        """The design of some of the rows."""
+        out = object.__new__(CodedDesign)
+        out.numeric, out.codes, out.widths, out.at, out.p = self.numeric[at], [c[at] for c in self.codes], self.widths, self.at, self.p
+        return out
+
+    def dense(self) -> np.ndarray:
+        """The matrix itself, for a few rows."""
+        return np.hstack([self.numeric, *[np.eye(w + 1)[c][:, :w] for c, w in zip(self.codes, self.widths)]])
+
     def eta(self, beta: np.ndarray) -> np.ndarray:
         out = self.numeric @ beta[: self.at[0]]
         for i, code in enumerate(self.codes):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+import pickle
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,43 +24,112 @@ PART_ROWS = 1_000_000
 LEAST_PARTS = 8
 
 
-def sgd_epoch(rows: DataFrame, spec: TermSpec, theta: Sequence[float], rate: float, batch_rows: int) -> DataFrame:
-    """Each task runs over its own rows in mini-batches; one weighted average comes back.
+# Distinct predictor rows of a block up to which a mini-batch is held as sums per distinct row.
+MAX_SUMMED = 32
 
-    No shuffle and no gathering of rows: a task streams the Arrow batches of its partition,
-    and only p + 1 numbers per task are summed.
+
+class _Block:
+    """The rows of one Arrow batch, cut into mini-batches once for all passes.
+
+    Without continuous columns rows repeat: a mini-batch is then its hits and trials per distinct row, which
+    gives the same slopes from fewer numbers.
     """
+
+    def __init__(self, layout: _Layout, pdf: pd.DataFrame, batch_rows: int):
+        hits, trials = pdf["hits"].to_numpy(float), pdf["trials"].to_numpy(float)
+        self.low = np.arange(0, len(pdf), batch_rows)
+        self.high = np.append(self.low[1:], len(pdf))
+        self.size = np.add.reduceat(trials, self.low)
+        self.design, self.distinct, self.hits, self.trials = layout.design(pdf), None, hits, trials
+        if layout.continuous:
+            return
+        rows = np.zeros(len(pdf), np.int64)
+        for code, width in zip(self.design.codes, layout.widths, strict=True):
+            # Numbered anew after each factor, so the numbers stay below rows times width.
+            rows = np.unique(rows * (width + 1) + code, return_inverse=True)[1].astype(np.int64)
+        _, first, of = np.unique(rows, return_index=True, return_inverse=True)
+        k = len(first)
+        if k > min(MAX_SUMMED, batch_rows):
+            return
+        cell = np.arange(len(pdf)) // batch_rows * k + of
+        shape = (len(self.low), k)
+        self.hits = np.bincount(cell, hits, shape[0] * k).reshape(shape)
+        self.trials = np.bincount(cell, trials, shape[0] * k).reshape(shape)
+        self.distinct, self.design = self.design.rows(first).dense(), None
+
+    def descend(self, beta: np.ndarray, mean: np.ndarray, rate: float, steps: int) -> tuple[np.ndarray, int]:
+        """The coefficients and number of steps after this block; ``mean`` is moved in place."""
+        at = np.arange(steps + 1, steps + 1 + len(self.size))
+        scale = rate / np.sqrt(at) / self.size
+        path = np.empty((len(at), len(beta)))
+        if self.distinct is not None:
+            self._summed_path(path, beta, scale)
+        else:
+            for i, step in enumerate(scale):
+                part = slice(self.low[i], self.high[i])
+                design = self.design.rows(part)
+                prob = np.exp(-np.logaddexp(0.0, -design.eta(beta)))
+                beta = np.add(beta, step * design.left(self.hits[part] - self.trials[part] * prob), path[i])
+        # Later steps weigh more, so the way in from the start fades out of the average.
+        share = 4.0 / (at + 3.0)
+        after = np.append(np.cumprod((1.0 - share)[::-1])[::-1], 1.0)
+        mean *= after[0]
+        mean += (share * after[1:]) @ path
+        return path[-1].copy(), steps + len(at)
+
+    def _summed_path(self, path: np.ndarray, beta: np.ndarray, scale: np.ndarray) -> None:
+        """The coefficients after each mini-batch; with p = (1 + tanh(eta / 2)) / 2 a step on beta / 2 is a few products."""
+        pull = scale[:, None] * (self.hits / 2 - self.trials / 4)
+        weight = scale[:, None] * (self.trials / 4)
+        x = self.distinct
+        plain = x.shape[0] == x.shape[1] and np.array_equal(x, np.eye(len(x)))
+        half, move = beta / 2, np.empty(len(x))
+        for a, b, now in zip(pull, weight, path):
+            np.tanh(half if plain else x @ half, move)
+            np.multiply(b, move, move)
+            np.subtract(a, move, move)
+            half = np.add(half, move if plain else move @ x, now)
+        path *= 2
+
+
+def _descend(blocks: Iterable[_Block], start: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+    """One pass over some rows: the average of the steps and the rows seen."""
+    beta, mean, seen, steps = start, np.zeros(len(start)), 0.0, 0
+    for block in blocks:
+        beta, steps = block.descend(beta, mean, rate, steps)
+        seen += block.size.sum()
+    return mean, seen
+
+
+def row_blocks(rows: DataFrame, spec: TermSpec, batch_rows: int) -> DataFrame:
+    """Coded rows as ``block``, one binary value per Arrow batch; a pass reads these as they are."""
     layout = _Layout(spec)
-    start = np.asarray(theta, float)
+
+    def pack(batches):
+        for pdf in filter(len, batches):
+            yield pd.DataFrame({"block": [pickle.dumps(_Block(layout, pdf, batch_rows), protocol=5)]})
+
+    return rows.mapInPandas(pack, "block binary")
+
+
+def sgd_epoch(blocks: DataFrame, spec: TermSpec, theta: Sequence[float], rate: float) -> DataFrame:
+    """Each task runs over the mini-batches of its own ``row_blocks``; one weighted average comes back.
+
+    No shuffle and no gathering of rows: a task streams the blocks of its partition,
+    and only p + 1 numbers per task are summed.
+    """
+    p, start = spec.p, np.asarray(theta, float)
 
     def descend(batches):
-        mean, seen = _descend(batches, layout, start, rate, batch_rows)
+        mean, seen = _descend((pickle.loads(b) for pdf in batches for b in pdf["block"]), start, rate)
         if seen:
             yield pd.DataFrame({"sums": [np.append(mean * seen, seen)]})
 
-    moved = rows.mapInPandas(descend, "sums array<double>")
+    moved = blocks.mapInPandas(descend, "sums array<double>")
     total = sum_arrays(moved, [], F.col("sums"), "sums").filter(F.size("sums") > 0)
     weight = F.element_at("sums", -1)
     return total.select(
-        F.transform(F.slice("sums", 1, layout.p), lambda s: s / weight).alias("theta"))
-
-
-def _descend(batches, layout: _Layout, start: np.ndarray, rate: float, batch_rows: int) -> tuple[np.ndarray, float]:
-    """One pass over some rows: the average of the steps and the rows seen."""
-    beta, mean, seen, steps = start.copy(), np.zeros(layout.p), 0.0, 0
-    for pdf in batches:
-        for low in range(0, len(pdf), batch_rows):
-            part = pdf.iloc[low: low + batch_rows]
-            design = layout.design(part)
-            hits, trials = part["hits"].to_numpy(float), part["trials"].to_numpy(float)
-            prob = np.exp(-np.logaddexp(0.0, -design.eta(beta)))
-            slope = design.left(hits - trials * prob) / trials.sum()
-            steps += 1
-            beta = beta + rate / np.sqrt(steps) * slope
-            # Later steps weigh more, so the way in from the start fades out of the average.
-            mean += 4.0 / (steps + 3.0) * (beta - mean)
-            seen += trials.sum()
-    return mean, seen
+        F.transform(F.slice("sums", 1, p), lambda s: s / weight).alias("theta"))
 
 
 def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epochs: int, rate: float, batch_rows: int) -> list[float]:
@@ -68,10 +139,10 @@ def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epo
 
     def run(batches):
         context = BarrierTaskContext.get()
-        held = list(batches)
+        held = [_Block(layout, pdf, batch_rows) for pdf in filter(len, batches)]
         now = start
         for epoch in range(epochs):
-            mean, seen = _descend(held, layout, now, rate / float(np.sqrt(1.0 + epoch)), batch_rows)
+            mean, seen = _descend(held, now, rate / float(np.sqrt(1.0 + epoch)))
             told = [np.array(json.loads(m)) for m in context.allGather(json.dumps([*(mean * seen), seen]))]
             sums = np.sum(told, axis=0)
             if sums[-1]:
@@ -105,7 +176,7 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     descends on its own; without ``parts`` there is one for every ``PART_ROWS`` rows, and at least ``LEAST_PARTS``. Where all
     parts can run at once, all passes are one barrier stage: a task keeps its coded rows, and after each pass the tasks
     exchange p + 1 numbers among themselves. Else every pass is a job over persisted
-    rows, and the p coefficients travel through the driver. Both give the same averages.
+    blocks of them, and the p coefficients travel through the driver. Both give the same averages.
     """
     if spec.keys:
         raise ValueError("one model only")
@@ -119,9 +190,9 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     theta = [0.0] * spec.p if warm is None else list(warm)
     if barrier or (barrier is None and shuffle_seed is not None and parts <= slots):
         return _barrier_epochs(rows, spec, theta, epochs, rate, batch_rows)
-    rows = rows.persist(storage)
+    blocks = row_blocks(rows, spec, batch_rows).persist(storage)
     for epoch in range(epochs):
         step = rate / float(np.sqrt(1.0 + epoch))
-        theta = list(sgd_epoch(rows, spec, theta, step, batch_rows).first()["theta"])
-    rows.unpersist()
+        theta = list(sgd_epoch(blocks, spec, theta, step).first()["theta"])
+    blocks.unpersist()
     return theta
