@@ -181,11 +181,12 @@ def _(spark, d):
 @query("chunk_table_bucketed", f"""WITH {CELLS} SELECT term, round(b, 8) + 0.0 AS wlse, round(one_shot, 8) + 0.0 AS one_shot,
   CAST(n AS BIGINT) AS n, round(ln(y / n), 8) + 0.0 AS log_share FROM wl""")
 def _(spark, d):
-    # Rows stored by chunk once: the fit and the counts per chunk read the buckets as they are.
+    # Rows stored by chunk once: the fit and the counts per chunk read the buckets as they are. There are four chunks at any
+    # size, so their rows are added up by cell before they reach Python; on the bucket columns that needs no shuffle either.
     ship = shipments(spark, d).select("partition_id", "cell", "late")
     rows = bucketed(ship, ["partition_id"], 8)
     spec = factor_spec(rows, "late", ["cell"])
-    combined = combine(fit_chunks(rows, spec, compress=False, rows_per_task=None), spec)
+    combined = combine(fit_chunks(rows, spec), spec)
     counts = rows.groupBy("partition_id", "cell").agg(F.count("*").alias("n"), F.sum("late").alias("y"))
     shares = counts.groupBy(F.concat(F.lit("cell_"), "cell").alias("term")).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     terms = F.array(*[F.lit(t) for t in spec.terms])

@@ -59,6 +59,25 @@ def test_a_bucketed_chunk_table_is_fitted_without_a_shuffle(line, spark):
     assert rows.count() == line.count()
 
 
+def test_chunks_of_few_predictor_rows_are_added_up_in_their_buckets(line, spark, monkeypatch):
+    # The chunk table query holds a row per chunk and level in Python, however many rows a chunk has.
+    rows = bucketed(line.select("partition_id", *[c for c in line.columns if c != "partition_id"]), ["partition_id"], 4)
+    plan = plan_of(fit_chunks(rows, CELLS, pool=False))
+    assert "Exchange" not in plan and "FlatMapGroupsInPandas" in plan
+    assert "HashAggregate" in plan[plan.index("FlatMapGroupsInPandas"):]
+    from onefold.catalog import large
+
+    plans = []
+
+    def seen(*args, **kw):
+        plans.append(plan_of(fit_chunks(*args, **{**kw, "pool": False})))
+        return fit_chunks(*args, **kw)
+
+    monkeypatch.setattr(large, "fit_chunks", seen)
+    assert large.QUERIES["chunk_table_bucketed"](spark, "/root/testdata/sf0.01").count() == 10
+    assert "Exchange" not in plans[0] and "HashAggregate" in plans[0]
+
+
 def test_combine_shuffles_partial_sums(line):
     plan = plan_of(combine(fit_chunks(line, SPEC, pool=False), SPEC))
     below = plan[:plan.index("FlatMapGroupsInPandas")]
