@@ -178,3 +178,22 @@ def test_first_step_of_the_risk_follows_its_slope():
     np.testing.assert_allclose((np.append(w, b) - start)[steep], -s.rate * np.sign(slope[steep]), atol=1e-3)
     w, b = toxicity.fit_nnpu(toxic, other, prior, toxicity.Settings(steps=300))
     assert risk(np.append(w, b)) < risk(start) and w[0] > 1 and w[0] > w[2]
+
+
+def test_a_pack_of_the_substring_step_is_judged_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from onefold.llm import packs, substring_dedup
+
+    rng, k = np.random.default_rng(0), packs.PACK_BYTES // 1800
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 20_000, 300)) for _ in range(k)]
+    table = pa.table({"pack": pa.array([0] * k, pa.int64()), "doc_id": pa.array(range(k), pa.int64()), "text": texts, "rest": [{"none": None}] * k})
+    substring_dedup._ask(table, 13, 6)  # tables that are kept are made here
+    tracemalloc.start()
+    substring_dedup._ask(table, 13, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
