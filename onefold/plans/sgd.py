@@ -5,16 +5,17 @@ from __future__ import annotations
 import json
 import math
 import pickle
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext, StorageLevel
+import pyarrow as pa
+from pyspark import BarrierTaskContext, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onefold.operators.chunkfit import _Layout, coded_rows, sum_arrays
-from onefold.operators.chunks import CHUNK, shuffle_rows
+from onefold.operators.chunks import CHUNK
 from onefold.sources.store import load_spec, load_table, save_model
 from onefold.spec import TermSpec
 
@@ -23,13 +24,24 @@ from onefold.spec import TermSpec
 PART_ROWS = 1_000_000
 LEAST_PARTS = 8
 
+# Bytes of rows that a task deals out at a time, and bytes of rows that a part brings into random order at a time.
+DEAL_BYTES = 16_000_000
+ORDER_BYTES = 64_000_000
+BLOCK_ROWS = 10_000
+
 
 # Distinct predictor rows of a block up to which a mini-batch is held as sums per distinct row.
 MAX_SUMMED = 32
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in one byte each where they are counts up to 255; every pass reads them again."""
+    small = counts.astype(np.uint8) if len(counts) and 0 <= counts.min() and counts.max() <= 255 else counts
+    return small if np.array_equal(small, counts) else counts
+
+
 class _Block:
-    """The rows of one Arrow batch, cut into mini-batches once for all passes.
+    """Some rows, cut into mini-batches once for all passes.
 
     Without continuous columns rows repeat: a mini-batch is then its hits and trials per distinct row, which
     gives the same slopes from fewer numbers.
@@ -40,8 +52,9 @@ class _Block:
         self.low = np.arange(0, len(pdf), batch_rows)
         self.high = np.append(self.low[1:], len(pdf))
         self.size = np.add.reduceat(trials, self.low)
-        self.design, self.distinct, self.hits, self.trials = layout.design(pdf), None, hits, trials
+        self.design, self.distinct, self.hits, self.trials = layout.design(pdf), None, _narrow(hits), _narrow(trials)
         if layout.continuous:
+            self.design.codes = [_narrow(c) for c in self.design.codes]
             return
         rows = np.zeros(len(pdf), np.int64)
         for code, width in zip(self.design.codes, layout.widths, strict=True):
@@ -101,15 +114,93 @@ def _descend(blocks: Iterable[_Block], start: np.ndarray, rate: float) -> tuple[
     return mean, seen
 
 
-def row_blocks(rows: DataFrame, spec: TermSpec, batch_rows: int) -> DataFrame:
-    """Coded rows as ``block``, one binary value per Arrow batch; a pass reads these as they are."""
+def _record(layout: _Layout) -> np.dtype:
+    """A coded row of one trial; a code takes as many bytes as its factor needs."""
+    codes = [(c, np.min_scalar_type(w)) for c, w in zip(layout.codes, layout.widths, strict=True)]
+    return np.dtype([*[(c, "f8") for c in layout.continuous], *codes, ("hits", "f8")])
+
+
+def _taken(records: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Some of the records, each moved as a whole and not field by field."""
+    return records.view(f"V{records.itemsize}").take(at).view(records.dtype)
+
+
+def _runs(arrays: Iterable[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+    """Joined until there are at least so many rows."""
+    held, n = [], 0
+    for a in filter(len, arrays):
+        held.append(a)
+        n += len(a)
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def dealt_rows(rows: DataFrame, spec: TermSpec, seed: int, parts: int) -> DataFrame:
+    """Coded rows of one trial dealt evenly and at random over ``parts`` partitions, as ``rows``: packs of records.
+
+    A task draws the order of its rows some megabytes at a time and sends every part what falls to it as one pack, so the
+    shuffle moves a few packs and not single rows. A lost task draws the same again, where its rows come in the same order.
+    """
+    record = _record(_Layout(spec))
+
+    def records(batches):
+        for batch in batches:
+            values = batch.column("row").flatten().to_numpy().reshape(batch.num_rows, -1)
+            out = np.empty(len(values), record)
+            for i, c in enumerate(record.names):
+                out[c] = values[:, i]
+            yield out
+
+    def deal(batches):
+        rng = np.random.default_rng([abs(seed), TaskContext.get().partitionId()])
+        for run in _runs(records(batches), DEAL_BYTES // record.itemsize):
+            run, first = _taken(run, rng.permutation(len(run))), rng.integers(parts)
+            some = min(parts, len(run))
+            yield pa.RecordBatch.from_arrays([
+                pa.array((first + np.arange(some)) % parts, pa.int32()), pa.array(rng.integers(0, 2**63, some, np.int64)),
+                pa.array([run[i::parts].tobytes() for i in range(some)], pa.binary())], ["part", "turn", "rows"])
+
+    # One array per row: Arrow batches of many columns take several times as long to fill.
+    narrow = rows.select(F.array(*[F.col(c).cast("double") for c in record.names]).alias("row"))
+    packs = narrow.mapInArrow(deal, "part int, turn bigint, rows binary")
+    return packs.repartitionById(parts, "part").sortWithinPartitions("turn").select("rows")
+
+
+def _in_random_order(batches: Iterable[pa.RecordBatch], layout: _Layout, seed: int) -> Iterator[pd.DataFrame]:
+    """The dealt rows of a part, ``BLOCK_ROWS`` at a time.
+
+    A part of up to ``ORDER_BYTES`` is brought into random order as a whole; a larger one has its packs in random order and
+    the rows of neighbouring packs in random order.
+    """
+    record = _record(layout)
+    rng = np.random.default_rng([abs(seed), 1, TaskContext.get().partitionId()])
+    packs = (np.frombuffer(pack.as_buffer(), record) for batch in batches for pack in batch.column("rows"))
+    for run in _runs(packs, ORDER_BYTES // record.itemsize):
+        order = rng.permutation(len(run))
+        for low in range(0, len(run), BLOCK_ROWS):
+            part = _taken(run, order[low: low + BLOCK_ROWS])
+            yield pd.DataFrame({c: part[c] for c in record.names}).assign(trials=1.0)
+
+
+def _frames(batches: Iterable[pa.RecordBatch], layout: _Layout, seed: int | None) -> Iterator[pd.DataFrame]:
+    """Coded rows as frames: those dealt out with ``seed``, or without one the rows as they come."""
+    if seed is None:
+        return (batch.to_pandas() for batch in batches if batch.num_rows)
+    return _in_random_order(batches, layout, seed)
+
+
+def row_blocks(rows: DataFrame, spec: TermSpec, batch_rows: int, seed: int | None) -> DataFrame:
+    """Coded rows as ``block``, one binary value for some thousand rows; a pass reads these as they are."""
     layout = _Layout(spec)
 
     def pack(batches):
-        for pdf in filter(len, batches):
-            yield pd.DataFrame({"block": [pickle.dumps(_Block(layout, pdf, batch_rows), protocol=5)]})
+        for pdf in _frames(batches, layout, seed):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_Block(layout, pdf, batch_rows), protocol=5)], pa.binary())], ["block"])
 
-    return rows.mapInPandas(pack, "block binary")
+    return rows.mapInArrow(pack, "block binary")
 
 
 def sgd_epoch(blocks: DataFrame, spec: TermSpec, theta: Sequence[float], rate: float) -> DataFrame:
@@ -121,25 +212,26 @@ def sgd_epoch(blocks: DataFrame, spec: TermSpec, theta: Sequence[float], rate: f
     p, start = spec.p, np.asarray(theta, float)
 
     def descend(batches):
-        mean, seen = _descend((pickle.loads(b) for pdf in batches for b in pdf["block"]), start, rate)
+        mean, seen = _descend((pickle.loads(b.as_buffer()) for batch in batches for b in batch.column("block")), start, rate)
         if seen:
-            yield pd.DataFrame({"sums": [np.append(mean * seen, seen)]})
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(mean * seen, seen)])], ["sums"])
 
-    moved = blocks.mapInPandas(descend, "sums array<double>")
+    moved = blocks.mapInArrow(descend, "sums array<double>")
     total = sum_arrays(moved, [], F.col("sums"), "sums").filter(F.size("sums") > 0)
     weight = F.element_at("sums", -1)
     return total.select(
         F.transform(F.slice("sums", 1, p), lambda s: s / weight).alias("theta"))
 
 
-def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epochs: int, rate: float, batch_rows: int) -> list[float]:
+def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epochs: int, rate: float, batch_rows: int,
+                    seed: int | None) -> list[float]:
     """All passes in one stage: every task holds its rows and hands p + 1 numbers to all others after a pass."""
     layout = _Layout(spec)
     start = np.asarray(theta, float)
 
     def run(batches):
         context = BarrierTaskContext.get()
-        held = [_Block(layout, pdf, batch_rows) for pdf in filter(len, batches)]
+        held = [_Block(layout, pdf, batch_rows) for pdf in _frames(batches, layout, seed)]
         now = start
         for epoch in range(epochs):
             mean, seen = _descend(held, now, rate / float(np.sqrt(1.0 + epoch)))
@@ -148,9 +240,9 @@ def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epo
             if sums[-1]:
                 now = sums[:-1] / sums[-1]
         if context.partitionId() == 0:
-            yield pd.DataFrame({"theta": [now]})
+            yield pa.RecordBatch.from_arrays([pa.array([now])], ["theta"])
 
-    return list(rows.mapInPandas(run, "theta array<double>", barrier=True).collect()[0]["theta"])
+    return list(rows.mapInArrow(run, "theta array<double>", barrier=True).collect()[0]["theta"])
 
 
 def save_sgd(df: DataFrame, folder: str, spec: TermSpec, theta: Sequence[float]) -> None:
@@ -171,8 +263,8 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
             storage: StorageLevel = StorageLevel.DISK_ONLY, barrier: bool | None = None) -> list[float]:
     """Coefficients in term order after ``epochs`` passes; ``warm`` continues an earlier run.
 
-    The narrow coded rows are shuffled once
-    (``shuffle_seed=None`` takes them as they come) into ``parts`` partitions, each of which
+    The narrow coded rows are dealt out once
+    (``shuffle_seed=None`` takes them as they come) over ``parts`` partitions, each of which
     descends on its own; without ``parts`` there is one for every ``PART_ROWS`` rows, and at least ``LEAST_PARTS``. Where all
     parts can run at once, all passes are one barrier stage: a task keeps its coded rows, and after each pass the tasks
     exchange p + 1 numbers among themselves. Else every pass is a job over persisted
@@ -184,13 +276,13 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     rows = coded_rows(rows, spec, compress=False).drop(CHUNK)
     slots = df.sparkSession.sparkContext.defaultParallelism
     if parts is None:
-        parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
+        parts = max(LEAST_PARTS, -(-df.count() // PART_ROWS))
     if shuffle_seed is not None:
-        rows = shuffle_rows(rows, shuffle_seed, parts)
+        rows = dealt_rows(rows, spec, shuffle_seed, parts)
     theta = [0.0] * spec.p if warm is None else list(warm)
     if barrier or (barrier is None and shuffle_seed is not None and parts <= slots):
-        return _barrier_epochs(rows, spec, theta, epochs, rate, batch_rows)
-    blocks = row_blocks(rows, spec, batch_rows).persist(storage)
+        return _barrier_epochs(rows, spec, theta, epochs, rate, batch_rows, shuffle_seed)
+    blocks = row_blocks(rows, spec, batch_rows, shuffle_seed).persist(storage)
     for epoch in range(epochs):
         step = rate / float(np.sqrt(1.0 + epoch))
         theta = list(sgd_epoch(blocks, spec, theta, step).first()["theta"])

@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from onefold.operators import chunkfit
-from onefold.operators.chunkfit import _Layout, fit_chunks, fit_in_place
+from onefold.operators.chunkfit import _Layout, coded_rows, fit_chunks, fit_in_place
 from onefold.operators.combine import append_summaries, coefficients, combine, summary_terms
 from onefold.operators.evaluate import constants, loglik, predict
 from onefold.operators.newton import unpack
 from onefold.operators.shrink import choose, estimates, path_terms, shrink_path
 from onefold.plans import ml
 from onefold.plans.regression import METHODS, Plan, extend, fit
-from onefold.plans.sgd import _Block, _descend, fit_sgd, load_sgd, save_sgd
+from onefold.plans.sgd import _Block, _descend, _narrow, _record, dealt_rows, fit_sgd, load_sgd, save_sgd
 from onefold.session import settle
 from onefold.sources import store
 from onefold.sources.rows import simulate_logistic, true_betas
@@ -597,3 +597,25 @@ def test_a_step_of_the_descent_is_cheap():
     for _ in range(30):
         _descend(blocks, np.zeros(5), 2.0)
     assert time.process_time() - began < 10
+
+
+def test_a_descent_deals_packs_and_not_rows(spark):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("CAST(id AS DOUBLE) x", "CAST(id % 3 AS STRING) f", "id % 2 y", "0 partition_id")
+    spec = TermSpec("y", ("x",), (Factor.build("f", ["0", "1", "2"]),))
+    dealt = dealt_rows(coded_rows(df, spec, compress=False).drop("partition_id"), spec, 1, 3)
+    parts = dealt.rdd.map(lambda r: bytes(r["rows"])).glom().collect()
+    assert len(parts) == 3 and all(len(packs) == 4 for packs in parts)
+    rows = [np.frombuffer(b"".join(packs), _record(_Layout(spec))) for packs in parts]
+    assert max(map(len, rows)) - min(map(len, rows)) <= 4
+    seen = np.concatenate(rows)
+    assert np.array_equal(np.sort(seen["x"]), np.arange(20_000))
+    assert np.array_equal(seen["code_f"], seen["x"] % 3) and np.array_equal(seen["hits"], seen["x"] % 2)
+    assert all(abs(np.mean(r["x"][:500]) - 10_000) > 1 and (np.diff(r["x"]) < 0).sum() > len(r) // 3 for r in rows)
+    assert parts == dealt.rdd.map(lambda r: bytes(r["rows"])).glom().collect()
+
+
+def test_narrowed_counts_are_the_same_numbers():
+    for values in ([0.0, 1.0, 255.0], [0.0, 256.0], [0.5, 1.0], [-1.0, 0.0], []):
+        got = _narrow(np.array(values))
+        assert got.tolist() == values
+    assert _narrow(np.array([0.0, 1.0])).nbytes == 2
