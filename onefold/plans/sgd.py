@@ -192,15 +192,34 @@ def _frames(batches: Iterable[pa.RecordBatch], layout: _Layout, seed: int | None
     return _in_random_order(batches, layout, seed)
 
 
-def row_blocks(rows: DataFrame, spec: TermSpec, batch_rows: int, seed: int | None) -> DataFrame:
-    """Coded rows as ``block``, one binary value for some thousand rows; a pass reads these as they are."""
+def row_blocks(rows: DataFrame, spec: TermSpec, batch_rows: int, seed: int | None, theta: Sequence[float], rate: float) -> DataFrame:
+    """Coded rows as ``block``, one binary value for some thousand rows; a pass reads these as they are.
+
+    The first pass is made as they are cut: a last row of every task has its ``sums``.
+    """
     layout = _Layout(spec)
+    start = np.asarray(theta, float)
 
     def pack(batches):
+        kinds = pa.schema([("block", pa.binary()), ("sums", pa.list_(pa.float64()))])
+        beta, mean, seen, steps = start, np.zeros(len(start)), 0.0, 0
         for pdf in _frames(batches, layout, seed):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_Block(layout, pdf, batch_rows), protocol=5)], pa.binary())], ["block"])
+            block = _Block(layout, pdf, batch_rows)
+            yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, protocol=5)], "sums": [None]}, kinds)
+            beta, steps = block.descend(beta, mean, rate, steps)
+            seen += block.size.sum()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"block": [None], "sums": [np.append(mean * seen, seen)]}, kinds)
 
-    return rows.mapInArrow(pack, "block binary")
+    return rows.mapInArrow(pack, "block binary, sums array<double>")
+
+
+def averaged(sums: DataFrame, spec: TermSpec) -> DataFrame:
+    """The coefficients of all tasks by the rows they have seen."""
+    total = sum_arrays(sums, [], F.col("sums"), "sums").filter(F.size("sums") > 0)
+    weight = F.element_at("sums", -1)
+    return total.select(
+        F.transform(F.slice("sums", 1, spec.p), lambda s: s / weight).alias("theta"))
 
 
 def sgd_epoch(blocks: DataFrame, spec: TermSpec, theta: Sequence[float], rate: float) -> DataFrame:
@@ -209,18 +228,14 @@ def sgd_epoch(blocks: DataFrame, spec: TermSpec, theta: Sequence[float], rate: f
     No shuffle and no gathering of rows: a task streams the blocks of its partition,
     and only p + 1 numbers per task are summed.
     """
-    p, start = spec.p, np.asarray(theta, float)
+    start = np.asarray(theta, float)
 
     def descend(batches):
-        mean, seen = _descend((pickle.loads(b.as_buffer()) for batch in batches for b in batch.column("block")), start, rate)
+        mean, seen = _descend((pickle.loads(b.as_buffer()) for batch in batches for b in batch.column("block") if b.is_valid), start, rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([np.append(mean * seen, seen)])], ["sums"])
 
-    moved = blocks.mapInArrow(descend, "sums array<double>")
-    total = sum_arrays(moved, [], F.col("sums"), "sums").filter(F.size("sums") > 0)
-    weight = F.element_at("sums", -1)
-    return total.select(
-        F.transform(F.slice("sums", 1, p), lambda s: s / weight).alias("theta"))
+    return averaged(blocks.select("block").mapInArrow(descend, "sums array<double>"), spec)
 
 
 def _barrier_epochs(rows: DataFrame, spec: TermSpec, theta: Sequence[float], epochs: int, rate: float, batch_rows: int,
@@ -282,9 +297,10 @@ def fit_sgd(df: DataFrame, spec: TermSpec, epochs: int = 5, rate: float = 2.0, b
     theta = [0.0] * spec.p if warm is None else list(warm)
     if barrier or (barrier is None and shuffle_seed is not None and parts <= slots):
         return _barrier_epochs(rows, spec, theta, epochs, rate, batch_rows, shuffle_seed)
-    blocks = row_blocks(rows, spec, batch_rows, shuffle_seed).persist(storage)
+    blocks = row_blocks(rows, spec, batch_rows, shuffle_seed, theta, rate).persist(storage)
     for epoch in range(epochs):
         step = rate / float(np.sqrt(1.0 + epoch))
-        theta = list(sgd_epoch(blocks, spec, theta, step).first()["theta"])
+        moved = sgd_epoch(blocks, spec, theta, step) if epoch else averaged(blocks.select("sums"), spec)
+        theta = list(moved.first()["theta"])
     blocks.unpersist()
     return theta
